@@ -1,8 +1,9 @@
 """Queries of this subpackage, for the entry module: QUERIES by name, and ORACLES where SQL can state the result."""
 
-from quillmark.llm import quality_rules
+from quillmark.llm import quality_rules, secret_scan
 
 QUERIES = {
+    "op2_secret_scan": secret_scan.query,
     "op7_quality_rules": quality_rules.query,
 }
 
