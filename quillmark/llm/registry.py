@@ -1,12 +1,13 @@
 """Queries of this subpackage, for the entry module: QUERIES by name, and ORACLES where SQL can state the result."""
 
-from quillmark.llm import near_dedup, packing, quality_rules, secret_scan
+from quillmark.llm import mixing, near_dedup, packing, quality_rules, secret_scan
 
 QUERIES = {
     "op2_secret_scan": secret_scan.query,
     "op4_near_dedup": near_dedup.query,
     "op6_packing": packing.query,
     "op7_quality_rules": quality_rules.query,
+    "op8_mixing": mixing.query,
 }
 
 ORACLES: dict[str, str] = {}
