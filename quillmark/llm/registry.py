@@ -1,8 +1,9 @@
 """Queries of this subpackage, for the entry module: QUERIES by name, and ORACLES where SQL can state the result."""
 
-from quillmark.llm import mixing, near_dedup, packing, quality_rules, secret_scan
+from quillmark.llm import mixing, near_dedup, packing, quality_rules, secret_scan, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_secret_scan": secret_scan.query,
     "op4_near_dedup": near_dedup.query,
     "op6_packing": packing.query,
