@@ -1,14 +1,17 @@
 """Queries of this subpackage, for the entry module: QUERIES by name, and ORACLES where SQL can state the result."""
 
-from quillmark.llm import mixing, near_dedup, packing, quality_rules, secret_scan, warc
+from quillmark.llm import ann_search, html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_secret_scan": secret_scan.query,
     "op4_near_dedup": near_dedup.query,
+    "op5_html_extract": html_extract.query,
     "op6_packing": packing.query,
     "op7_quality_rules": quality_rules.query,
     "op8_mixing": mixing.query,
+    "op9_quality_classifier": quality_classifier.query,
+    "op10_ann_search": ann_search.query,
 }
 
 ORACLES: dict[str, str] = {}
