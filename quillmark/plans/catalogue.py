@@ -1,4 +1,7 @@
 """All registered queries with the SQL that states their results."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quillmark.plans import q_retrieval
+
+_MODULES = (q_retrieval,)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
