@@ -88,7 +88,7 @@ VIEWS = {
         concat('¿Cual es el plazo de ', p_name, ' ', CAST(p_partkey % 300 AS STRING), '?') AS question, p_type AS answer, p_partkey % 5 = 0 AS is_call FROM {part}""",
 }
 
-NAMES = re.compile(r"\{(\w+)\}")
+NAMES = re.compile(r"\{([a-z_]\w*)\}")
 
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
