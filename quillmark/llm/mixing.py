@@ -128,7 +128,7 @@ def taken_blocks(spark: SparkSession, sized: DataFrame, block: int = BLOCK, slot
     parts = placed.select("row", "s", "start", "size", F.explode(span).alias("block"))
     low, high = F.greatest("start", F.col("block") * block) - F.col("start"), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")
     parts = parts.select("row", "s", "block", low.alias("low"), high.alias("high"))
-    drawn = slots_of(spark, wanted, blocks, slots, seed).select("s", "pass", "block")
+    drawn = written(slots_of(spark, wanted, blocks, slots, seed).select("s", "pass", "block"), "slots")  # written: its size is known to the planner
     return sources, parts.join(drawn, ["s", "block"]).select("row", "pass", "low", "high")
 
 
