@@ -8,7 +8,8 @@ and LT belong to links, and a body of C_b characters with LC_b in links, it is
 with counts of 0 taken as 1 where they divide (e - 1 keeps the base's logarithm above 0 on pages without links). The
 density sum of an element is the sum of its children's densities; the element of the largest sum is the core of the
 article, and the smallest density on its path from the body is the threshold. If the core lies in an article or
-main element, that element is the content. Otherwise the content is the core and, along its path, every sibling subtree
+main element, that element is the content, and if the page has such elements elsewhere, the one of largest density sum is.
+Otherwise the content is the core and, along its path, every sibling subtree
 whose density reaches the threshold.
 
 Elements that cannot be the article (scripts, forms, navigation, and those whose class, id or role says so) are left
@@ -60,7 +61,7 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "kids", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("chars", "density", "density_sum", "kids", "link_chars", "link_tags", "parent", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.kids = tag, parent, []
@@ -174,20 +175,25 @@ def measure(root: Node) -> None:
 def content(root: Node) -> list[Node]:
     """The elements whose texts are the article, in page order."""
     measure(root)
-    core, most, pending = root, -1.0, [root]
+    core, most, pending, named = root, -1.0, [root], {"article": [], "main": []}
     while pending:
         n = pending.pop()
+        if n.tag in named and n.chars:
+            named[n.tag].append(n)
         nodes = [k for k in n.kids if isinstance(k, Node)]
         total = sum(k.density for k in nodes) + (n.density if any(not isinstance(k, Node) and k.strip() for k in n.kids) else 0.0)
+        n.density_sum = total
         if total > most:
             core, most = n, total
         pending += reversed(nodes)
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for kind in ("article", "main"):
+    for kind, nodes in named.items():
         if inside := [n for n in path if n.tag == kind]:
             return [inside[-1]]
+        if nodes:  # a short article beside longer text
+            return [max(nodes, key=lambda n: n.density_sum)]
     threshold = min(n.density for n in path)
     keep, on_path = [], set(map(id, path))
 

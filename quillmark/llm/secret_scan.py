@@ -1,6 +1,6 @@
 """Secret scans, in DataFrame functions only: fixed patterns, and strings that look random.
 
-Two character Markov models (bigrams with add-k smoothing) are trained from labelled samples: one of random
+Two character Markov models (bigrams, smoothed towards single characters) are trained from labelled samples: one of random
 strings, one of ordinary identifiers. A long token outside the patterns' spans is a secret if its log-likelihood
 ratio exceeds a threshold. The samples of the query come from the corpus: the values that the patterns find
 are the random strings, and ordinary words of eight characters or more, outside those spans, the identifiers.
@@ -32,7 +32,7 @@ TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{7,}"
 #: Character codes 32 to 126, and one for the start of a string.
 V, START = 96, 95
-SAMPLE, SMOOTH, THRESHOLD = 20_000, 0.1, 12.0
+SAMPLE, SMOOTH, THRESHOLD = 20_000, 0.1, 25.0
 MARK = "[SECRET]"
 BLOCK = 64
 
@@ -109,7 +109,13 @@ def fit(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
     r[n["pair"]], o[n["pair"]] = n["r"], n["o"]
     if not (r.sum() and o.sum()):
         return [0.0] * (V * V)
-    logp = lambda c: np.log((c.reshape(V, V) + smooth) / (c.reshape(V, V).sum(1, keepdims=True) + smooth * V)).ravel()
+
+    def logp(counts: np.ndarray) -> np.ndarray:
+        """Smoothed towards the frequency of the second character, so that a rare character tells something after any other."""
+        c = counts.reshape(V, V)
+        alone = (c.sum(0) + 0.5) / (c.sum() + 0.5 * V)
+        return np.log((c + smooth * V * alone) / (c.sum(1, keepdims=True) + smooth * V)).ravel()
+
     return [round(float(x), 6) for x in logp(r) - logp(o)]
 
 
