@@ -17,9 +17,12 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,11 +30,13 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import shared_dir, table
 
 LENGTH, QUANTUM, END = 2048, 256, 1
-#: Words whose ids a task remembers.
-WORDS_KEPT = 500_000
+#: Words whose ids a worker remembers.
+WORDS_KEPT = 600_000
 #: Up to so many rows of running sums, of some 40 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-ROWS = 500
+ROWS = 2000
+#: Marks that may follow a word's letters; the apostrophe is none of them, as the tokenizer keeps some endings with it.
+MARKS = ",.;:!?%*#$&|<>()[]{}+=~^@/\\-_\""
 TOKENS = "source string, part int, first long, n long, doc_id long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -42,10 +47,25 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordIds(dict):
-    """Words numbered as they come; their ids lie one after the other in `flat`.
+class Words(dict):
+    """Words numbered as they come; new ones are listed."""
 
-    The tokenizer's own pieces never span white space, so the ids of a text are those of its words in turn.
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        self.new.append(word)
+        return n
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+
+class WordIds:
+    """The ids of words that a task has met; those of a text are those of its words in turn.
+
+    The tokenizer's own pieces never span white space, nor letters and other marks. A word that is letters and then
+    marks has the ids of both parts, so commas and stops cost no new call. Words of letters alone are given to
+    the tokenizer many at a time, as its ids tell where a word ends.
     """
 
     def __init__(self, tokenizer: str):
@@ -53,43 +73,95 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(tokenizer)
+        names = [self.model.id_to_token(i) or "" for i in range(self.model.get_vocab_size())]
+        self.ends_word = np.array([n.endswith("</w>") for n in names])
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.flat, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each followed by END, and where each text ends."""
-        split = [t.split() for t in texts]
-        at = np.fromiter((self[w] for ws in split for w in ws), np.int64)
-        if self.new:
-            got = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in self.new], add_special_tokens=False)]
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in got])])
-            self.new = []
-        n = self.ends[at + 1] - self.ends[at]
+        self.words, self.parts = Words(), {}
+        self.flat, self.ends, self.size = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def _encode(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _letters(self, parts: list[str]) -> list[list[int]]:
+        out: list[list[int]] = []
+        for low in range(0, len(parts), 1000):
+            some = parts[low : low + 1000]
+            ids = np.array(self.model.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            cuts = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cuts) == len(some):
+                flat, cuts = ids.tolist(), cuts.tolist()
+                out += [flat[a:z] for a, z in zip([0, *cuts], cuts)]
+            else:
+                out += self._encode(some)
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        split, letters, others = [], {}, {}
+        parts = self.parts
+        for w in new:
+            head = w.rstrip(MARKS)
+            tail = w[len(head) :]
+            if head and not head.isalpha():
+                head, tail = w, ""
+                if w not in parts:
+                    others[w] = None
+            elif head and head not in parts:
+                letters[head] = None
+            if tail and tail not in parts:
+                others[tail] = None
+            split.append((head, tail))
+        parts |= zip(letters, self._letters(list(letters)))
+        parts |= zip(others, self._encode(list(others)))
+        parts[""] = []
+        got = [parts[h] + parts[t] if t else parts[h] for h, t in split]
+        flat = np.fromiter(chain.from_iterable(got), np.uint32)
+        known = len(self.words) - len(new)
+        at = self.ends[known]
+        while at + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.words) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[at : at + len(flat)] = flat
+        self.ends[known + 1 : len(self.words) + 1] = at + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by END, and where each text ends.
+
+        Texts are lowered (A-Z; the tokenizer lowers the rest), split at ASCII white space and their distinct words found in
+        Arrow, so that Python meets a word once a batch.
+        """
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        words = lists.flatten().dictionary_encode()
+        at = np.fromiter(map(self.words.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+        if self.words.new:
+            self._learn(self.words.new)
+            self.words.new.clear()
+        at = at[words.indices.to_numpy(zero_copy_only=False)]
+        first = self.ends[at]
+        n = self.ends[at + 1] - first
         total = np.concatenate([[0], np.cumsum(n)])
-        flat = self.flat[np.arange(total[-1]) + np.repeat(self.ends[at] - total[:-1], n)]
-        words = np.cumsum([len(ws) for ws in split])
-        out = np.insert(flat, total[words], np.uint32(END))
-        if len(self) > WORDS_KEPT:
+        flat = self.flat[np.arange(total[-1]) + np.repeat(first - total[:-1], n)]
+        ends = total[np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]
+        out = np.insert(flat, ends, np.uint32(END))
+        if len(self.words) > WORDS_KEPT:
             self.reset()
-        return out, total[words] + np.arange(1, len(texts) + 1)
+        return out, ends + np.arange(1, len(texts) + 1)
+
+
+@cache
+def word_ids(tokenizer: str) -> WordIds:
+    """One for each Python worker, which outlives its tasks."""
+    return WordIds(tokenizer)
 
 
 def _tokens(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, part = WordIds(tokenizer), {}, TaskContext.get().partitionId()
+        words, seen, part = word_ids(tokenizer), {}, TaskContext.get().partitionId()
         for whole in batches:
             for b in (whole.slice(i, ROWS) for i in range(0, whole.num_rows, ROWS)):
-                ids, ends = words.ids([x or b"" for x in b.column(2).to_pylist()])
+                ids, ends = words.ids(b.column(2))
                 small = ids.astype("<u4")
                 starts = np.concatenate([[0], ends[:-1]])
                 first = []
@@ -172,7 +244,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, qu
     """
     spark = docs.sparkSession
     path = shared_dir(spark, "tokens")
-    texts = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"), "text")
     texts.mapInArrow(_tokens(tokenizer or default_tokenizer()), TOKENS).write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(TOKENS).parquet(path)
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("sum"))
