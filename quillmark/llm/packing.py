@@ -31,7 +31,7 @@ from quillmark.llm.common import shared_dir, table
 
 LENGTH, QUANTUM, END = 2048, 256, 1
 #: Words whose ids a worker remembers.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 #: Up to so many rows of running sums, of some 40 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 ROWS = 2000
