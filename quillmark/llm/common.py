@@ -41,6 +41,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+", -1), lambda w: w != "")
 
 
+def of_smallest_hash(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """n rows, those of smallest hash: every task keeps its n best, so no task sorts all rows."""
+    return rows.orderBy(F.xxhash64(column), column).limit(n)
+
+
 def running_start(df: DataFrame, group: list[str], chunk: str, order: list[str], length: str, out: str) -> DataFrame:
     """Adds out: the sum of length over the earlier rows of the group, in the order of chunk, then order.
 

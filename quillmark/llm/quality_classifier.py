@@ -19,10 +19,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import table
+from quillmark.llm.common import of_smallest_hash, table
 
 BITS = 18
 PER_CLASS, EPOCHS, COST, CALIBRATE = 4000, 15, 1.0, 5
@@ -159,8 +159,8 @@ def sample_ids(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, label, share) of the rows to fit on: of each class at most per_class, in no fold that is held out."""
     rows = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
     share = rows.agg(F.avg("label")).first()[0]
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= per_class).select("doc_id", "label", F.lit(float(share or 0.5)).alias("share"))
+    of_class = [of_smallest_hash(rows.filter(F.col("label") == c), "doc_id", per_class) for c in (0, 1)]
+    return of_class[0].unionByName(of_class[1]).select("doc_id", "label", F.lit(0.5 if share is None else float(share)).alias("share"))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import table
+from quillmark.llm.common import of_smallest_hash, table, written
 
 #: Pattern, group that is measured, least length, text to look for first.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -90,9 +90,8 @@ def training_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     values = F.flatten(F.transform(base_spans(F.col("t")), lambda x: F.array(x["value"], *(digest(x["value"], i) for i in range(8)))))
     words = F.filter(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0)), lambda w: (F.pmod(F.xxhash64(w), F.lit(256)) == 0) & ~w.rlike(r"^AKIA|[0-9a-f]{16}"))
     both = d.select(F.transform(values, lambda v: F.struct(v.alias("text"), F.lit(1).alias("label"))).alias("a"), F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(0).alias("label"))).alias("b"))
-    rows = both.select(F.explode(F.concat("a", "b")).alias("x")).select("x.text", "x.label").distinct()
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")))
-    return ranked.filter(F.col("n") <= sample).drop("n")
+    rows = written(both.select(F.explode(F.concat("a", "b")).alias("x")).select("x.text", "x.label").distinct(), "samples")
+    return of_smallest_hash(rows.filter("label = 1"), "text", sample).unionByName(of_smallest_hash(rows.filter("label = 0"), "text", sample))
 
 
 def fit(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
