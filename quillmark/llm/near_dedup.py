@@ -36,9 +36,9 @@ from quillmark.llm.common import table, written
 PERMUTATIONS, BANDS = 64, 32
 SIMILARITY = 80
 #: Hubs a bucket in each round; the last number holds from then on.
-HUBS = (1, 16, 1, 16, 64)
+HUBS = (1, 16, 256)
 #: Before this round, what is left goes into the buckets of its rarest shingles.
-REBUCKET = 2
+REBUCKET = 1
 #: A component that holds so many members of one bucket is compared as a whole, in blocks of so many documents.
 LARGE, BLOCK_DOCS = 64, 512
 #: A pair of similarity 0.8 agrees in 104 of 128 four-bit values on average, with a deviation of 4.4; fewer than this are left out.
@@ -169,7 +169,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. Only the sets that the pairs name are moved."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    named = written(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "named")
     few = named.count() <= BROADCAST_IDS
     sets = sets.join(F.broadcast(named) if few else named, "doc", "left_semi")
     p = pairs.join(sets.select(F.col("doc").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("doc").alias("a"), F.col("s").alias("sa")), "a")
