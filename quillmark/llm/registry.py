@@ -1,10 +1,11 @@
 """Queries of this subpackage, for the entry module: QUERIES by name, and ORACLES where SQL can state the result."""
 
-from quillmark.llm import ann_search, html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, warc
+from quillmark.llm import ann_search, html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_secret_scan": secret_scan.query,
+    "op3_sharding": sharding.query,
     "op4_near_dedup": near_dedup.query,
     "op5_html_extract": html_extract.query,
     "op6_packing": packing.query,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_ann_search": ann_search.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE}
