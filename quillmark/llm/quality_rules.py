@@ -2,11 +2,13 @@
 
 Every document gets counts (words, symbols, repeated lines, repeated three-word windows). Transformed rates
 form a vector; a regularised minimum-covariance-determinant estimate per language and source gives its
-Mahalanobis distance, and documents beyond a cut-off are rejected.
+Mahalanobis distance, and documents beyond a cut-off are rejected. A language and source of few rows takes the
+estimate of its language, or of all rows; that is made of every row of the language or table, also of those whose
+language and source has an estimate of its own.
 
 The estimate starts from coordinate medians and quartiles and makes concentration steps: distances under
 the present estimate, then mean and covariance of the h nearest rows. Each step is one aggregation of
-count and moment sums by (language, source, distance bin); the h nearest rows are the lowest bins. The
+count and moment sums by (group, distance bin); the h nearest rows are the lowest bins. The
 vectors are whole hundredths, so that sums of doubles are exact and reruns agree.
 """
 
@@ -90,9 +92,9 @@ def factored(groups: DataFrame, means: dict[int, Column], cov: dict[tuple[int, i
     return g.drop(*(f"c{i}{j}" for i, j in PAIRS))
 
 
-def with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
+def with_distance(rows: DataFrame, model: DataFrame, on: tuple[str, ...] = ("lk", "sk")) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution with the group's factor."""
-    r = rows.join(model, ["lk", "sk"], "left")
+    r = rows.join(model, list(on), "left")
     for i in range(P):
         s = reduce(lambda a, k, i=i: a - F.col(f"l{i}{k}") * F.col(f"z{k}"), range(i), F.col(X[i]) - F.col(f"m{i}"))
         r = r.withColumn(f"z{i}", s / F.col(f"l{i}{i}"))
@@ -100,17 +102,22 @@ def with_distance(rows: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def fit(rows: DataFrame, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
-    """The estimate for every (lk, sk): of that pair if it has min_group rows, else of its language, else of all rows."""
+    """The estimate for every (lk, sk): of that pair if it has min_group rows, else of its language if that has, else of all rows.
+
+    A row counts in each of its pair, its language and all rows, as far as some pair takes that estimate.
+    """
     n = rows.groupBy("lk", "sk").count()
     of_lang = F.sum("count").over(Window.partitionBy("lk"))
-    g = F.when(F.col("count") >= min_group, F.concat("lk", F.lit("\x01"), "sk")).when(of_lang >= min_group, F.col("lk")).otherwise("")
+    pair = F.concat("lk", F.lit("\x01"), "sk")
+    g = F.when(F.col("count") >= min_group, pair).when(of_lang >= min_group, F.col("lk")).otherwise("")
     keys = written(n.select("lk", "sk", g.alias("g")), "mcd-keys")
-    quarts = rows.join(keys, ["lk", "sk"]).groupBy("g").agg(*(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(x) for x in X))
+    every = keys.select("lk", "sk", F.explode(F.array(pair, "lk", F.lit(""))).alias("g"))
+    rows = rows.join(written(every.join(keys.select("g").distinct(), "g", "left_semi"), "mcd-members"), ["lk", "sk"])
+    quarts = rows.groupBy("g").agg(*(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(x) for x in X))
     spread = {(i, j): ((F.col(X[i])[2] - F.col(X[i])[0]) / 1.349) ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
     model = factored(quarts, {i: F.col(X[i])[1] for i in range(P)}, spread)
     for _ in range(steps):
-        model = written(keys.join(model, "g"), "mcd-step")
-        near = with_distance(rows, model).withColumn("bin", F.floor(50 * F.log1p("d2")))
+        near = with_distance(rows, written(model, "mcd-step"), ("g",)).withColumn("bin", F.floor(50 * F.log1p("d2")))
         bins = near.groupBy("g", "bin").agg(
             F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS)
         )

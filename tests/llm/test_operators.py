@@ -55,6 +55,32 @@ def test_repeated_windows_overlap(spark):
     assert {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.counts(d).collect()} == {1: 6, 2: 4, 3: 0}
 
 
+def _plain(i, source, lang="en"):
+    words = [f"w{(i * 37 + k * 11) % 997}{'x' * ((i + k) % 5)}{k}" for k in range(60 + i % 7)]
+    return (i, " ".join(words), lang, source, 1)
+
+
+@pytest.mark.parametrize(("source", "lang"), [("rare", "en"), (None, "en"), ("big", "xx"), (None, None)])
+def test_a_rare_source_is_judged_by_the_rows_of_large_ones(spark, source, lang):
+    junk = " ".join(f"#$%&|<>*#$%&{k}" for k in range(60))
+    rows = [_plain(i, "big") for i in range(60)] + [_plain(100, source, lang), _plain(101, source, lang), (102, junk, lang, source, 1)]
+    r = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, COLUMNS), min_group=30))
+    assert not r[102]["base_failed"] and not r[102]["kept"]
+    assert r[100]["kept"] and r[101]["kept"] and all(r[i]["kept"] for i in range(60))
+
+
+def test_fallback_estimates_are_of_every_row(spark):
+    """A small pair gets the estimate that a table without sources, or without languages too, gives."""
+    rows = [_plain(i, "ab"[i % 2]) for i in range(80)] + [_plain(100, "rare"), _plain(101, "big", "de")]
+    d = quality_rules.vectors(quality_rules.counts(spark.createDataFrame(rows, COLUMNS)))
+    model = {(r["lk"], r["sk"]): r for r in quality_rules.fit(d, min_group=30).collect()}
+    of_lang = quality_rules.fit(d.filter("lk = '=en'").withColumn("sk", F.lit("=")), min_group=30).collect()[0]
+    of_all = quality_rules.fit(d.withColumns({"lk": F.lit("="), "sk": F.lit("=")}), min_group=30).collect()[0]
+    names = [f"m{i}" for i in range(5)] + [f"l{i}{j}" for i in range(5) for j in range(i + 1)]
+    assert [model["=en", "=rare"][c] for c in names] == pytest.approx([of_lang[c] for c in names])
+    assert [model["=de", "=big"][c] for c in names] == pytest.approx([of_all[c] for c in names])
+
+
 def test_near_duplicates(docs):
     r = by_id(near_dedup.near_duplicates(docs))
     assert {i: r[i]["component_id"] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9)} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 7, 9: 9}
