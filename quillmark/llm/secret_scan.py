@@ -2,8 +2,8 @@
 
 Two character Markov models (bigrams, smoothed towards single characters) are trained from labelled samples: one of random
 strings, one of ordinary identifiers. A long token outside the patterns' spans is a secret if its log-likelihood
-ratio exceeds a threshold. The samples of the query come from the corpus: the values that the patterns find
-are the random strings, and ordinary words of eight characters or more, outside those spans, the identifiers.
+ratio exceeds a threshold. The samples of the query: the values that the patterns find and base-64 strings made of
+digests are the random strings, and the corpus's words of eight characters or more, outside those spans, the identifiers.
 Each class is fitted on at most `sample` distinct strings, those of smallest hash.
 
 Spans are code-point offsets, end exclusive. They are found within the row by splitting at the pattern and
@@ -29,10 +29,14 @@ KINDS = {
 #: The runs of AKIA[A-Z0-9]+ and [0-9a-f]+ that are long enough, which these patterns give, are those that remain
 #: when shorter ones are dropped: a run is matched from its start to its end either way.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+#: A long token of digits and both cases: likely random, so that a small corpus must not learn it as ordinary.
+MIXED = r"(?<![A-Za-z0-9+/_=-])" + "".join(rf"(?=[A-Za-z0-9+/_=-]*{c})" for c in ("[0-9]", "[a-z]", "[A-Z]")) + TOKEN
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{7,}"
 #: Character codes 32 to 126, and one for the start of a string.
 V, START = 96, 95
 SAMPLE, SMOOTH, THRESHOLD = 20_000, 0.1, 25.0
+#: Random strings that every sample has, so that a corpus without any fixed value has a random class too.
+DIGESTS = 2048
 MARK = "[SECRET]"
 BLOCK = 64
 
@@ -81,16 +85,18 @@ def _code(s: Column, i: Column) -> Column:
 def training_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, label): at most `sample` distinct strings of each label, those of smallest hash.
 
-    Values of base spans have label 1, and so have eight base-64 strings made of SHA-256 digests of each value:
-    random strings over the alphabet that the patterns' values lack. Identifiers have label 0; a fixed share of all distinct
-    identifiers, by hash, is taken from the corpus, words within base spans left out.
+    Values of base spans have label 1, and so have eight base-64 strings made of SHA-256 digests of each value, and
+    DIGESTS more made of numbers: random strings over the alphabet that the patterns' values lack. Identifiers have label 0:
+    all those of the corpus, after the base spans are cut out of the texts (MARK holds no identifier), and the long tokens
+    that mix digits and both cases, which belong to neither class before they are scored.
     """
-    d = docs.select(F.coalesce("text", F.lit("")).alias("t"))
+    d = docs.select(F.coalesce("text", F.lit("")).alias("t")).withColumn("spans", base_spans(F.col("t")))
     digest = lambda v, i: F.substring(F.base64(F.unhex(F.sha2(F.concat(v, F.lit(str(i))), 256))), 1, 32)
-    values = F.flatten(F.transform(base_spans(F.col("t")), lambda x: F.array(x["value"], *(digest(x["value"], i) for i in range(8)))))
-    words = F.filter(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0)), lambda w: (F.pmod(F.xxhash64(w), F.lit(256)) == 0) & ~w.rlike(r"^AKIA|[0-9a-f]{16}"))
+    values = F.flatten(F.transform("spans", lambda x: F.array(x["value"], *(digest(x["value"], i) for i in range(8)))))
+    words = F.array_distinct(F.regexp_extract_all(F.regexp_replace(redacted(F.col("t"), F.col("spans")), MIXED, " "), F.lit(IDENTIFIER), F.lit(0)))
     both = d.select(F.transform(values, lambda v: F.struct(v.alias("text"), F.lit(1).alias("label"))).alias("a"), F.transform(words, lambda w: F.struct(w.alias("text"), F.lit(0).alias("label"))).alias("b"))
-    rows = written(both.select(F.explode(F.concat("a", "b")).alias("x")).select("x.text", "x.label").distinct(), "samples")
+    more = docs.sparkSession.range(DIGESTS).select(digest(F.col("id").cast("string"), 0).alias("text"), F.lit(1).alias("label"))
+    rows = written(both.select(F.explode(F.concat("a", "b")).alias("x")).select("x.text", "x.label").unionByName(more).distinct(), "samples")
     return of_smallest_hash(rows.filter("label = 1"), "text", sample).unionByName(of_smallest_hash(rows.filter("label = 0"), "text", sample))
 
 

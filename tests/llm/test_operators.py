@@ -135,6 +135,26 @@ def test_random_strings_score_above_words(spark):
     assert a > secret_scan.THRESHOLD > 0 > b
 
 
+def test_every_identifier_outside_base_spans_is_a_sample(spark):
+    words = [f"identifier_{i}" for i in range(40)]
+    texts = [" ".join(words[:25]), " ".join(words[20:]), "password=configuration42 ends", "my_modulex0123456789abcdef", None]
+    d = spark.createDataFrame([(t,) for t in texts], "text string")
+    rows = secret_scan.training_samples(d).collect()
+    assert sorted(r["text"] for r in rows if r["label"] == 0) == sorted([*words, "my_modulex"])
+    assert {"configuration42", "0123456789abcdef"} <= {r["text"] for r in rows if r["label"] == 1}
+    assert sorted(r["label"] for r in secret_scan.training_samples(d, 7).collect()) == [0] * 7 + [1] * 7
+
+
+def test_random_strings_are_found_without_any_fixed_pattern(spark):
+    key = base64.b64encode(hashlib.sha256(b"key").digest()).decode()[:40]
+    ends = "tion ment ality ation ance ness able ities ing ered".split()
+    stems = "configura parame identi implemen descrip applica develop interna respons informa docum struct manage consider".split()
+    prose = " ".join(a + b for a in stems for b in ends)
+    d = spark.createDataFrame([(1, prose), (2, f"see {key} there"), (3, "implementationdescription")], "doc_id long, text string")
+    r = by_id(secret_scan.scan(d, secret_scan.fit(secret_scan.training_samples(d))))
+    assert [(x["start"], x["end"]) for x in r[2]["_spans"]] == [(4, 44)] and not r[1]["_spans"] and not r[3]["_spans"]
+
+
 def test_packing(docs):
     out = packing.pack(docs).toPandas()
     from tokenizers import Tokenizer
