@@ -8,12 +8,12 @@ and LT belong to links, and a body of C_b characters with LC_b in links, it is
 with counts of 0 taken as 1 where they divide (e - 1 keeps the base's logarithm above 0 on pages without links). The
 density sum of an element is the sum of its children's densities; the element of the largest sum is the core of the
 article, and the smallest density on its path from the body is the threshold. If the core lies in an article or
-main element, that element is the content, and if the page has such elements elsewhere, the one of largest density sum is.
-Otherwise the content is the core and, along its path, every sibling subtree
+main element, that element is the content, with its siblings of that kind whose density reaches the threshold; if it holds
+such elements, they are. Otherwise the content is the core and, along its path, every sibling subtree
 whose density reaches the threshold.
 
 Elements that cannot be the article (scripts, forms, navigation, and those whose class, id or role says so) are left
-out beforehand. Pages are parsed one at a time within tasks; no row moves.
+out beforehand; a form, class or id does not leave out what holds the heading, an article or most of the text. Pages are parsed one at a time within tasks; no row moves.
 """
 
 from __future__ import annotations
@@ -61,26 +61,52 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "density_sum", "kids", "link_chars", "link_tags", "parent", "tag", "tags")
+    __slots__ = ("chars", "density", "density_sum", "kids", "link_chars", "link_tags", "parent", "tag", "tags", "weak")
 
     def __init__(self, tag: str, parent: Node | None):
-        self.tag, self.parent, self.kids = tag, parent, []
+        self.tag, self.parent, self.kids, self.weak = tag, parent, [], 0
 
 
-def furniture(tag: str, attrs: str, within_article: bool) -> bool:
-    if tag in NEVER or tag == "header" and not within_article:
-        return True
-    if not attrs:
-        return False
-    for name, *values in ATTR.findall(attrs):
+#: What furniture() tells: left out at once, or unless spare() finds the article in it (by a whole class word, by a part of one or as a form).
+OUT, WORD, PART = 3, 2, 1
+
+
+def furniture(tag: str, attrs: str, within_article: bool) -> int:
+    if tag in NEVER and tag != "form" or tag == "header" and not within_article:
+        return OUT
+    found = PART if tag == "form" else 0
+    for name, *values in ATTR.findall(attrs or ""):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id"):
             words = {w.lower() for w in WORDS.findall("".join(values))}
             if words & FURNITURE or "header" in words and not within_article and tag in ("div", "section"):
-                return tag not in ("html", "body", "article", "main") or bool(words & {"comment", "comments", "reply", "ad", "sponsored", "related", "promo"}) and tag == "article"
+                if tag not in ("html", "body", "article", "main") or bool(words & {"comment", "comments", "reply", "ad", "sponsored", "related", "promo"}) and tag == "article":
+                    found = max(found, WORD if set(value.split()) & (FURNITURE | {"header"}) else PART)
         elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+            return OUT
+    return found
+
+
+def spare(root: Node) -> None:
+    """Takes furniture by class or as form out of the tree, but not what holds an h1, an article or main, or most of the text outside links.
+
+    Text alone does not spare an element named by a whole word, such as comments, if the page has a heading outside furniture.
+    """
+    order, pending = [], [(root, False, False)]
+    headed = False
+    while pending:
+        n, link, inside = pending.pop()
+        link, inside = link or n.tag == "a", inside or n.weak > 0
+        headed |= n.tag in ("h1", "h2", "h3") and not inside
+        n.chars = 0 if link else sum(len(k.strip()) for k in n.kids if not isinstance(k, Node))
+        n.tags = int(n.tag in ("h1", "article", "main") and not n.weak)  # for now, whether it holds one of these
+        order.append(n)
+        pending += [(k, link, inside) for k in n.kids if isinstance(k, Node)]
+    for n in reversed(order[1:]):
+        n.parent.chars += n.chars
+        n.parent.tags |= n.tags
+    for n in order:
+        n.kids = [k for k in n.kids if not isinstance(k, Node) or not k.weak or k.tags or 2 * k.chars > root.chars and not (k.weak == WORD and headed)]
 
 
 def parse(page: str) -> Node:
@@ -127,11 +153,12 @@ def parse(page: str) -> Node:
             if tag == "html":
                 continue
             out = furniture(tag, attrs, bool(articles))
-            stack.append((tag, node, out))
+            stack.append((tag, node, out == OUT))
             articles += tag in ("article", "main")
-            left_out += out
+            left_out += out == OUT
             if not left_out:
                 new = Node(tag, node)
+                new.weak = out
                 node.kids.append(new)
                 node = new
         elif (tag := m["end"]) is not None:
@@ -143,6 +170,7 @@ def parse(page: str) -> Node:
         elif m["cdata"]:
             text(m["cdata"])
     text(page[at:])
+    spare(root)
     return root
 
 
@@ -172,6 +200,11 @@ def measure(root: Node) -> None:
         n.density = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base + math.e - 1) if c else 0.0
 
 
+def ancestors(n: Node) -> Iterator[Node]:
+    while (n := n.parent) is not None:
+        yield n
+
+
 def content(root: Node) -> list[Node]:
     """The elements whose texts are the article, in page order."""
     measure(root)
@@ -189,12 +222,14 @@ def content(root: Node) -> list[Node]:
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for kind, nodes in named.items():
-        if inside := [n for n in path if n.tag == kind]:
-            return [inside[-1]]
-        if nodes:  # a short article beside longer text
-            return [max(nodes, key=lambda n: n.density_sum)]
     threshold = min(n.density for n in path)
+    for kind in named:
+        if inside := [n for n in path if n.tag == kind]:
+            wide = inside[-1]  # an article may be split over siblings
+            return [k for k in wide.parent.kids if k is wide or isinstance(k, Node) and k.tag == kind and k.density >= threshold > 0]
+    for nodes in named.values():  # articles within the core, also short ones beside longer text
+        if within := [n for n in nodes if any(p is core for p in ancestors(n)) and not any(p.tag == n.tag for p in ancestors(n))]:
+            return within
     keep, on_path = [], set(map(id, path))
 
     def walk(n: Node) -> None:

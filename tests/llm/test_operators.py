@@ -225,6 +225,25 @@ def test_main_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+LONG = "".join(f"<p>{'A long sentence of the story goes here and on. ' * 3}</p>" for _ in range(3))
+
+
+def test_the_core_decides_before_article_elements():
+    got = html_extract.main_text(f"<body><main><div class=story>{LONG}</div><article class=card>teaser</article></main></body>")
+    assert got.count("A long sentence") == 9
+    got = html_extract.main_text(f"<body><div class=story>{LONG}</div><article class=card>teaser</article></body>")
+    assert got.count("A long sentence") == 9 and "teaser" not in got
+    got = html_extract.main_text(f"<body><div><article>{LONG}</article><article>{LONG}{LONG}</article></div></body>")
+    assert got.count("A long sentence") == 27
+
+
+@pytest.mark.parametrize("wrap", ["div class='layout with-sidebar'", "div id='page' class='no-comments'", "div class='post related-on'", "form", "div class=widget"])
+@pytest.mark.parametrize("inner", [LONG, f"<h1>Title</h1>{LONG}", f"<article>{LONG}</article>"])
+def test_a_wrapper_is_no_furniture(wrap, inner):
+    got = html_extract.main_text(f"<body><{wrap}>{inner}<div class=sidebar><p>other</p></div></{wrap.split()[0]}></body>")
+    assert got.count("A long sentence") == 9 and "other" not in got
+
+
 def test_extract_keeps_rows(spark):
     p = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = html_extract.extract(p).collect()
