@@ -6,14 +6,16 @@ and LT belong to links, and a body of C_b characters with LC_b in links, it is
     C / T * log(C / LC * T / LT) / log(ln(C * LC / (C - LC) + LC_b * C / C_b + e) + e - 1)
 
 with counts of 0 taken as 1 where they divide (e - 1 keeps the base's logarithm above 0 on pages without links). The
-density sum of an element is the sum of its children's densities; the element of the largest sum is the core of the
-article, and the smallest density on its path from the body is the threshold. If the core lies in an article or
+density sum of an element is the sum of its children's densities, where text of its own counts as one more child, of the
+element's density; the element of the largest sum is the core of the article, and the smallest density on its path from the
+body is the threshold. If the core lies in an article or
 main element, that element is the content, with its siblings of that kind whose density reaches the threshold; if it holds
 such elements, they are. Otherwise the content is the core and, along its path, every sibling subtree
 whose density reaches the threshold.
 
 Elements that cannot be the article (scripts, forms, navigation, and those whose class, id or role says so) are left
-out beforehand; a form, class or id does not leave out what holds the heading, an article or most of the text. Pages are parsed one at a time within tasks; no row moves.
+out beforehand; a form, class or id does not leave out what holds the heading, an article or most of the text. Pages are
+parsed one at a time within tasks, in time that grows with their length whatever they hold; no row moves.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -50,12 +53,9 @@ FURNITURE = frozenset(
     "footer masthead topbar comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
     "subscription signup login share sharing social related recommended recommendations widget widgets toolbar pagination pager skip hidden sponsorship outbrain taboola rail paywall".split()
 )
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*>?"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>?"
-    r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+PLAIN = re.compile(r"[^>\"']*+")
+CLOSERS = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -109,11 +109,38 @@ def spare(root: Node) -> None:
         n.kids = [k for k in n.kids if not isinstance(k, Node) or not k.weak or k.tags or 2 * k.chars > root.chars and not (k.weak == WORD and headed)]
 
 
+class Tags:
+    """Where the tags of a page end: at the first > outside quotes, or at the first at all if quotes stay open."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, {c: page.rfind(c) for c in ">\"'"}
+        self.open: set[int] = set()  # quotes after which no > is outside quotes
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes begin at `at`; -1 if there is none."""
+        if at > self.last[">"]:
+            return -1
+        begin, met = at, []
+        while True:
+            at = PLAIN.match(self.page, at).end()
+            if at == len(self.page) or at in self.open:
+                break
+            if (c := self.page[at]) == ">":
+                return at
+            met.append(at)
+            if at == self.last[c]:
+                break
+            at = self.page.find(c, at + 1) + 1
+        self.open.update(met)
+        return self.page.find(">", begin)
+
+
 def parse(page: str) -> Node:
     """The tree of the elements that may hold the article; texts are strings among an element's kids."""
     root = node = Node("html", None)
     stack: list[tuple[str, Node, bool]] = []  # open elements; for those left out, the node that was current before
-    left_out, articles, at = 0, 0, 0
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a tag are
+    left_out, articles, at, tags = 0, 0, 0, Tags(page)
 
     def close(k: int) -> None:
         nonlocal node, left_out, articles
@@ -121,38 +148,30 @@ def parse(page: str) -> Node:
             node = before
             left_out -= out
             articles -= tag in ("article", "main")
+            places[tag].pop()
         del stack[k:]
 
     def text(s: str) -> None:
         if s and not left_out:
             node.kids.append(html.unescape(s) if "&" in s else s)
 
-    find = TOKEN.search
-    while m := find(page, at):
-        text(page[at : m.start()])
-        at = m.end()
-        if (tag := m["tag"]) is not None:
-            tag, attrs = tag.lower(), m["attrs"]
-            if tag in RAW:
-                e = re.compile(rf"</{tag}\s*>|$(?![\s\S])", re.I).search(page, at)
-                at = e.end()
-                continue
-            if ends := ENDS.get(tag):
-                scope = SCOPES.get(tag, SCOPE)
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in ends:
-                        close(k)
-                    elif stack[k][0] in scope:
-                        break
-            if tag in VOID:
-                if not left_out:
-                    node.kids.append(" " if tag == "br" else Node(tag, node))
-                continue
-            if attrs.endswith("/") and tag not in BLOCKS and tag != "a":
-                continue
-            if tag == "html":
-                continue
+    def ended(tag: str, ends: frozenset[str]) -> None:
+        """Closes the first open element of `ends` within the nearest scope."""
+        scope = max((places[t][-1] for t in SCOPES.get(tag, SCOPE) if places.get(t)), default=-1)
+        inner = [p[i] for t in ends if (p := places.get(t)) and (i := bisect_right(p, scope)) < len(p)]
+        if inner:
+            close(min(inner))
+
+    def opened(tag: str, attrs: str) -> None:
+        nonlocal node, left_out, articles
+        if ends := ENDS.get(tag):
+            ended(tag, ends)
+        if tag in VOID:
+            if not left_out:
+                node.kids.append(" " if tag == "br" else Node(tag, node))
+        elif tag != "html" and not (attrs.endswith("/") and tag not in BLOCKS and tag != "a"):
             out = furniture(tag, attrs, bool(articles))
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, node, out == OUT))
             articles += tag in ("article", "main")
             left_out += out == OUT
@@ -161,14 +180,38 @@ def parse(page: str) -> Node:
                 new.weak = out
                 node.kids.append(new)
                 node = new
-        elif (tag := m["end"]) is not None:
-            tag = tag.lower()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-        elif m["cdata"]:
-            text(m["cdata"])
+
+    while (lt := page.find("<", at)) >= 0:
+        begin = at
+        if page.startswith("<!--", lt):
+            at = page.find("-->", lt + 4)
+            at = at + 3 if at >= 0 else len(page)
+            text(page[begin:lt])
+        elif page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            at = end + 3 if end >= 0 else len(page)
+            text(page[begin:lt])
+            text(page[lt + 9 : end if end >= 0 else len(page)])
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            at = page.find(">", lt) + 1 or len(page)
+            text(page[begin:lt])
+        elif page.startswith("</", lt) and (m := NAME.match(page, lt + 2)):
+            at = page.find(">", m.end()) + 1 or len(page)
+            text(page[begin:lt])
+            if open_ := places.get(m[0].lower()):
+                close(open_[-1])
+        elif (m := NAME.match(page, lt + 1)) and (end := tags.end(m.end())) >= 0:
+            at = end + 1
+            text(page[begin:lt])
+            tag = m[0].lower()
+            if tag in RAW:
+                closer = CLOSERS[tag].search(page, at)
+                at = closer.end() if closer else len(page)
+            else:
+                opened(tag, page[m.end() : end])
+        else:  # no tag: the text goes on
+            at = lt + 1
+            text(page[begin:at])
     text(page[at:])
     spare(root)
     return root
@@ -200,49 +243,49 @@ def measure(root: Node) -> None:
         n.density = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(base + math.e - 1) if c else 0.0
 
 
-def ancestors(n: Node) -> Iterator[Node]:
-    while (n := n.parent) is not None:
-        yield n
+def topmost(core: Node, tag: str) -> list[Node]:
+    """The elements of a tag below the core that have text and lie in no other of them, in page order."""
+    out, pending = [], [k for k in reversed(core.kids) if isinstance(k, Node)]
+    while pending:
+        n = pending.pop()
+        if n.tag == tag and n.chars:
+            out.append(n)
+        elif n.chars:
+            pending += [k for k in reversed(n.kids) if isinstance(k, Node)]
+    return out
 
 
 def content(root: Node) -> list[Node]:
     """The elements whose texts are the article, in page order."""
     measure(root)
-    core, most, pending, named = root, -1.0, [root], {"article": [], "main": []}
+    core, most, pending = root, -1.0, [root]
     while pending:
         n = pending.pop()
-        if n.tag in named and n.chars:
-            named[n.tag].append(n)
         nodes = [k for k in n.kids if isinstance(k, Node)]
-        total = sum(k.density for k in nodes) + (n.density if any(not isinstance(k, Node) and k.strip() for k in n.kids) else 0.0)
-        n.density_sum = total
-        if total > most:
-            core, most = n, total
+        own = any(not isinstance(k, Node) and k.strip() for k in n.kids)
+        n.density_sum = sum(k.density for k in nodes) + (n.density if own else 0.0)
+        if n.density_sum > most:
+            core, most = n, n.density_sum
         pending += reversed(nodes)
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path)
-    for kind in named:
+    for kind in ("article", "main"):
         if inside := [n for n in path if n.tag == kind]:
             wide = inside[-1]  # an article may be split over siblings
             return [k for k in wide.parent.kids if k is wide or isinstance(k, Node) and k.tag == kind and k.density >= threshold > 0]
-    for nodes in named.values():  # articles within the core, also short ones beside longer text
-        if within := [n for n in nodes if any(p is core for p in ancestors(n)) and not any(p.tag == n.tag for p in ancestors(n))]:
+    for kind in ("article", "main"):  # articles within the core, also short ones beside longer text
+        if within := topmost(core, kind):
             return within
-    keep, on_path = [], set(map(id, path))
-
-    def walk(n: Node) -> None:
-        if n is core:
-            keep.append(n)
-        elif id(n) in on_path:
-            for k in n.kids:
-                if isinstance(k, Node):
-                    walk(k)
-        elif n.density >= threshold > 0:
-            keep.append(n)
-
-    walk(root)
+    keep, on_path, pending = [], set(map(id, path)), [root]
+    while pending:
+        n = pending.pop()
+        if n is core or id(n) not in on_path:
+            if n is core or n.density >= threshold > 0:
+                keep.append(n)
+        else:
+            pending += [k for k in reversed(n.kids) if isinstance(k, Node)]
     return keep
 
 
