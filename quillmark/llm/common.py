@@ -20,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the folder that all executors share (spark.checkpoint.dir).
 
-    Where the setting is absent, as in local tests, a temporary folder takes its place.
+    Where the setting is absent, as in tests, a temporary folder takes its place; only a local session may do so.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quillmark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -42,8 +44,17 @@ def words_of(text: Column) -> Column:
 
 
 def of_smallest_hash(rows: DataFrame, column: str, n: int) -> DataFrame:
-    """n rows, those of smallest hash: every task keeps its n best, so no task sorts all rows."""
-    return rows.orderBy(F.xxhash64(column), column).limit(n)
+    """n rows, those of smallest hash; rows should be a written table, as it is counted first.
+
+    Hashes are spread evenly, so those below 2 n / (number of rows) of their range hold the n smallest, and only they are
+    sorted.
+    """
+    total = rows.count()
+    h = F.xxhash64(column)
+    if total > 4 * n:
+        low = rows.filter(h < F.lit(-(2**63) + 2**65 * n // total))
+        rows = low if low.count() >= n else rows
+    return rows.orderBy(h, column).limit(n)
 
 
 def running_start(df: DataFrame, group: list[str], chunk: str, order: list[str], length: str, out: str) -> DataFrame:
