@@ -16,13 +16,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import NOT_SPACE, SPACE, running_start, table, words_of, written
 
 WEIGHTS, LIMIT = (1, 2, 3), 3
 BLOCK, SLOTS, CHUNKS, SEED = 64, 65_536, 4096, 20_240_501
+#: Slots that a task gives out, about, and the most tasks.
+TASK_SLOTS, MOST_TASKS = 1 << 18, 20_000
 
 
 def targets(sizes: dict, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT) -> dict[object, float]:
@@ -32,14 +34,17 @@ def targets(sizes: dict, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT)
     """
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    fixed: dict[object, float] = {}
-    while True:
-        left, free = sum(sizes.values()) - sum(fixed.values()), [s for s in order if s not in fixed]
-        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
-        over = [s for s in free if share[s] > limit * sizes[s]]
-        if not over:
-            return fixed | share
-        fixed |= {s: float(limit * sizes[s]) for s in over}
+    left, free, out = sum(sizes.values()), sum(weight.values()), {}
+    bound = True
+    for s in sorted(order, key=lambda s: sizes[s] / weight[s]):  # by how soon the limit binds: once one is within it, so are all after it
+        share = left * weight[s] / free
+        bound = bound and share > limit * sizes[s]
+        if bound:
+            out[s] = float(limit * sizes[s])
+            left, free = left - limit * sizes[s], free - weight[s]
+        else:
+            out[s] = float(share)
+    return {s: out[s] for s in order}
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -98,15 +103,22 @@ def slots_of(spark: SparkSession, wanted: list[int], blocks: list[int], slots: i
     dealt = drawn.join(want, "s").select("shard", "s", "start", F.least(F.col("start") + F.col("n"), "want").alias("end"))
     got = drawn.groupBy("s").agg(F.sum("n").alias("got"))
     late = want.join(got, "s", "left").select(F.lit(shards).alias("shard"), "s", F.coalesce("got", F.lit(0)).alias("start"), F.col("want").alias("end"))
-    rows = dealt.unionByName(late).filter("start < end")
-    return rows.repartition("shard", "s").mapInPandas(_slots(blocks, seed), "shard long, s long, pass long, block long")
+    late = late.filter("start < end").withColumn("start", F.explode(F.expr(f"sequence(start, end - 1, {slots}L)"))).withColumn("end", F.least(F.col("end"), F.col("start") + slots))
+    rows = dealt.filter("start < end").unionByName(late)
+    tasks = min(MOST_TASKS, -(-total // TASK_SLOTS))  # said outright: rows are few and tiny before they become slots, and would be put in one task
+    return rows.repartition(tasks, "shard", "s", "start").mapInPandas(_slots(blocks, seed), "shard long, s long, pass long, block long")
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, source, size, chunk) of every document; row numbers the rows as stored."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with row, a number of each row, written so that the number stays."""
+    return written(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "numbered")
+
+
+def _sized(docs: DataFrame, row: Column) -> DataFrame:
+    """(row, doc_id, source, size, chunk) of every document; chunk is a hash of id and text, so that rows without id spread."""
     size = F.size(words_of(F.col("text"))).cast("long")
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", size.alias("size"))
-    return written(d.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(CHUNKS))), "sizes")
+    d = docs.select(row.alias("row"), "doc_id", "source", size.alias("size"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(CHUNKS)).alias("chunk"))
+    return written(d, "sizes")
 
 
 def taken_blocks(spark: SparkSession, sized: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +151,7 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, seed: int = SEE
     their own words in the stream. An empty table gives an empty result. Columns other than doc_id, source and text
     are not read. Reruns over the same rows agree.
     """
-    sized = _sized(docs)
+    sized = _sized(docs, F.monotonically_increasing_id())
     sources, parts = taken_blocks(docs.sparkSession, sized, block, slots, seed)
     sources = sources.withColumnRenamed("source", "of")
     taken = parts.groupBy("row").agg(F.sum(F.col("high") - F.col("low")).alias("taken"))
@@ -151,19 +163,22 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as documents: for each pass over a source a row with the words taken from the document in it.
 
     Neighbouring blocks are one run of words. A run over the whole document has its text as it was; others have their
-    words with the white space between them; a document's runs in one pass are joined by a line break.
+    words with the white space between them; a document's runs in one pass are joined by a line break. Null and empty texts
+    have no words and leave the mix; rows without id or source are mixed like others, repeated rows each; an empty
+    table stays empty.
     """
-    _, parts = taken_blocks(spark, _sized(docs))
-    runs = parts.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("runs"))  # blocks of one document
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).join(runs, "row")
+    cols, docs = docs.columns, _numbered(docs)
+    _, parts = taken_blocks(spark, _sized(docs, F.col("_mix_row")))
+    runs = parts.groupBy(F.col("row").alias("_mix_of"), "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("_mix_runs")).drop("pass")  # blocks of one document
+    rows = docs.join(runs, F.col("_mix_row") == F.col("_mix_of"))
     tokens = F.regexp_extract_all("text", F.lit(f"{SPACE}*{NOT_SPACE}+"), F.lit(0))
     text = lambda r, w: F.concat(F.when(r["low"] != r["prev"], "\n").otherwise(""), F.array_join(F.slice(w, r["low"] + 1, r["high"] - r["low"]), ""))
-    linked = F.transform("runs", lambda r, i: F.struct(r["low"].cast("int").alias("low"), r["high"].cast("int").alias("high"), F.coalesce(F.get("runs", i - 1)["high"], r["low"]).cast("int").alias("prev")))
+    linked = F.transform("_mix_runs", lambda r, i: F.struct(r["low"].cast("int").alias("low"), r["high"].cast("int").alias("high"), F.coalesce(F.get("_mix_runs", i - 1)["high"], r["low"]).cast("int").alias("prev")))
     part = F.element_at(F.transform(F.array(tokens), lambda w: F.array_join(F.transform(linked, lambda r: text(r, w)), "")), 1)
-    covered = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["high"] - r["low"])
+    covered = F.aggregate("_mix_runs", F.lit(0).cast("long"), lambda a, r: a + r["high"] - r["low"])
     rows = rows.withColumn("_new", F.when(covered == F.size(words_of(F.col("text"))), F.col("text")).otherwise(F.regexp_replace(part, f"^{SPACE}+", "")))
     new = {"text": F.col("_new"), "n_chars": F.when(F.col("_new") == F.col("text"), F.col("n_chars")).otherwise(F.length("_new").cast("long"))}
-    return rows.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+    return rows.select(*(new[c].alias(c) if c in new else docs[c] for c in cols))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
