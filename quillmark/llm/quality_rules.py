@@ -33,13 +33,13 @@ CUT = 30.86
 MIN_GROUP, STEPS = 400, 4
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every document; a null text counts as empty.
+def counts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, lang, source and the counts of every document, and the columns named by `more`; a null text counts as empty.
 
     n_repeat_words are the words that lie in a three-word window found at least twice in the text: equal
     windows are found by sorting (hash, position) within the row, so no row leaves its task.
     """
-    d = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("t"))
+    d = docs.select("doc_id", "lang", "source", *more, F.coalesce("text", F.lit("")).alias("t"))
     d = d.withColumn("w", words_of(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(NOT_SPACE)))
     window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
     d = d.withColumn("tri", F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), window)))
@@ -50,7 +50,7 @@ def counts(docs: DataFrame) -> DataFrame:
     covered = F.transform("at", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - p, F.lit(3))))
     size = lambda c: F.size(c).cast("long")
     return d.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", *more,
         size("w").alias("n_words"),
         F.length(F.regexp_replace("t", f"{SPACE}+", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -145,14 +145,17 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep. The verdict needs the row's own counts, so it is computed beside the text."""
-    cols = docs.columns
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    stats = counts(rows.withColumn("doc_id", F.col("_row"))).withColumnRenamed("doc_id", "_row")
-    stats = written(vectors(stats), "quality-vectors")
-    good = stats.filter(~F.col("base_failed"))
-    kept = with_distance(good, fit(good)).filter(F.coalesce("d2", F.lit(0.0)) <= CUT).select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*cols)
+    """The documents that the rules keep, with their columns as they were; every row is judged by its own text.
+
+    The counts are written beside the row, so that no verdict has to find its document again. Null and empty texts fail the
+    base rules and go; rows without id, language or source are judged like others, repeated rows each; an empty table
+    stays empty.
+    """
+    row = docs.select("doc_id", "lang", "source", "text", F.struct(*(docs[c] for c in docs.columns)).alias("_doc"))
+    rows = written(vectors(counts(row, "_doc")), "quality-vectors")
+    good = rows.filter(~F.col("base_failed"))
+    kept = with_distance(good, fit(good.drop("_doc"))).filter(F.coalesce("d2", F.lit(0.0)) <= CUT)
+    return kept.select("_doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
