@@ -5,9 +5,9 @@ repeats its predecessor also counts as a pair of its own. Indicators are scaled
 and the vector to unit length. A hinge-loss model is fitted by dual coordinate descent; a logistic curve, fitted on
 rows that the descent didn't see, turns margins into scores.
 
-The fit uses a bounded sample of the labelled rows: at most `per_class` documents of each class, those of smallest
-hash. It runs in one task over that sample; the model has the fixed size of the hash space. Scoring reads every whole
-text where it lies.
+The fit uses a bounded sample of the labelled rows: of each class at most `per_class` documents, those of smallest
+hash, and at most `per_class_slots` n-grams in them. It runs in one task over that sample, which so has a bound in
+bytes too; the model has the fixed size of the hash space. Scoring reads every whole text where it lies.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import of_smallest_hash, table
+from quillmark.llm.common import of_smallest_hash, table, written
 
 BITS = 18
-PER_CLASS, EPOCHS, COST, CALIBRATE = 4000, 15, 1.0, 5
+PER_CLASS, PER_CLASS_SLOTS, EPOCHS, COST, CALIBRATE = 4000, 24_000_000, 15, 1.0, 5
 CUT = 0.3
 WORDS_KEPT = 300_000
 ROWS = 1000
@@ -97,7 +97,7 @@ class Model:
 def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int, seed: int = 7) -> np.ndarray:
     """Dual coordinate descent for the hinge loss; the last weight is that of a constant feature."""
     w, alpha, rng = np.zeros((1 << BITS) + 1), np.zeros(len(y)), np.random.default_rng(seed)
-    length = np.array([v @ v + 1.0 for v in values])
+    length = np.array([float(v @ v) + 1.0 for v in values])
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(y)):
@@ -132,7 +132,7 @@ def fit(labels: np.ndarray, grams: list[np.ndarray], share: float, epochs: int =
     values = []
     for i in train:
         v = ratio[grams[i]]
-        values.append(v / max(1e-12, float(np.sqrt(v @ v))))
+        values.append((v / max(1e-12, float(np.sqrt(v @ v)))).astype(np.float32))
     each = np.where(y[train] > 0, 0.5 / (y[train] > 0).mean(), 0.5 / (y[train] < 0).mean())
     w = descend([grams[i] for i in train], values, y[train], COST * each, epochs)
     model = Model((w[:-1] * ratio).astype(np.float32), ratio.astype(np.float32), float(w[-1]))
@@ -158,6 +158,7 @@ def held_out(doc_id: Column) -> Column:
 def sample_ids(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, label, share) of the rows to fit on: of each class at most per_class, in no fold that is held out."""
     rows = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
+    rows = written(rows, "labelled")
     share = rows.agg(F.avg("label")).first()[0]
     of_class = [of_smallest_hash(rows.filter(F.col("label") == c), "doc_id", per_class) for c in (0, 1)]
     return of_class[0].unionByName(of_class[1]).select("doc_id", "label", F.lit(0.5 if share is None else float(share)).alias("share"))
@@ -176,15 +177,32 @@ def _fitted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"weight": [m.weight.tobytes()], "ratio": [m.ratio.tobytes()], "bias": [m.bias], "slope": [m.slope], "shift": [m.shift]})
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def bounded(features: DataFrame, slots: int) -> DataFrame:
+    """The rows of features (u, doc_id, grams, label, share) to fit on: one of each document, up to `slots` n-grams in each class by hash of the id.
+
+    Features is a written table, u a number of its rows. Only ids and sizes, of at most per_class documents a class, are
+    sorted in one task.
+    """
+    f = features.select("u", "doc_id", "label", (F.octet_length("grams") / 4).alias("n"), F.xxhash64("grams").alias("h"))
+    one = f.withColumn("one", F.row_number().over(Window.partitionBy("doc_id").orderBy("h", "u"))).filter("one = 1")
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = one.withColumn("upto", upto).filter(F.col("upto") <= slots).select("u")
+    return features.join(F.broadcast(chosen), "u", "left_semi").drop("u")  # at most 2 * per_class numbers
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, per_class_slots: int = PER_CLASS_SLOTS) -> Model:
     """The model of the documents with a quality label; only the model comes to the driver.
 
-    Labels other than 0 and 1 are left out; of several labels of a document the largest holds. Without rows of both
-    classes every score is the share of label 1, or a half.
+    Labels other than 0 and 1 are left out; of several labels of a document the largest holds, of several texts the one
+    whose n-grams have the smallest hash. Without rows of both classes every score is the share of label 1, or a half.
     """
     ids = F.broadcast(sample_ids(labels, per_class))  # at most 2 * per_class rows
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(ids, "doc_id")
-    r = rows.select("doc_id", "text", "label", "share").mapInArrow(_features, "doc_id long, grams binary, label int, share double").repartition(1).mapInPandas(_fitted, "weight binary, ratio binary, bias double, slope double, shift double").first()
+    features = rows.select("doc_id", "text", "label", "share").mapInArrow(_features, "doc_id long, grams binary, label int, share double")
+    features = written(features.withColumn("u", F.monotonically_increasing_id()), "grams")
+    r = bounded(features, per_class_slots).repartition(1).mapInPandas(_fitted, "weight binary, ratio binary, bias double, slope double, shift double").first()
+    if r is None:  # no labelled document
+        return fit(np.empty(0), [], 0.5)
     return Model(np.frombuffer(r["weight"], np.float32), np.frombuffer(r["ratio"], np.float32), r["bias"], r["slope"], r["shift"])
 
 
