@@ -1,11 +1,14 @@
 """Mixture-controlled packing: every window is filled from the sources by deficit round-robin.
 
 Each source is a queue: its documents' tokens in storage order. There are as many rounds as windows; in each
-round a source's deficit grows by its share of the tokens, it sends as many whole quanta as the deficit covers,
-and the rest is carried to the next round. After r of R rounds a source of n quanta has sent floor(n * r / R), so
-the state at any window follows from the token totals alone: partitions need no word from each other, and
-deficits carry across their borders exactly. The rounds, one after the other, are one gapless stream that is cut
-into sequences; all but the last are full.
+round a source's deficit grows by its target share of a window, it sends as many whole quanta as the deficit covers,
+and the rest is carried to the next round. Without target weights the targets are the sources' own shares, which last to
+the end. With weights a source may run dry before others; those share its part by weight from then on, so there is a
+phase for each source that ends. Within a phase of R rounds in which a source sends n quanta it has sent floor(n * r / R)
+after r of them, so the state at any window follows from the token totals alone: partitions need no word from each other,
+and deficits carry across their borders exactly. A window's share of a source is off by a quantum at most, which the next
+windows make good. The rounds, one after the other, are one gapless stream that is cut into sequences; all but the last
+are full. What is less than a quantum at a source's end comes in the last round.
 
 1. Tokenise once; ids, and each document's place among its task's documents of that source, go to a table.
 2. Sum tokens by (source, task): a small table; its running sums give every document its place in the queue.
@@ -35,6 +38,8 @@ WORDS_KEPT = 400_000
 #: Up to so many rows of running sums, of some 40 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 ROWS = 2000
+#: Entries of a table of rounds by sources that a task makes at once.
+TABLE = 1 << 21
 #: Marks that may follow a word's letters; the apostrophe is none of them, as the tokenizer keeps some endings with it.
 MARKS = ",.;:!?%*#$&|<>()[]{}+=~^@/\\-_\""
 TOKENS = "source string, part int, first long, n long, doc_id long, ids binary"
@@ -178,36 +183,96 @@ def _tokens(tokenizer: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def muldiv(x: np.ndarray, y: np.ndarray, n: np.ndarray, less: int = 0) -> np.ndarray:
+    """floor((x * y - less) / n) for whole numbers 0 <= x <= n and y, n < 2 ** 42, less 0 or 1, though x * y may need more than 64 bits."""
+    high, rest = np.divmod(x * (y >> 20), n)
+    return (high << 20) + ((rest << 20) + x * (y & 0xFFFFF) - less) // n
+
+
 class Rounds:
-    """The plan: what each source has sent after each round. totals: tokens by source, in queue order."""
+    """The plan: what each source has sent after each round. totals: tokens by source, in queue order; weights: target shares, by default the totals.
+
+    phases: the first round of each, and how many rounds and which quanta of each source it has.
+    """
 
-    def __init__(self, totals: dict, length: int = LENGTH, quantum: int = QUANTUM):
+    def __init__(self, totals: dict, length: int = LENGTH, quantum: int = QUANTUM, weights: dict | None = None):
         self.length, self.quantum, self.order = length, quantum, {s: i for i, s in enumerate(totals)}
         self.n_rounds = max(1, -(-sum(totals.values()) // length))
-        kind = np.int64 if max([0, *totals.values()]) * (self.n_rounds + 1) < 2**62 else object  # object: whole numbers of any size
-        self.totals = np.array(list(totals.values()), kind)
+        self.totals = np.array(list(totals.values()), np.int64)
         self.quanta = self.totals // quantum
+        borders, done = self._phases([float(weights.get(s, 0.0)) for s in totals] if weights else None)
+        self.first = np.array(borders, np.int64)  # rounds; the last entry is n_rounds
+        self.done = np.array(done, np.int64).reshape(len(borders), len(totals))  # quanta sent before each
+
+    def _phases(self, weights: list[float] | None) -> tuple[list[int], list[list[int]]]:
+        everything, nothing = self.quanta.tolist(), [0] * len(self.quanta)
+        if weights is None:
+            return [0, self.n_rounds], [nothing, everything]
+        borders, done, left, at = [0], [nothing], [float(q) for q in everything], 0.0
+        per_round = self.length / self.quantum
+        open_ = [i for i, w in enumerate(weights) if w > 0 and left[i] > 0]
+        while open_ and round(at) < self.n_rounds:
+            total = sum(weights[i] for i in open_)
+            rounds = min(left[i] * total / (weights[i] * per_round) for i in open_)
+            for i in open_:
+                left[i] = max(0.0, left[i] - rounds * per_round * weights[i] / total)
+            at += rounds
+            border, so_far = min(round(at), self.n_rounds), [q - round(x) for q, x in zip(everything, left)]
+            if border > borders[-1]:
+                borders.append(border)
+                done.append(so_far)
+            else:
+                done[-1] = so_far if len(done) > 1 else done[-1]
+            open_ = [i for i in open_ if left[i] >= 0.5]
+        if borders[-1] < self.n_rounds:  # sources without weight, and what rounding has left
+            borders.append(self.n_rounds)
+            done.append(everything)
+        done[-1] = everything
+        return borders, done
 
     def sent(self, r: np.ndarray) -> np.ndarray:
         """Rows by source, a column for each r: tokens sent before round r."""
-        return np.where(r >= self.n_rounds, self.totals[:, None], self.quantum * (self.quanta[:, None] * r // self.n_rounds))
+        p = np.clip(np.searchsorted(self.first, r, "right") - 1, 0, len(self.first) - 2)
+        begin, n = self.done[p].T, (self.done[p + 1] - self.done[p]).T
+        rounds = self.first[p + 1] - self.first[p]
+        return np.where(r >= self.n_rounds, self.totals[:, None], self.quantum * (begin + muldiv(np.minimum(r - self.first[p], rounds), n, rounds)))
+
+    def rounds_of(self, source: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The round in which a source sends its quantum j."""
+        ends = self.done[1:, :]
+        p = np.zeros(len(j), np.int64)
+        for e in ends[:-1]:
+            p += j >= e[source]
+        begin, n = self.done[p, source], ends[p, source] - self.done[p, source]
+        rounds = self.first[p + 1] - self.first[p]
+        some = np.maximum(n, 1)
+        within = muldiv(np.minimum(j - begin + 1, some), rounds, some, 1)
+        return np.where(j < self.quanta[source], self.first[p] + within, self.n_rounds - 1)
+
+    def places(self, source: np.ndarray, r: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Where in the stream a source's token at the start of quantum j lies, which it sends in round r."""
+        rounds, at = np.unique(r, return_inverse=True)
+        out = np.empty(len(r), np.int64)
+        by, step = np.argsort(at, kind="stable"), max(1, TABLE // max(1, len(self.totals)))
+        for low in range(0, len(rounds), step):
+            some = rounds[low : low + step]
+            before, after = self.sent(some), self.sent(some + 1)
+            place = before.sum(0) + np.concatenate([np.zeros((1, len(some)), np.int64), np.cumsum(after - before, 0)[:-1]])
+            mine = by[np.searchsorted(at[by], low) : np.searchsorted(at[by], low + step)]
+            out[mine] = place[source[mine], at[mine] - low] + j[mine] * self.quantum - before[source[mine], at[mine] - low]
+        return out
 
     def pieces(self, source: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
         """For documents at start in their source's queue: document, first token in it, tokens, place in the stream."""
         q = self.quantum
         j0, j1 = start // q, (start + n - 1) // q
-        per = (j1 - j0 + 1).astype(np.int64)
+        per = j1 - j0 + 1
         doc = np.repeat(np.arange(len(n)), per)
         j = np.repeat(j0, per) + (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
         s = source[doc]
-        quanta = self.quanta[s]
-        r = np.where(j < quanta, -(-(j + 1) * self.n_rounds // np.maximum(quanta, 1)) - 1, self.n_rounds - 1)
-        rounds, at = np.unique(r, return_inverse=True)
-        before, after = self.sent(rounds), self.sent(rounds + 1)
-        place = before.sum(0) + np.concatenate([np.zeros((1, len(rounds)), before.dtype), np.cumsum(after - before, 0)[:-1]])
         low, high = np.maximum(j * q, start[doc]), np.minimum((j + 1) * q, (start + n)[doc])
-        where = place[s, at] + low - before[s, at]
-        doc, low, size, where = (x.astype(np.int64) for x in (doc, low - start[doc], high - low, where))
+        where = self.places(s, self.rounds_of(s, j), j) + low - j * q
+        low, size = low - start[doc], high - low
         joins = np.concatenate([[False], (doc[1:] == doc[:-1]) & (where[1:] == where[:-1] + size[:-1])])
         first = np.flatnonzero(~joins)
         doc, low, where, size = doc[first], low[first], where[first], np.add.reduceat(size, first)
@@ -227,7 +292,7 @@ def _cut(plan: Rounds) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     continue
                 ids = b.column(4).to_pylist()
                 n = b.column(3).to_numpy()
-                doc, low, size, where = plan.pieces(np.array([plan.order[s] for s in b.column(0).to_pylist()]), b.column(2).to_numpy().astype(plan.totals.dtype), n)
+                doc, low, size, where = plan.pieces(np.array([plan.order[s] for s in b.column(0).to_pylist()]), b.column(2).to_numpy(), n)
                 crc = [zlib.crc32(ids[d][4 * a : 4 * z]) for d, a, z in zip(doc.tolist(), low.tolist(), (low + size).tolist())]
                 cols = [b.column(1).take(pa.array(doc)), low, size, np.array(crc, np.int64), n[doc], where // plan.length, where % plan.length]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
@@ -235,12 +300,13 @@ def _cut(plan: Rounds) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, quantum: int = QUANTUM) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, quantum: int = QUANTUM, weights: dict | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    The totals by source come to the driver, a row a source. A null or empty text is the id END alone; a null
-    source is a queue of its own, the last; repeated rows are packed each. An empty table gives no pieces. Columns
-    other than doc_id, source and text are not read.
+    weights: target shares by source (None for rows without one), as far as the sources last; sources without weight follow
+    at the end. By default the sources' own shares. The totals by source come to the driver, a row a source. A null or empty
+    text is the id END alone; a null source is a queue of its own, the last; repeated rows are packed each. An empty table
+    gives no pieces. Columns other than doc_id, source and text are not read.
     """
     spark = docs.sparkSession
     path = shared_dir(spark, "tokens")
@@ -250,15 +316,17 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, qu
     sums = tokens.groupBy("source", "part").agg(F.sum("n").alias("sum"))
     totals = {r["source"]: r["n"] for r in sums.groupBy("source").agg(F.sum("sum").alias("n")).collect()}
     totals = {s: totals[s] for s in sorted(totals, key=lambda s: (s == "", s))}
+    targets = weights and {"" if s is None else f"={s}": w for s, w in weights.items()}
     before = F.sum("sum").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.select("source", "part", F.coalesce(before, F.lit(0)).alias("before"))
     few = starts.count() <= BROADCAST_ROWS
     placed = tokens.join(F.broadcast(starts) if few else starts, ["source", "part"])
     placed = placed.select("source", "doc_id", (F.col("first") + F.col("before")).alias("first"), "n", "ids")
-    return placed.mapInArrow(_cut(Rounds(totals, length, quantum)), PIECES)
+    return placed.mapInArrow(_cut(Rounds(totals, length, quantum, targets)), PIECES)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of pack(), which states nulls, empty texts, repeated rows and empty tables."""
     return pack(docs)
 
 
