@@ -2,9 +2,10 @@
 
 Two character Markov models (bigrams, smoothed towards single characters) are trained from labelled samples: one of random
 strings, one of ordinary identifiers. A long token outside the patterns' spans is a secret if its log-likelihood
-ratio exceeds a threshold. The samples of the query: the values that the patterns find and base-64 strings made of
-digests are the random strings, and the corpus's words of eight characters or more, outside those spans, the identifiers.
-Each class is fitted on at most `sample` distinct strings, those of smallest hash.
+ratio exceeds a threshold, and so much a character too, as long paths gather some by their length. The samples of the query:
+the values that the patterns find and base-64 strings made of digests are the random strings, and the corpus's words of
+eight characters or more, outside those spans, the identifiers; these count alone and between separators, as in paths, and
+dates count beside them. Each class is fitted on at most `sample` distinct strings, those of smallest hash.
 
 Spans are code-point offsets, end exclusive. They are found within the row by splitting at the pattern and
 adding up the lengths, so scanning moves no row between tasks.
@@ -34,9 +35,11 @@ MIXED = r"(?<![A-Za-z0-9+/_=-])" + "".join(rf"(?=[A-Za-z0-9+/_=-]*{c})" for c in
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{7,}"
 #: Character codes 32 to 126, and one for the start of a string.
 V, START = 96, 95
-SAMPLE, SMOOTH, THRESHOLD = 20_000, 0.1, 25.0
-#: Random strings that every sample has, so that a corpus without any fixed value has a random class too.
+SAMPLE, SMOOTH, THRESHOLD, PER_CHAR = 20_000, 0.1, 25.0, 1.25
+#: Random strings that every sample has, so that a corpus without any fixed value has a random class too; and as many dates.
 DIGESTS = 2048
+SEPARATORS = "/-_"
+DATES = ("yyyy-MM-dd_HH-mm-ss", "yyyy/MM/dd", "yyyyMMdd-HHmmss")
 MARK = "[SECRET]"
 BLOCK = 64
 
@@ -103,16 +106,21 @@ def training_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def fit(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
     """The V * V log-likelihood ratios of the bigrams, random strings over identifiers; all 0 without samples of both labels.
 
-    samples: (text, label), label 1 for random strings. The counts are aggregated in Spark; only the table of
-    fixed size comes to the driver.
+    samples: (text, label), label 1 for random strings. Identifiers also count between separators, and dates beside them.
+    The counts are aggregated in Spark; only the table of fixed size comes to the driver.
     """
-    pairs = samples.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: _code(F.col("text"), i - 1) * V + _code(F.col("text"), i))).alias("pair"))
-    n = pairs.groupBy("pair").agg(F.sum(F.col("label").cast("double")).alias("r"), F.sum(1.0 - F.col("label")).alias("o")).toPandas()
+    framed = F.transform(F.array(*map(F.lit, SEPARATORS)), lambda c: F.concat(c, "text", c))
+    more = samples.filter("label = 0").select(F.explode(framed).alias("text"), "label", F.lit(0).alias("own"))
+    day = F.timestamp_seconds(F.col("id") * 1_000_003)
+    dates = samples.sparkSession.range(DIGESTS).select(F.explode(F.array(*(F.date_format(day, d) for d in DATES))).alias("text"), F.lit(0).alias("label"), F.lit(0).alias("own"))
+    every = samples.select("text", "label", F.lit(1).alias("own")).unionByName(more).unionByName(dates)
+    pairs = every.select("label", "own", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: _code(F.col("text"), i - 1) * V + _code(F.col("text"), i))).alias("pair"))
+    n = pairs.groupBy("pair").agg(F.sum(F.col("label").cast("double")).alias("r"), F.sum(1.0 - F.col("label")).alias("o"), F.sum(F.col("own") * (1 - F.col("label"))).alias("own")).toPandas()
     import numpy as np
 
     r, o = np.zeros(V * V), np.zeros(V * V)
     r[n["pair"]], o[n["pair"]] = n["r"], n["o"]
-    if not (r.sum() and o.sum()):
+    if not (r.sum() and n["own"].sum()):
         return [0.0] * (V * V)
 
     def logp(counts: np.ndarray) -> np.ndarray:
@@ -135,7 +143,7 @@ def secret_spans(text: Column, model: list[float], threshold: float = THRESHOLD)
     """Base spans, and the added ones (kind 3): long tokens that overlap no base span and look random."""
     base = base_spans(text)
     long = _matches(text, len(KINDS), TOKEN, 0, 16, TOKEN)
-    return base, F.filter(long, lambda x: ratio(x["value"], model) > threshold)
+    return base, F.filter(long, lambda x: ratio(x["value"], model) > F.greatest(F.lit(threshold), PER_CHAR * F.length(x["value"])))
 
 
 def _apart(base: Column, more: Column) -> Column:
@@ -170,7 +178,11 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their secrets replaced; n_chars is counted anew where the text changes."""
+    """The documents with their secrets replaced; n_chars is counted anew where the text changes.
+
+    A null text stays null, an empty one empty; every row is scanned on its own, repeated ones too, and rows without id like
+    others; an empty table stays empty.
+    """
     model = fit(training_samples(docs))
     found = scan(docs, model).withColumn("_new", redacted(F.col("text"), F.col("_spans")))
     changed = F.size("_spans") > 0
