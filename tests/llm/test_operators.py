@@ -178,7 +178,7 @@ def test_rounds_keep_the_mixture():
     share = sent[0] / np.maximum(1, np.arange(plan.n_rounds + 1) * 2048)
     assert np.abs(share[5:-1] - 300_000 / 400_700).max() < 0.05
     big = packing.Rounds({"a": 3 * 10**13, "b": 10**13})
-    doc, low, size, where = big.pieces(np.array([0]), np.array([2 * 10**13], dtype=object), np.array([5000]))
+    doc, low, size, where = big.pieces(np.array([0]), np.array([2 * 10**13]), np.array([5000]))
     assert size.sum() == 5000 and low[0] == 0 and where.min() >= 0
 
 
