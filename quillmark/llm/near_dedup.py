@@ -2,16 +2,18 @@
 
 Signatures keep both the minimum and the maximum of the hashed shingles under each permutation, so 64 hash
 evaluations a shingle give 128 signature values; 32 bands of two minima and two maxima make the buckets. Two
-sets of similarity 0.8 share no bucket with a probability of about 5e-8.
+sets of similarity 0.8 share no bucket, or look too unlike in their sketches, with a probability of some 4e-7.
 
 The shape of the job, for groups of any size:
 - Documents with the same shingle set collapse into one representative before any bucket is made.
-- In a bucket no pairs of all members are emitted. In each round a few hubs are compared with the bucket's
-  members of other components: by four-bit sketches of the signatures, which pass all but three in 10^7 pairs of
-  similarity 0.8, then on the full sets. Links found are merged into components; hubs leave their bucket, and only
-  buckets that still hold several components go on.
-- Once a component holds many members of a bucket, the others are checked against that whole component, in blocks of
-  bounded size that give out nothing but links; it then leaves the bucket.
+- In a bucket no pairs of all members are emitted. In each round a few hubs, chosen by hash, are compared with the
+  bucket's members of other components: by four-bit sketches of the signatures, which pass all but three in 10^7 pairs
+  of similarity 0.8, then on the full sets. Links found are merged into components; hubs leave their bucket, and only
+  buckets that still hold several components go on. No bucket is sorted or ranked in one task, and the number of hubs
+  grows by sixteen a round, so that the number of rounds is the logarithm of the largest bucket, up to 65536 hubs.
+- Once a component holds many members of a bucket, the others are checked against that whole component. Both sides are
+  dealt into blocks, and a block of one meets a block of the other in a task that gives out one link a document at most;
+  the component then leaves the bucket.
 - What the first round has left, mostly documents that share a long passage but not enough, is dealt anew by its rarest
   shingles, in a way that loses no pair (prefix filtering). Rounds end when no bucket is left, so every
   two members of a bucket have been compared, or were already connected by links.
@@ -35,8 +37,8 @@ from quillmark.llm.common import table, written
 
 PERMUTATIONS, BANDS = 64, 32
 SIMILARITY = 80
-#: Hubs a bucket in each round; the last number holds from then on.
-HUBS = (1, 16, 256)
+#: Hubs a bucket: this number to the power of the round, which counts up to MOST_ROUND.
+HUBS, MOST_ROUND = 16, 4
 #: Before this round, what is left goes into the buckets of its rarest shingles.
 REBUCKET = 1
 #: A component that holds so many members of one bucket is compared as a whole, in blocks of so many documents.
@@ -178,7 +180,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _against(component: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
-    """The links between one block of a component and the documents outside it that meet it, by counting shared shingles."""
+    """One link, if there is any, from each of a block of outside documents to a block of a component, by counting shared shingles."""
     if not len(component) or not len(outside):
         return pd.DataFrame({"a": [], "b": []})
     own = [np.asarray(x, np.int64) for x in component["s"]]
@@ -193,24 +195,26 @@ def _against(component: pd.DataFrame, outside: pd.DataFrame) -> pd.DataFrame:
         at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         both = np.bincount(owner[at], minlength=len(own))
         hit = docs[100 * both >= SIMILARITY * (size + len(x) - both)]
-        pairs += [(min(doc, d), max(doc, d)) for d in hit]
+        pairs += [(min(doc, d), max(doc, d)) for d in hit[:1]]  # the others are in the component already
     return pd.DataFrame(pairs, columns=["a", "b"])
 
 
 def _component_links(meets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) of documents with large components that they meet in a bucket (doc, comp), checked against all of it.
 
-    A component is compared block by block, so that neither it nor the pairs gather anywhere: only links come out.
+    The component's documents and those that meet it are dealt by hash into blocks of some BLOCK_DOCS; every pair of
+    blocks is a group of its own, so a task holds two blocks, however large either side is.
     """
-    sizes = labels.join(meets.select(F.col("comp").alias("root")).distinct(), "root", "left_semi")
-    blocks = sizes.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")
-    members = sizes.join(blocks, "root").select(F.col("node").alias("doc"), F.col("root").alias("comp"), "blocks").select("doc", "comp", block)
-    outside = meets.join(blocks.withColumnRenamed("root", "comp"), "comp").select("doc", "comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    held = members.join(sets, "doc").select("comp", "block", "doc", "s").groupBy("comp", "block")
-    others = outside.join(sets.select(F.col("doc").alias("d"), F.col("s").alias("x")), F.col("doc") == F.col("d"))
-    others = others.select(F.col("comp").alias("c"), F.col("block").alias("b"), "d", "x").groupBy("c", "b")
-    return held.cogroup(others).applyInPandas(_against, "a long, b long")
+    held = labels.join(meets.select(F.col("comp").alias("root")).distinct(), "root", "left_semi")
+    blocks = held.groupBy(F.col("root").alias("comp")).agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"))
+    blocks = blocks.join(meets.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("others")), "comp")
+    block = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = held.select(F.col("node").alias("doc"), F.col("root").alias("comp")).join(blocks, "comp").select("doc", "comp", block("blocks").alias("i"), every("others").alias("j"))
+    outside = meets.join(blocks, "comp").select("doc", F.col("comp").alias("c"), every("blocks").alias("k"), block("others").alias("l"))
+    left = members.join(sets, "doc").select("comp", "i", "j", "doc", "s").groupBy("comp", "i", "j")
+    right = outside.join(sets.select("doc", F.col("s").alias("x")), "doc").select("c", "k", "l", F.col("doc").alias("d"), "x").groupBy("c", "k", "l")
+    return left.cogroup(right).applyInPandas(_against, "a long, b long")
 
 
 def prefix_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,9 +234,10 @@ def prefix_buckets(members: DataFrame, sets: DataFrame) -> DataFrame:
 def link_components(members: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(node, root) for linked documents, from buckets (key, doc, n, sketch) and the sets (doc, s); None if nothing is linked.
 
-    The hubs of a round are the bucket's smallest ids. After the first round the buckets are those of prefix_buckets. A pair is compared on the full sets if at least LIKELY of its
-    signature values seem to agree. Where the largest component of a bucket has become large, the bucket's other members
-    are checked against all of that component, and its members leave the bucket.
+    The hubs of a round are the bucket's first document and those of smallest hash, as many as the round has, more or
+    less. After the first round the buckets are those of prefix_buckets. A pair is compared on the full sets if at least
+    LIKELY of its signature values seem to agree. Where the largest component of a bucket has become large, the bucket's
+    other members are checked against all of that component, and its members leave the bucket.
     """
     labels, tested, step = None, None, 0
     while True:
@@ -242,12 +247,17 @@ def link_components(members: DataFrame, sets: DataFrame) -> DataFrame | None:
             m = members.withColumn("comp", F.col("doc"))
         else:
             m = members.join(labels, F.col("doc") == F.col("node"), "left").select("key", "doc", "n", "sketch", F.coalesce("root", "doc").alias("comp"))
-        per = m.groupBy("key", "comp").agg(F.count("*").alias("held"))
-        spread = per.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("lead"), F.count("*").alias("comps")).filter("comps > 1")
-        inside = (F.col("lead.held") >= LARGE) & (F.col("comp") == F.col("lead.comp"))
-        met = F.when((F.col("lead.held") >= LARGE) & ~inside, F.col("lead.comp"))
-        rank = F.row_number().over(Window.partitionBy("key", inside).orderBy("doc"))
-        hub = ~inside & (rank <= HUBS[min(step, len(HUBS) - 1)])
+        per = m.groupBy("key", "comp").agg(F.count("*").alias("held"), F.min("doc").alias("lo"))
+        spread = per.groupBy("key").agg(
+            F.max(F.struct("held", "comp")).alias("lead"), F.sum("held").alias("size"), F.count("*").alias("comps"), F.min(F.struct("lo", "comp")).alias("one"), F.max(F.struct("lo", "comp")).alias("other")
+        ).filter("comps > 1")
+        large = F.col("lead.held") >= LARGE
+        inside = large & (F.col("comp") == F.col("lead.comp"))
+        met = F.when(large & ~inside, F.col("lead.comp"))
+        first = F.when(large & (F.col("one.comp") == F.col("lead.comp")), F.col("other.lo")).otherwise(F.col("one.lo"))
+        left, most = F.col("size") - F.when(large, F.col("lead.held")).otherwise(0), HUBS ** min(step, MOST_ROUND)
+        chosen = F.pmod(F.xxhash64("doc", "key"), F.lit(1 << 20)) * left < (most - 1) << 20
+        hub = ~inside & ((F.col("doc") == first) | (left <= most) | chosen)
         m = written(m.join(spread, "key").select("key", "doc", "n", "sketch", "comp", inside.alias("inside"), met.alias("met"), hub.alias("hub")), "buckets")
         if m.isEmpty():
             return labels
@@ -311,7 +321,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one of smallest id, and one row of it."""
+    """One document of each group stays: the one of smallest id, and one row of it.
+
+    Null and empty texts and rows without id belong to no group and stay, all of them; of repeated rows of an id one stays; an
+    empty table stays empty.
+    """
     gone = written(near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
     few = gone.count() <= BROADCAST_IDS
     stay = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
