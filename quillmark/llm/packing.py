@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from quillmark.llm.common import shared_dir, table
 
-LENGTH, QUANTUM, END = 2048, 256, 1
+LENGTH, END = 2048, 1
+#: A window holds this many quanta, or one of each source if these are more, but none of fewer than LEAST tokens.
+QUANTA, LEAST = 8, 64
 #: Words whose ids a worker remembers.
 WORDS_KEPT = 400_000
 #: Up to so many rows of running sums, of some 40 bytes each, are broadcast; more are joined by a shuffle.
@@ -195,7 +197,8 @@ class Rounds:
     phases: the first round of each, and how many rounds and which quanta of each source it has.
     """
 
-    def __init__(self, totals: dict, length: int = LENGTH, quantum: int = QUANTUM, weights: dict | None = None):
+    def __init__(self, totals: dict, length: int = LENGTH, quantum: int | None = None, weights: dict | None = None):
+        quantum = quantum or max(LEAST, length // max(QUANTA, len(totals)))
         self.length, self.quantum, self.order = length, quantum, {s: i for i, s in enumerate(totals)}
         self.n_rounds = max(1, -(-sum(totals.values()) // length))
         self.totals = np.array(list(totals.values()), np.int64)
@@ -300,13 +303,14 @@ def _cut(plan: Rounds) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, quantum: int = QUANTUM, weights: dict | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, quantum: int | None = None, weights: dict | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    weights: target shares by source (None for rows without one), as far as the sources last; sources without weight follow
-    at the end. By default the sources' own shares. The totals by source come to the driver, a row a source. A null or empty
-    text is the id END alone; a null source is a queue of its own, the last; repeated rows are packed each. An empty table
-    gives no pieces. Columns other than doc_id, source and text are not read.
+    quantum: tokens of a piece, by default so many that a window has room for a piece of every source. weights: target
+    shares by source (None for rows without one), as far as the sources last; sources without weight follow at the end; by
+    default the sources' own shares. The totals by source come to the driver, a row a source. A null or empty text is the
+    id END alone; a null source is a queue of its own, the last; repeated rows are packed each. An empty table gives no
+    pieces. Columns other than doc_id, source and text are not read.
     """
     spark = docs.sparkSession
     path = shared_dir(spark, "tokens")
