@@ -82,8 +82,9 @@ def number_set(c: Column) -> Column:
 
 #: Words that don't tell questions apart.
 QUESTION_STOPS = (
-    "que quien cual cuales como cuando donde por para el la los las un una de del en se debe y o a al es son mi me lo su sus"
-).split()
+    "que", "quien", "cual", "cuales", "como", "cuando", "donde", "por", "para", "el", "la", "los", "las", "un", "una", "de", "del", "en", "se",
+    "debe", "y", "o", "a", "al", "es", "son", "mi", "me", "lo", "su", "sus",
+)
 STEM = 6
 
 
