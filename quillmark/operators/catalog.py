@@ -16,12 +16,15 @@ KINDS = {
     "instructivos": "-IN-", "plan": "-PL-", "planes": "-PL-", "organigrama": "-OR-", "organigramas": "-OR-", "alcance": "-AL-", "objetivo": "-OB-", "objetivos": "-OB-",
 }
 TOPICS = {
-    "ti": ("STI", "tecnologia"), "sistemas": ("STI", "tecnologia sistemas"), "informatica": ("STI", "tecnologia"), "tecnologia": ("STI", "tecnologia"), "calidad": ("CAL", "calidad"),
-    "compras": ("COM", "compra proveedor"), "proveedores": ("COM", "proveedor"), "rrhh": ("GTH", "humana personal"), "personal": ("GTH", "humana personal"), "inventario": ("INV", "inventario"),
-    "inventarios": ("INV", "inventario"), "comercial": ("CMC", "comercial cliente"), "cliente": ("CMC", "cliente"), "conciliacion": ("CNC", "conciliacion"), "facturacion": ("FAC", "facturacion"),
-    "costos": ("CYP", "costo presupuesto"), "logistica": ("SPL", "logistic carga almacen"), "gerencial": ("GGR", "gerencial riesgo"), "riesgos": (None, "riesgo"), "auditoria": (None, "auditoria"),
-    "auditorias": (None, "auditoria"), "riesgo": (None, "riesgo"), "capacitacion": (None, "capacitacion"), "seguridad": (None, "seguridad"), "epp": (None, "epp proteccion_personal"),
-    "sst": (None, "seguridad salud"), "proteccion": (None, "proteccion"), "hallazgo": (None, "no_conforme correctiva"), "reclamo": (None, "reclamo"), "reclamos": (None, "reclamo"),
+    "ti": ("STI", ("tecnologia",)), "sistemas": ("STI", ("tecnologia", "sistemas")), "informatica": ("STI", ("tecnologia",)), "tecnologia": ("STI", ("tecnologia",)),
+    "calidad": ("CAL", ("calidad",)), "compras": ("COM", ("compra", "proveedor")), "proveedores": ("COM", ("proveedor",)), "rrhh": ("GTH", ("humana", "personal")),
+    "personal": ("GTH", ("humana", "personal")), "inventario": ("INV", ("inventario",)), "inventarios": ("INV", ("inventario",)),
+    "comercial": ("CMC", ("comercial", "cliente")), "cliente": ("CMC", ("cliente",)), "conciliacion": ("CNC", ("conciliacion",)),
+    "facturacion": ("FAC", ("facturacion",)), "costos": ("CYP", ("costo", "presupuesto")), "logistica": ("SPL", ("logistic", "carga", "almacen")),
+    "gerencial": ("GGR", ("gerencial", "riesgo")), "riesgos": (None, ("riesgo",)), "auditoria": (None, ("auditoria",)), "auditorias": (None, ("auditoria",)),
+    "riesgo": (None, ("riesgo",)), "capacitacion": (None, ("capacitacion",)), "seguridad": (None, ("seguridad",)), "epp": (None, ("epp", "proteccion personal")),
+    "sst": (None, ("seguridad", "salud")), "proteccion": (None, ("proteccion",)), "hallazgo": (None, ("no conforme", "correctiva")), "reclamo": (None, ("reclamo",)),
+    "reclamos": (None, ("reclamo",)),
 }
 WEIGHTLESS = ("de", "del", "la", "el", "los", "las", "sobre", "para", "que", "hay", "tienes")
 
@@ -41,22 +44,26 @@ def terms(c: Column) -> Column:
 def search(queries: DataFrame, documents: DataFrame, most: int = MAX_FOUND) -> DataFrame:
     """(query_id, place, code, version, total) for (query_id, tenant_id, topic): documents in force by code, at most `most` of each query.
 
-    Kinds and topics must both hold, one of each; free words count only where there is neither. Queries meet the documents
-    of their tenant.
+    Kinds and topics must both hold, one of each; free words count only where there is neither. Equal topics of a tenant are
+    searched once. They meet the documents of their tenant, which are dealt into blocks by hash.
     """
     prefix = F.create_map(*(F.lit(x) for k, (p, _) in TOPICS.items() if p for x in (k, p)))
-    words = F.create_map(*(x for k, (_, w) in TOPICS.items() for x in (F.lit(k), strings([v.replace("_", " ") for v in w.split()]))))
-    d = documents.filter("status = 'vigente'").select("tenant_id", "id", "code", "version", fold(F.col("title")).alias("t"), fold(F.col("area")).alias("a"))
-    q = queries.filter("trim(topic) <> ''").withColumn("x", terms(F.col("topic"))).select("query_id", "tenant_id", "x.*")
+    words = F.create_map(*(x for k, (_, w) in TOPICS.items() for x in (F.lit(k), strings(w))))
+    blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
+    d = documents.filter("status = 'vigente'").select("tenant_id", "id", "code", "version", fold(F.col("title")).alias("t"), fold(F.col("area")).alias("a"), block)
+    asked = queries.filter("trim(topic) <> ''").select("query_id", "tenant_id", "topic")
+    q = asked.select("tenant_id", "topic").distinct().withColumn("x", terms(F.col("topic"))).select("tenant_id", "topic", "x.*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     of_kind = F.exists("kinds", lambda k: F.col("code").contains(k))
     has = lambda c, w: F.col(c).contains(w)
     of_topic = F.exists("topics", lambda k: F.coalesce(F.col("code").startswith(F.concat(prefix[k], F.lit("-"))), F.lit(False)) | F.exists(words[k], lambda w: has("t", w) | prefix[k].isNotNull() & has("a", w)))
     of_free = F.exists("free", lambda w: has("t", fold(w)) | has("a", fold(w)) | F.lower("code").contains(w))
     test = F.when((F.size("kinds") > 0) | (F.size("topics") > 0), ((F.size("kinds") == 0) | of_kind) & ((F.size("topics") == 0) | of_topic)).otherwise((F.size("free") == 0) | of_free)
-    found = q.join(d, "tenant_id").filter(test)
-    w = Window.partitionBy("query_id")
-    found = found.withColumn("place", F.row_number().over(w.orderBy("code", "version", "id"))).withColumn("total", F.count("*").over(w))
-    return found.filter(F.col("place") <= most).select("query_id", "place", "code", "version", "total", "t", "a", "free")
+    found = q.join(d, ["tenant_id", "block"]).filter(test)
+    place = F.row_number().over(Window.partitionBy("tenant_id", "topic").orderBy("code", "version", "id"))
+    first = found.withColumn("place", place).filter(F.col("place") <= most)  # limited before the shuffle
+    total = found.groupBy("tenant_id", "topic").agg(F.count("*").alias("total"))
+    return asked.join(first.join(total, ["tenant_id", "topic"]), ["tenant_id", "topic"]).select("query_id", "place", "code", "version", "total", "t", "a", "free")
 
 
 def unmatched(found: DataFrame) -> DataFrame:

@@ -1,7 +1,10 @@
 """Vector retrieval joined to the documents in force, with both distance cuts, and what is built from its result.
 
-Chunks, documents and queries are DataFrames; a query sees the chunks of its tenant. Candidates are exact: every query is
-compared with every chunk of its tenant, and a window keeps the nearest, which Spark limits before its shuffle.
+Chunks, documents and queries are DataFrames; a query sees the chunks of its tenant. Candidates are exact: a stated set of
+queries is compared with all chunks of its tenant, which are dealt into blocks by hash so that no tenant is one task; the
+queries go to every block. Only ids and vectors take part in that; a window keeps the nearest, which Spark limits before
+its shuffle, and texts are joined to these. For approximate search over large sets see the graphs of the training-data
+operators.
 """
 
 from __future__ import annotations
@@ -28,14 +31,22 @@ def is_formal(content: Column) -> Column:
     return out
 
 
+def nearest(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
+    """(query_id, key, distance, rank): the k nearest items (key, tenant_id, embedding) of each query's tenant; rank from 1, ties to the smaller key."""
+    blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q = queries.select("query_id", "tenant_id", unit(doubles(F.col("embedding"))).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    i = items.select(key, "tenant_id", unit(doubles(F.col("embedding"))).alias("_v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"))
+    pairs = i.join(q, ["tenant_id", "_block"]).select("query_id", key, F.round(cosine_distance(F.col("_q"), F.col("_v")), 6).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
+    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def candidates(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """The k nearest chunks of documents in force, for each query (query_id, tenant_id, embedding); rank from 1, ties to the smaller chunk."""
     d = documents.filter(F.col("status") == "vigente").select(F.col("id").alias("document_id"), "tenant_id", "code", "version", "title", "effective_date")
-    c = chunks.select(F.col("id").alias("chunk_id"), "document_id", "section", "content", unit(doubles(F.col("embedding"))).alias("chunk_vector")).join(d, "document_id")
-    q = queries.select("query_id", "tenant_id", unit(doubles(F.col("embedding"))).alias("query_vector"))
-    pairs = c.join(q, "tenant_id").withColumn("distance", F.round(cosine_distance(F.col("query_vector"), F.col("chunk_vector")), 6)).drop("query_vector", "chunk_vector")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
+    c = chunks.select(F.col("id").alias("chunk_id"), "document_id", "section", "content", "embedding").join(d, "document_id")
+    near = nearest(queries, c.select("chunk_id", "tenant_id", "embedding"), "chunk_id", k)
+    return near.join(c.drop("embedding"), "chunk_id")
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: int = TOP, max_distance: float = MAX_DISTANCE, margin: float = MARGIN) -> DataFrame:
@@ -52,13 +63,10 @@ def retrieve(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: int
 def retrieve_faqs(queries: DataFrame, faqs: DataFrame, documents: DataFrame, chunks: DataFrame, k: int = FAQ_TOP, max_distance: float = FAQ_MAX) -> DataFrame:
     """The k nearest questions of documents in force, then the distance cut; the source clause is optional."""
     d = documents.filter(F.col("status") == "vigente").select(F.col("id").alias("document_id"), "tenant_id", "code", "version")
-    f = faqs.select(F.col("id").alias("faq_id"), "document_id", "chunk_id", "question", "answer", "reviewed", unit(doubles(F.col("embedding"))).alias("v")).join(d, "document_id")
+    f = faqs.select(F.col("id").alias("faq_id"), "document_id", "chunk_id", "question", "answer", "reviewed", "embedding").join(d, "document_id")
     source = chunks.select(F.col("id").alias("chunk_id"), "section", F.col("content").alias("source_content"))
-    q = queries.select("query_id", "tenant_id", unit(doubles(F.col("embedding"))).alias("q"))
-    pairs = f.join(q, "tenant_id").withColumn("distance", F.round(cosine_distance(F.col("q"), F.col("v")), 6)).drop("q", "v")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "faq_id"))
-    near = pairs.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("distance") <= max_distance))
-    return near.join(source, "chunk_id", "left")
+    near = nearest(queries, f.select("faq_id", "tenant_id", "embedding"), "faq_id", k).filter(F.col("distance") <= max_distance)
+    return near.join(f.drop("embedding"), "faq_id").join(source, "chunk_id", "left")
 
 
 def direct_sections(turns: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
