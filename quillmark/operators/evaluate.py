@@ -49,15 +49,17 @@ def failures(flagged: DataFrame) -> DataFrame:
 
 
 def attribution(answers: DataFrame, titles: DataFrame) -> DataFrame:
-    """Adds named to answers (id, tenant_id, answer): codes of titles (tenant_id, code, title) whose distinctive words the answer has two of, after a connector.
+    """Adds named to answers (id, tenant_id, answer): codes of titles (tenant_id, code, title) of which the answer has two distinctive words, after a connector.
 
-    Words are joined to titles by equality, so only titles that share a word meet an answer.
+    Equal answers of a tenant are read once. Words are joined to titles by equality, so only titles that share a word meet an
+    answer.
     """
     words = lambda c: F.array_distinct(F.regexp_extract_all(fold(c), F.lit(r"[a-z0-9_]+"), F.lit(0)))
-    a = answers.filter(fold(F.col("answer")).rlike(CONNECTOR)).select("id", "tenant_id", F.explode(words(F.col("answer"))).alias("w"))
-    t = titles.select("tenant_id", "code", F.explode(title_words(F.col("title"), COMMON_TITLE_WORDS)).alias("w")).distinct()
-    n = a.join(t, ["tenant_id", "w"]).groupBy("id", "code").agg(F.count_distinct("w").alias("n")).filter("n >= 2")
-    return answers.join(n.groupBy("id").agg(F.sort_array(F.collect_set("code")).alias("named")), "id", "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
+    a = answers.select("tenant_id", "answer").distinct().filter(fold(F.col("answer")).rlike(CONNECTOR)).select("tenant_id", "answer", F.explode(words(F.col("answer"))).alias("w"))
+    t = titles.select("tenant_id", "code", "title").distinct().select("*", F.explode(title_words(F.col("title"), COMMON_TITLE_WORDS)).alias("w"))
+    n = a.join(t, ["tenant_id", "w"]).groupBy("tenant_id", "answer", "code", "title").agg(F.count("*").alias("n")).filter("n >= 2")
+    named = n.groupBy("tenant_id", "answer").agg(F.sort_array(F.collect_set("code")).alias("named"))
+    return answers.join(named, ["tenant_id", "answer"], "left").withColumn("named", F.coalesce("named", F.array().cast("array<string>")))
 
 
 def obedience(flagged: DataFrame) -> DataFrame:

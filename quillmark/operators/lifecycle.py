@@ -20,30 +20,36 @@ def severity(c: Column) -> Column:
     return F.when(c.isin(*SEVERITIES), c).otherwise("menor")
 
 
-def _keep_first(rows: pd.DataFrame) -> pd.DataFrame:
-    """kept and original of one (tenant, fingerprint), in order: a kept report suppresses the next 24 hours, suppressed ones don't."""
-    rows = rows.sort_values(["created_at", "id"])
-    kept, original, last, last_id = [], [], None, None
-    for at, i in zip(rows["created_at"], rows["id"]):
-        fresh = last is None or at - last > pd.Timedelta(hours=HOURS)
-        if fresh:
-            last, last_id = at, i
-        kept.append(fresh)
-        original.append(last_id)
-    return pd.DataFrame({"id": rows["id"], "kept": kept, "original_id": original})
+def _runs(rows: DataFrame, key: list[str], at: str, gap: str) -> DataFrame:
+    """Adds run: the number of the key's run; a new one begins after a gap, so that runs don't affect each other."""
+    w = Window.partitionBy(*key).orderBy(at, "id")
+    new = F.col(at) - F.lag(at).over(w) > F.expr(f"INTERVAL {gap}")
+    return rows.withColumn("run", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w))
 
 
 def suppress_duplicates(reports: DataFrame) -> DataFrame:
     """(id, kept, original_id) of reports (id, tenant_id, description, created_at): one of equal text within 24 hours of a kept one is suppressed.
 
-    Gaps of more than 24 hours cut a text's reports into runs that don't affect each other; a run goes to one task as a
-    group. The batch form looks at all kept reports of the tenant, not only at the 50 latest.
+    A kept report suppresses the next 24 hours, suppressed ones don't. Gaps of more than 24 hours cut a text's reports into
+    runs that don't affect each other; runs stream through their task in order, and only the last kept report is held. The
+    batch form looks at all kept reports of the tenant, not only at the 50 latest.
     """
     r = reports.select("id", "tenant_id", "created_at", fingerprint(F.col("description")).alias("print"))
-    w = Window.partitionBy("tenant_id", "print").orderBy("created_at", "id")
-    gap = (F.col("created_at") - F.lag("created_at").over(w)) > F.expr(f"INTERVAL {HOURS} HOURS")
-    r = r.withColumn("run", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w))
-    return r.groupBy("tenant_id", "print", "run").applyInPandas(lambda pdf: _keep_first(pdf), "id long, kept boolean, original_id long")
+    r = _runs(r, ["tenant_id", "print"], "created_at", f"{HOURS} HOURS").select("id", F.xxhash64("tenant_id", "print").alias("text"), "run", "tenant_id", "print", "created_at")
+    order = ["text", "tenant_id", "print", "run"]
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of, last, last_id, day = None, None, None, pd.Timedelta(hours=HOURS)
+        for pdf in batches:
+            kept, original = [], []
+            for key, at, i in zip(zip(*(pdf[c] for c in order)), pdf["created_at"], pdf["id"]):
+                if fresh := key != of or at - last > day:
+                    of, last, last_id = key, at, i
+                kept.append(fresh)
+                original.append(last_id)
+            yield pd.DataFrame({"id": pdf["id"], "kept": kept, "original_id": original})
+
+    return r.repartition("text", "run").sortWithinPartitions(*order, "created_at", "id").mapInPandas(each, "id long, kept boolean, original_id long")
 
 
 def register_actions(requests: DataFrame, findings: DataFrame, existing: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
@@ -123,9 +129,7 @@ def sliding_window(events: DataFrame, limit: int, seconds: int = WINDOW_S) -> Da
     Gaps of more than `seconds` cut a key's events into runs that don't affect each other; runs stream through their task in
     order, and only the admitted times within the window are held.
     """
-    w = Window.partitionBy("key").orderBy("ts", "id")
-    gap = F.col("ts") - F.lag("ts").over(w) > F.expr(f"INTERVAL {seconds} SECONDS")
-    runs = events.select("id", "key", "ts").withColumn("run", F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w))
+    runs = _runs(events.select("id", "key", "ts"), ["key"], "ts", f"{seconds} SECONDS")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, seen = None, []

@@ -9,7 +9,6 @@ from quillmark.functions.text import base_code, cited_codes, document_type, fold
 from quillmark.operators.guardrails import cites_source
 
 #: Sentences that attribute an answer, and what types of documents are called.
-CHUNKS = 1024
 TEMPLATES = (" Lo define ", " Esta en ", " Lo indica ", " Lo establece ")
 NAMES = {"PR": "el procedimiento", "PO": "la politica", "MN": "el manual", "IN": "el instructivo", "FO": "el formato", "PL": "el plan", "OR": "el organigrama", "OB": "el documento"}
 
@@ -80,23 +79,31 @@ def prompted_family(catalogue: DataFrame, templates: list[str], family: str, too
     """Examples that call a tool: `per` templates, by seeded hash, filled with every title of (code, title)."""
     t = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.lit(x).alias("template")) for i, x in enumerate(templates)))).alias("x")
     e = catalogue.select("code", "title", t).select("code", "title", "x.*")
-    place = F.row_number().over(Window.partitionBy("code", "title").orderBy(F.xxhash64(F.lit(seed), "code", "title", "k"), "k"))
+    place = F.row_number().over(Window.partitionBy("code", "title").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "code", "title", "k")), "k"))
     e = e.withColumn("place", place).filter(F.col("place") <= per)
     return e.select(F.lit(family).alias("family"), F.concat(F.lit(f"{family}:"), "code").alias("grp"), F.replace("template", F.lit("{titulo}"), "title").alias("question"), F.lit(tool).alias("tool"))
 
 
+def dealt(groups: DataFrame, by: list[str], size: str, seed: int) -> DataFrame:
+    """Adds before to groups (by, grp, size): the sizes of the groups of `by` that come before it in seeded order, by MD5.
+
+    The running sum goes in two levels, by the first three digits of the hash, so that no task sorts all groups.
+    """
+    g = groups.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "grp"))).withColumn("chunk", F.substring("h", 1, 3))
+    earlier = F.sum("in_chunk").over(Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = g.groupBy(*by, "chunk").agg(F.sum(size).alias("in_chunk")).withColumn("earlier", F.coalesce(earlier, F.lit(0))).drop("in_chunk")
+    inside = F.sum(size).over(Window.partitionBy(*by, "chunk").orderBy("h", "grp").rowsBetween(Window.unboundedPreceding, -1))
+    g = g.withColumn("inside", F.coalesce(inside, F.lit(0))).join(chunks, [*by, "chunk"])
+    return g.withColumn("before", F.col("earlier") + F.col("inside")).drop("h", "chunk", "earlier", "inside")
+
+
 def capped(examples: DataFrame, family: str, cap: int, seed: int = 7) -> DataFrame:
     """Examples (family, grp) with the family cut to whole groups, in seeded order, until the cap is reached; a cap of 0 cuts nothing."""
-    own = examples.filter(F.col("family") == family)
     if cap <= 0:
         return examples
-    h = F.xxhash64(F.lit(seed), "grp")
-    n = own.groupBy("grp").count().withColumn("chunk", F.pmod(h, F.lit(CHUNKS)))
-    # a running sum in two levels, so that no task sorts all groups
-    earlier = F.sum("in_chunk").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    chunks = n.groupBy("chunk").agg(F.sum("count").alias("in_chunk")).withColumn("earlier", F.coalesce(earlier, F.lit(0))).drop("in_chunk")
-    inside = F.sum("count").over(Window.partitionBy("chunk").orderBy(h, "grp").rowsBetween(Window.unboundedPreceding, -1))
-    kept = n.withColumn("inside", F.coalesce(inside, F.lit(0))).join(chunks, "chunk").filter(F.col("earlier") + F.col("inside") < cap).select("grp")
+    own = examples.filter(F.col("family") == family)
+    n = own.groupBy("family", "grp").agg(F.count("*").alias("size"))
+    kept = dealt(n, ["family"], "size", seed).filter(F.col("before") < cap).select("grp")
     return examples.filter(F.col("family") != family).unionByName(own.join(kept, "grp", "left_semi").select(*examples.columns))
 
 
@@ -105,11 +112,10 @@ def split(examples: DataFrame, valid: float, test: float, seed: int = 7) -> Data
 
     A family of three groups or more gives max(1, round half even of its share).
     """
-    g = examples.select("family", "grp").distinct()
-    w = Window.partitionBy("family")
-    g = g.withColumn("place", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), "grp"), "grp"))).withColumn("n", F.count("*").over(w))
+    g = examples.select("family", "grp").distinct().withColumn("one", F.lit(1))
+    g = dealt(g, ["family"], "one", seed).join(g.groupBy("family").agg(F.count("*").alias("n")), "family")
     share = lambda s: F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.bround(F.col("n") * s))).otherwise(0)
-    kind = F.when(F.col("place") <= share(valid), 1).when(F.col("place") <= share(valid) + share(test), 2).otherwise(3)
+    kind = F.when(F.col("before") < share(valid), 1).when(F.col("before") < share(valid) + share(test), 2).otherwise(3)
     best = g.groupBy("grp").agg(F.min(kind).alias("kind"))
     return examples.join(best, "grp").withColumn("particion", F.element_at(F.array(*map(F.lit, ("valid", "test", "train"))), F.col("kind"))).drop("kind")
 
