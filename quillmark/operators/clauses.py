@@ -11,7 +11,7 @@ from quillmark.operators.retrieval import FORMAL_TITLES
 MIN_PAGES, PAGE_SHARE = 3, 0.6
 MIN_CHARS, MAX_CHARS, ANNOUNCE_CHARS, FAQ_CHARS, HEADER_ROWS, INDEX_CHARS = 80, 3000, 250, 120, 6, 72
 #: A numbered heading, a line of a table of contents, and more titles of formalities.
-HEADING = r"^\s*(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+([A-ZÁÉÍÓÚÑ][^\n]{0,120})\s*$"
+HEADING_LINE = r"[^\S\n]*(\d{1,2}(?:\.\d{1,2}){0,3})\.?[^\S\n]+[A-ZÁÉÍÓÚÑ][^\n]{0,120}[^\S\n]*"
 CONTENTS_LINE = r"\.{4,}\s*\d*\s*$"
 MORE_FORMAL_TITLES = (*FORMAL_TITLES, "anexos", "registros")
 NUMBER = r"^\s*\d+(?:\.\d+)*\.?\s*"
@@ -67,15 +67,19 @@ def is_header_table(rows: Column) -> Column:
 
 
 def split_clauses(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, clause_no, section, content): numbered clauses of (doc_id, text), or paragraphs where none is found."""
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("heading", F.regexp_extract("line", HEADING, 1))
-    no = F.sum((F.col("heading") != "").cast("int")).over(Window.partitionBy("doc_id").orderBy("at"))
-    clauses = lines.withColumn("clause_no", no).groupBy("doc_id", "clause_no").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"), F.max("heading").alias("section"))
-    joined = F.regexp_replace(F.array_join(F.transform("x", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
-    good = clauses.select("doc_id", "clause_no", F.nullif("section", F.lit("")).alias("section"), joined.alias("content")).filter((F.length("content") >= min_chars) & ~is_contents(F.col("content")))
-    rest = texts.join(good.select("doc_id").distinct(), "doc_id", "left_anti")
-    paragraphs = rest.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("clause_no", "p")).select("doc_id", F.col("clause_no").cast("long").alias("clause_no"), F.lit(None).cast("string").alias("section"), F.regexp_replace("p", r"^\s+|\s+$", "").alias("content"))
-    return good.unionByName(paragraphs.filter(F.length("content") >= min_chars))
+    """(doc_id, clause_no, section, content): numbered clauses of (doc_id, text), or paragraphs where none is found.
+
+    A text is cut in its row before every line that is a heading; what stands before the first one is clause 0.
+    """
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    pieces = F.split("text", rf"(?md)(?=^{HEADING_LINE}$)")
+    headed = F.get(pieces, F.lit(0)).rlike(rf"(?d)^{HEADING_LINE}(?:\n|\z)").cast("int")
+    clause = lambda p, i: F.struct((i + headed).cast("long").alias("clause_no"), F.nullif(F.regexp_extract(p, rf"(?d)^{HEADING_LINE}(?:\n|\z)", 1), F.lit("")).alias("section"), trimmed(p).alias("content"))
+    paragraph = lambda p, i: F.struct(i.cast("long").alias("clause_no"), F.lit(None).cast("string").alias("section"), trimmed(p).alias("content"))
+    long = lambda x: F.length(x["content"]) >= min_chars
+    good = texts.select("doc_id", "text", F.filter(F.transform(pieces, clause), lambda x: long(x) & ~is_contents(x["content"])).alias("good"))
+    rest = F.filter(F.transform(F.split("text", "\n\n"), paragraph), long)
+    return good.select("doc_id", F.explode(F.when(F.size("good") > 0, F.col("good")).otherwise(rest)).alias("x")).select("doc_id", "x.*")
 
 
 def split_oversized(clauses: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
