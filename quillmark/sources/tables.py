@@ -30,7 +30,7 @@ def read_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
     Lines keep their order within a file. A blank filename, another status and a wrong date are errors.
     """
-    raw = spark.read.csv(path, schema=METADATA, header=True, encoding="UTF-8", ignoreLeadingWhiteSpace=True).withColumns({"file": F.col("_metadata.file_path"), "line": F.monotonically_increasing_id()})
+    raw = spark.read.csv(path, schema=METADATA, header=True, escape='"', encoding="UTF-8", ignoreLeadingWhiteSpace=True).withColumns({"file": F.col("_metadata.file_path"), "line": F.monotonically_increasing_id()})
     status = F.lower(F.coalesce(F.nullif(F.trim("status"), F.lit("")), F.lit("vigente")))
     day, wrong = iso_date(F.col("effective_date"))
     name = F.trim(F.coalesce("filename", F.lit("")))
@@ -43,7 +43,7 @@ def read_metadata(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def write_metadata(rows: DataFrame, path: str) -> None:
     """Metadata as CSV sorted by code: parts of a range sort, so their names give the order."""
-    rows.select(*(c.split()[0] for c in METADATA.split(", "))).orderBy("code", "filename").write.csv(path, header=True)
+    rows.select(*(c.split()[0] for c in METADATA.split(", "))).orderBy("code", "filename").write.csv(path, header=True, escape='"')
 
 
 def coded_files(paths: DataFrame) -> DataFrame:
@@ -102,8 +102,9 @@ def tagged(examples: DataFrame) -> DataFrame:
 
 def rejection_summary(rejected: DataFrame, shown: int = SHOWN) -> DataFrame:
     """(reason, total, place, question, detail): up to `shown` rejections of each reason, with the reason's total."""
-    at = Window.partitionBy("reason")
-    return rejected.withColumn("total", F.count("*").over(at)).withColumn("place", F.row_number().over(at.orderBy("id"))).filter(F.col("place") <= shown)
+    place = F.row_number().over(Window.partitionBy("reason").orderBy("id"))
+    first = rejected.withColumn("place", place).filter(F.col("place") <= shown)  # limited before the shuffle
+    return first.join(rejected.groupBy("reason").agg(F.count("*").alias("total")), "reason")
 
 
 def rejection_report(reports: DataFrame) -> DataFrame:
