@@ -1,7 +1,8 @@
 """Streams: the stateful operators over events that keep arriving, with the results of their batch forms.
 
-Every function takes and returns streaming DataFrames (batch ones serve as well in tests through the rate of files). State is
-kept per key with the limits that its window needs.
+Every function takes and returns streaming DataFrames. State is kept per key with the limits that its window needs, and
+expires: a day or so after what a kept report or an admitted event bears on, as the watermark passes; a conversation after DAYS
+without a message. Rows later than the watermark's delay are dropped, as their state may be gone.
 """
 
 from __future__ import annotations
@@ -21,14 +22,26 @@ from quillmark.operators.guardrails import offers
 from quillmark.sources.tables import admit_uploads
 
 
-def suppress_duplicates(reports: DataFrame) -> DataFrame:
+#: How late events may come, and days after which a silent conversation is forgotten.
+LATE, DAYS = "1 hour", 30
+
+
+def _expire(state: GroupState, at: pd.Timestamp, seconds: int) -> None:
+    """The state goes once the watermark has passed `seconds` after `at`, and a day more, as `at` is in the session's time zone."""
+    state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + (seconds + 86_400) * 1000, state.getCurrentWatermarkMs()) + 1)
+
+
+def suppress_duplicates(reports: DataFrame, late: str = LATE) -> DataFrame:
     """(id, kept, original_id) of a stream of reports (id, tenant_id, description, created_at), in order of arrival within a text.
 
     The state of a (tenant, text) is the last kept report; suppressed ones don't extend its day.
     """
-    r = reports.select("id", "tenant_id", "created_at", fingerprint(F.col("description")).alias("print"))
+    r = reports.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late).select("id", "tenant_id", "created_at", fingerprint(F.col("description")).alias("print"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         at, original = state.get if state.exists else (None, None)
         rows = pd.concat(batches).sort_values(["created_at", "id"])
         out = []
@@ -38,42 +51,51 @@ def suppress_duplicates(reports: DataFrame) -> DataFrame:
                 at, original = r.created_at, r.id
             out.append((r.id, kept, original))
         state.update((at.to_pydatetime() if hasattr(at, "to_pydatetime") else at, original))
+        _expire(state, pd.Timestamp(at), HOURS * 3600)
         yield pd.DataFrame(out, columns=["id", "kept", "original_id"])
 
-    return r.groupBy("tenant_id", "print").applyInPandasWithState(step, "id long, kept boolean, original_id long", "at timestamp, original long", "append", GroupStateTimeout.NoTimeout)
+    return r.groupBy("tenant_id", "print").applyInPandasWithState(step, "id long, kept boolean, original_id long", "at timestamp, original long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def sliding_window(events: DataFrame, limit: int, seconds: int = WINDOW_S) -> DataFrame:
+def sliding_window(events: DataFrame, limit: int, seconds: int = WINDOW_S, late: str = LATE) -> DataFrame:
     """(id, admitted) of a stream of events (id, key, ts); the state of a key is its admitted times within the window."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = [pd.Timestamp(t, unit="us") for t in state.get[0]] if state.exists else []
         out, window = admit(pd.concat(batches), limit, seconds, seen)
         state.update(([int(t.value // 1000) for t in window],))
+        _expire(state, max(window, default=pd.Timestamp(0)), seconds)
         yield out
 
-    return events.groupBy("key").applyInPandasWithState(step, "id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.NoTimeout)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def resolve_consent(messages: DataFrame) -> DataFrame:
-    """(id, accepted) of a stream of messages (id, conversation_id, role, content): user messages that answer an offer.
+def resolve_consent(messages: DataFrame, late: str = LATE) -> DataFrame:
+    """(id, accepted) of a stream of messages (id, conversation_id, role, content, ts): user messages that answer an offer.
 
     The state of a conversation is whether its last assistant message ended in the offer.
     """
-    m = messages.select("id", "conversation_id", "role", offers(F.col("content")).alias("offer"), consent(F.col("content")).alias("answer"))
+    m = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("id", "conversation_id", "ts", "role", offers(F.col("content")).alias("offer"), consent(F.col("content")).alias("answer"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         offered = bool(state.get[0]) if state.exists else False
-        out = []
-        for r in pd.concat(batches).sort_values("id").itertuples():
+        rows, out = pd.concat(batches).sort_values("id"), []
+        for r in rows.itertuples():
             if r.role == "assistant":
                 offered = bool(r.offer)
             elif r.role == "user" and offered and r.answer is not None and not pd.isna(r.answer):
                 out.append((r.id, bool(r.answer)))
         state.update((offered,))
+        _expire(state, rows["ts"].max(), DAYS * 24 * 3600)
         yield pd.DataFrame(out, columns=["id", "accepted"]).astype({"id": "int64", "accepted": "bool"})
 
-    return m.groupBy("conversation_id").applyInPandasWithState(step, "id long, accepted boolean", "offered boolean", "append", GroupStateTimeout.NoTimeout)
+    return m.groupBy("conversation_id").applyInPandasWithState(step, "id long, accepted boolean", "offered boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def process_uploads(uploads: DataFrame, registry: DataFrame, documents: Callable[[], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
