@@ -19,7 +19,7 @@ DETAILS = "SELECT event_id AS id, concat('tenant-', CAST(user_id % 4 AS STRING))
 TAGS = "SELECT DISTINCT conversation_id, 'error' AS cause, 'cita inexistente' AS reason FROM {v_escalations} WHERE conversation_id % 5 = 0"
 PATCHES = "SELECT id, CASE id % 3 WHEN 0 THEN 'resuelta' WHEN 1 THEN 'pendiente' ELSE 'otra' END AS status FROM {v_escalations} WHERE id % 4 = 0"
 FAILURES = "SELECT event_id AS id, event_type AS kind, repeat(props, 300) AS detail FROM {events}"
-BURSTS = "SELECT event_id AS id, CAST(user_id AS STRING) AS key, TIMESTAMP '2024-01-01 00:00:00' + CAST(event_id % 3000 AS INT) * INTERVAL '1' SECOND AS ts FROM {events} WHERE user_id < 40"
+BURSTS = "SELECT event_id AS id, CAST(user_id AS STRING) AS key, TIMESTAMP '2024-01-01 00:00:00' + CAST(event_id % 3000 AS INT) * INTERVAL '1' SECOND AS ts FROM {events}"
 ENTRIES = "SELECT p_partkey AS id, concat('tenant-', CAST(p_partkey % 4 AS STRING)) AS tenant_id, concat(CASE p_partkey % 6 WHEN 0 THEN 'STI' WHEN 1 THEN 'CAL' WHEN 2 THEN 'COM' WHEN 3 THEN 'GTH' WHEN 4 THEN 'SST' ELSE 'QQQ' END, '-PR-0', CAST(p_partkey % 10 AS STRING)) AS codigo, CAST(p_partkey % 4 AS STRING) AS seccion, p_type AS pregunta, p_name AS respuesta FROM {part}"
 OBJECTS = """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN concat('Claro: {"a":{"b":', CAST(event_id AS STRING), '}} y {"c":1}') WHEN 1 THEN 'sin objeto' WHEN 2 THEN '{"abierto": {' WHEN 3 THEN concat('```', props, '```') ELSE '} {"x":"}"} fin' END AS text FROM {events}"""
 JOBS = "SELECT id, tenant_id, CASE id % 4 WHEN 0 THEN 'pendiente' WHEN 1 THEN 'requiere_revision' ELSE 'listo' END AS status, id % 3 AS n_advices FROM {v_documents}"
@@ -44,8 +44,8 @@ def _actions(s: SparkSession, d: str, k: int) -> DataFrame:
 QUERIES = {
     "L1_fingerprint": lambda s, d: sql(s, d, REPORTS).select("id", x.fingerprint(F.col("description")).alias("print"), c.severity(F.substring("description", 1, 5)).alias("severity")),
     "L2_duplicate_findings": lambda s, d: c.suppress_duplicates(sql(s, d, REPORTS)),
-    "L3_register_action": lambda s, d: _actions(s, d, 0).groupBy(F.coalesce("error", F.lit("registrada")).alias("outcome")).agg(F.count("*").alias("n")),
-    "L3_findings_after": lambda s, d: _actions(s, d, 1).groupBy("status").agg(F.count("*").alias("n")),
+    "L3_register_action": lambda s, d: _actions(s, d, 0).select("id", "finding_id", F.coalesce("error", F.lit("registrada")).alias("outcome")),
+    "L3_findings_after": lambda s, d: _actions(s, d, 1).select("id", "status"),
     "L4_finding_status": lambda s, d: c.finding_status(sql(s, d, ASKED), frame(s, d, "v_findings"), frame(s, d, "v_capa")).select("ask_id", "status", "severity", F.coalesce(F.size("actions"), F.lit(-1)).alias("n_actions")),
     "L5_extend_finding": lambda s, d: c.extend_findings(frame(s, d, "v_findings"), sql(s, d, DETAILS)).select("id", "description"),
     "L6_proposals": lambda s, d: c.proposals(sql(s, d, "SELECT id, tenant_id, conversation_id, content AS question FROM {v_messages} WHERE role = 'user'"), "sin_contexto", "Sin respaldo.").select("id", "tenant_id", "question", "cause", "status"),
@@ -61,7 +61,7 @@ QUERIES = {
     "Q3_question_key": lambda s, d: frame(s, d, "v_faq").select("id", x.question_key(F.col("pregunta")).alias("key")),
     "Q4_first_of_each": _once,
     "Q5_candidate_clauses": lambda s, d: q.candidate_clauses(frame(s, d, "v_chunks"), frame(s, d, "v_documents"), ["src1", "src2", "src3", "src4", "src5"], "^(STI|CAL|COM)"),
-    "Q6_known_codes": lambda s, d: reg.known_codes(frame(s, d, "v_documents"), frame(s, d, "v_registry")).groupBy("tenant_id").agg(F.count("*").alias("n")),
+    "Q6_known_codes": lambda s, d: reg.known_codes(frame(s, d, "v_documents"), frame(s, d, "v_registry")),
     "Q7_load": lambda s, d: q.load(sql(s, d, ENTRIES), frame(s, d, "v_documents"), frame(s, d, "v_chunks")).select("id", "document_id", "chunk_id"),
     "Q8_first_object": lambda s, d: sql(s, d, OBJECTS).select("id", q.first_object(F.col("text")).alias("object")),
     "Q9_rejections": lambda s, d: _validated(s, d).filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n")),
@@ -82,8 +82,16 @@ KEY = "array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp
 
 _SQL = {
     "L1_fingerprint": f"SELECT id, {PRINT} AS print, CASE WHEN substr(description, 1, 5) IN ('observacion', 'menor', 'mayor') THEN substr(description, 1, 5) ELSE 'menor' END AS severity FROM ({REPORTS})",
-    "L3_register_action": ACTIONS + " SELECT coalesce(error, 'registrada') AS outcome, count(*) AS n FROM o GROUP BY 1",
-    "L3_findings_after": ACTIONS + " SELECT CASE WHEN f.status = 'abierto' AND f.id IN (SELECT finding_id FROM o WHERE error IS NULL) THEN 'en_revision' ELSE f.status END AS status, count(*) AS n FROM {v_findings} f GROUP BY 1",
+    "L2_duplicate_findings": f"""WITH RECURSIVE r AS (SELECT id, tenant_id, created_at, {PRINT} AS print FROM ({REPORTS})), e AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, print ORDER BY created_at, id) AS k FROM r),
+        step AS (SELECT id, tenant_id, print, k, true AS kept, id AS original_id, created_at AS last FROM e WHERE k = 1 UNION ALL
+          SELECT e.id, e.tenant_id, e.print, e.k, e.created_at - s.last > INTERVAL 24 HOUR, CASE WHEN e.created_at - s.last > INTERVAL 24 HOUR THEN e.id ELSE s.original_id END, CASE WHEN e.created_at - s.last > INTERVAL 24 HOUR THEN e.created_at ELSE s.last END
+          FROM step s JOIN e ON e.tenant_id = s.tenant_id AND e.print = s.print AND e.k = s.k + 1) SELECT id, kept, original_id FROM step""",
+    "L17_sliding_window": f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS k FROM ({BURSTS})),
+        step AS (SELECT id, key, k, true AS admitted, [ts] AS seen FROM e WHERE k = 1 UNION ALL
+          SELECT id, key, k, len(own) < 2, CASE WHEN len(own) < 2 THEN list_append(own, ts) ELSE own END FROM (SELECT e.*, list_filter(s.seen, lambda t: t >= e.ts - INTERVAL 60 SECOND) AS own FROM step s JOIN e ON e.key = s.key AND e.k = s.k + 1))
+        SELECT id, admitted FROM step""",
+    "L3_register_action": ACTIONS + " SELECT id, finding_id, coalesce(error, 'registrada') AS outcome FROM o",
+    "L3_findings_after": ACTIONS + " SELECT f.id, CASE WHEN f.status = 'abierto' AND f.id IN (SELECT finding_id FROM o WHERE error IS NULL) THEN 'en_revision' ELSE f.status END AS status FROM {v_findings} f",
     "L4_finding_status": f"""SELECT a.ask_id, coalesce(f.status, 'not_found') AS status, f.severity, CASE WHEN f.id IS NULL THEN -1 ELSE (SELECT count(*) FROM {{v_capa}} c WHERE c.finding_id = f.id) END AS n_actions FROM ({ASKED}) a LEFT JOIN {{v_findings}} f ON f.id = a.finding_id AND f.tenant_id = a.tenant_id""",
     "L5_extend_finding": f"""WITH d AS (SELECT tenant_id, finding_id, string_agg(concat(chr(10), chr(10), 'Ampliación: ', trim(detail)), '' ORDER BY id) AS more FROM ({DETAILS}) WHERE trim(detail) <> '' GROUP BY tenant_id, finding_id) SELECT f.id, concat(f.description, coalesce(d.more, '')) AS description FROM {{v_findings}} f LEFT JOIN d ON d.finding_id = f.id AND d.tenant_id = f.tenant_id""",
     "L6_proposals": "SELECT id, tenant_id, content AS question, 'sin_contexto' AS cause, 'propuesta' AS status FROM {v_messages} WHERE role = 'user'",
@@ -99,7 +107,7 @@ _SQL = {
     "Q4_first_of_each": VALID + f" SELECT id, row_number() OVER (PARTITION BY {KEY} ORDER BY id) > 1 AS duplicate FROM valid WHERE reason IS NULL",
     "Q5_candidate_clauses": r"""SELECT c.id AS chunk_id, d.code, d.version, d.area, c.section FROM {v_chunks} c JOIN {v_documents} d ON d.id = c.document_id WHERE d.status = 'vigente' AND d.area IN ('src1', 'src2', 'src3', 'src4', 'src5') AND regexp_matches(d.code, '^(STI|CAL|COM)') AND length(c.content) >= 120
         AND NOT starts_with(c.content, '1. OBJETIVO') AND NOT (trim(c.content) LIKE '%:' AND length(trim(c.content)) < 250)""",
-    "Q6_known_codes": "SELECT tenant_id, count(*) AS n FROM (SELECT tenant_id, code FROM {v_documents} UNION SELECT tenant_id, code FROM {v_registry}) GROUP BY tenant_id",
+    "Q6_known_codes": "SELECT tenant_id, code FROM {v_documents} UNION SELECT tenant_id, code FROM {v_registry}",
     "Q7_load": f"""WITH d AS (SELECT tenant_id, code, max(id) AS document_id FROM {{v_documents}} GROUP BY ALL), c AS (SELECT document_id, section, max(id) AS chunk_id FROM {{v_chunks}} GROUP BY ALL), e AS (SELECT e.*, d.document_id, c.chunk_id, row_number() OVER (PARTITION BY e.tenant_id, d.document_id, e.pregunta ORDER BY e.id) AS place
         FROM ({ENTRIES}) e JOIN d ON d.tenant_id = e.tenant_id AND d.code = e.codigo LEFT JOIN c ON c.document_id = d.document_id AND c.section = e.seccion) SELECT id, document_id, chunk_id FROM e WHERE place = 1""",
     "Q8_first_object": """SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN concat('{"a":{"b":', CAST(event_id AS VARCHAR), '}}') WHEN 3 THEN props WHEN 4 THEN '{"x":"}' END AS object FROM {events}""",

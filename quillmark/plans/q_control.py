@@ -55,14 +55,14 @@ def _with(s, d, text: str, name: str, write, read):
 
 
 def _metadata(s, d, k: int) -> DataFrame:
-    return _with(s, d, METADATA, "metadata", lambda df, p: df.repartition(1).sortWithinPartitions("filename", "version").write.csv(p, header=True), lambda p: t.read_metadata(s, p)[k])
+    return _with(s, d, METADATA, "metadata", lambda df, p: df.repartitionByRange("filename").sortWithinPartitions("filename", "version").write.csv(p, header=True, escape='"'), lambda p: t.read_metadata(s, p)[k])
 
 
 def _register_replaced(s, d) -> DataFrame:
     path = scratch(s, "register")
     t.load_register(registry(s, d), path)
     t.load_register(registry(s, d).filter("tenant_id = 'tenant-1' AND code LIKE 'CAL%'"), path)
-    return s.read.parquet(path).groupBy("tenant_id").agg(F.count("*").alias("n"), F.min("code").alias("first"), F.max("code").alias("last"))
+    return s.read.parquet(path).select("tenant_id", "code", "version", "effective_date")
 
 
 def _faq_file(s, d) -> DataFrame:
@@ -76,7 +76,7 @@ def _faq_file(s, d) -> DataFrame:
 
 
 def _sink(s, d) -> DataFrame:
-    return _with(s, d, EXAMPLES, "dataset", t.write_dataset, lambda p: s.read.json(p)).groupBy("particion").agg(F.count("*").alias("n"), F.sum(F.size("messages")).alias("messages"))
+    return _with(s, d, EXAMPLES, "dataset", t.write_dataset, lambda p: s.read.json(p)).select("id", "particion", F.array_join(F.transform("messages", lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("messages"))
 
 
 def _appended(s, d) -> DataFrame:
@@ -88,7 +88,7 @@ def _appended(s, d) -> DataFrame:
 
 
 def _sorted_csv(s, d) -> DataFrame:
-    return _with(s, d, METADATA, "csv", t.write_metadata, lambda p: s.read.csv(p, header=True)).groupBy("code").agg(F.count("*").alias("n"), F.max("filename").alias("last"))
+    return _with(s, d, METADATA, "csv", t.write_metadata, lambda p: s.read.csv(p, header=True, escape='"')).select("filename", "code", "version", "title", "area")
 
 
 def _approval(s, d) -> DataFrame:
@@ -101,11 +101,6 @@ def _flat():
     return F.array_join(F.transform("advices", lambda a: F.concat(a["code"], F.lit("="), a["detail"])), ";")
 
 
-def _summary(df: DataFrame) -> DataFrame:
-    return df.groupBy("status").agg(F.count("*").alias("n"))
-
-
-
 QUERIES = {
     "V1_header": lambda s, d: sql(s, d, HEADERS).select("id", i.parse_header(F.col("text")).alias("h")).select("id", "h.*"),
     "V2_filename_code": lambda s, d: V("v_files")(s, d).select("id", i.code_from_filename(F.col("filename")).alias("code")),
@@ -114,10 +109,10 @@ QUERIES = {
     "V5_assess": lambda s, d: assessed(s, d).select("id", "code", "version", _flat().alias("advices"), "blocking", "needs_review"),
     "V6_version_number": lambda s, d: docs(s, d).select("id", x.version_number(F.col("version")).alias("n")),
     "V7_document_type": lambda s, d: docs(s, d).select("id", x.document_type(F.col("code")).alias("kind")),
-    "V8_jobs": lambda s, d: _jobs(s, d, 0).groupBy("status", "created_document").agg(F.count("*").alias("n")),
-    "V8_documents": lambda s, d: _jobs(s, d, 1).groupBy("tenant_id", "status").agg(F.count("*").alias("n"), F.count_if(F.col("id").isNull()).alias("created")),
-    "V9_apply_advice": lambda s, d: _summary(i.apply_advice(assessed(s, d), docs(s, d))[0]),
-    "V10_discard": lambda s, d: i.discard(_jobs(s, d, 0), sql(s, d, "SELECT id FROM {v_documents} WHERE id % 5 = 0"), docs(s, d), chunks(s, d))[0].groupBy("status").agg(F.count("*").alias("n")),
+    "V8_jobs": lambda s, d: _jobs(s, d, 0).select("id", "tenant_id", "code", "version", "status", "created_document"),
+    "V8_documents": lambda s, d: _jobs(s, d, 1).select("id", "tenant_id", "code", "version", "title", "area", "status"),
+    "V9_apply_advice": lambda s, d: i.apply_advice(assessed(s, d), docs(s, d))[0].select("id", "status"),
+    "V10_discard": lambda s, d: i.discard(_jobs(s, d, 0), sql(s, d, "SELECT id FROM {v_documents} WHERE id % 5 = 0"), docs(s, d), chunks(s, d))[0].select("id", "status"),
     "V11_reconcile": lambda s, d: g.reconcile(docs(s, d), registry(s, d)),
     "V12_same_content": lambda s, d: g.same_content_once(sql(s, d, FILES)).select("id", "tenant_id", "code", "path"),
     "V13_distinct_codes": lambda s, d: g.distinct_codes(sql(s, d, FILES)).select("id", "tenant_id", "code"),
@@ -141,12 +136,28 @@ QUERIES = {
     "S10_register_seed": lambda s, d: t.register_of_metadata(docs(s, d).withColumn("code", F.lower("code")), F.col("tenant_id")).select("tenant_id", "code", "version", "process", "effective_date"),
     "S11_metadata_sink": _sorted_csv,
     "S12_dataset_sink": _sink,
-    "S13_tagged": lambda s, d: t.tagged(sql(s, d, EXAMPLES)).groupBy("particion", "tipo").agg(F.count("*").alias("n")),
+    "S13_tagged": lambda s, d: t.tagged(sql(s, d, EXAMPLES)).select("id", "particion", "tipo"),
     "S14_rejections": lambda s, d: t.rejection_summary(sql(s, d, "SELECT id, CASE WHEN id % 3 = 0 THEN 'longitud' ELSE 'cifra_inventada' END AS reason, pregunta AS question FROM {v_faq}")).select("reason", "total", "place", "question"),
     "S15_rejection_report": lambda s, d: t.rejection_report(sql(s, d, REPORTS)),
     "S16_admission": lambda s, d: t.admit_uploads(sql(s, d, UPLOAD_FILES)).select("id", "status", "reason", "stored_name"),
 }
 
+FOOTER = r"(?i)(?:Est[áa]\s+)?prohibid|reproducci|autorizaci[oó]n expresa"
+#: Approval blocks; lines of these pages have one height each.
+BLOCKS = rf"""WITH w AS (SELECT *, (x0 + x1) / 2 AS mid, trim(upper(text), ':') AS label FROM ({WORDS})), r AS (SELECT doc_id, max(top) AS row FROM w WHERE label IN ('ELABORADO', 'REVISADO', 'APROBADO') GROUP BY doc_id),
+    c AS (SELECT w.doc_id, label, coalesce((mid + lag(mid) OVER (PARTITION BY w.doc_id ORDER BY mid)) / 2, 0) AS low, coalesce((mid + lead(mid) OVER (PARTITION BY w.doc_id ORDER BY mid)) / 2, page_width) AS high FROM w JOIN r ON r.doc_id = w.doc_id WHERE abs(top - row) < 4 AND label IN ('ELABORADO', 'REVISADO', 'APROBADO')),
+    b AS (SELECT w.* FROM w JOIN r ON r.doc_id = w.doc_id WHERE top > row + 1), f AS (SELECT doc_id, min(top) AS footer FROM (SELECT doc_id, top, string_agg(text, ' ' ORDER BY x0) AS line FROM b GROUP BY doc_id, top) WHERE regexp_matches(line, '{FOOTER}') GROUP BY doc_id),
+    p AS (SELECT c.doc_id, c.label, b.top, string_agg(b.text, ' ' ORDER BY b.x0) AS part FROM b JOIN c ON c.doc_id = b.doc_id AND b.mid >= c.low AND b.mid < c.high LEFT JOIN f ON f.doc_id = b.doc_id WHERE f.footer IS NULL OR b.top < f.footer GROUP BY c.doc_id, c.label, b.top),
+    k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY top) AS place FROM p), o AS (SELECT doc_id, label, string_agg(part, ' ' ORDER BY top) AS role FROM k WHERE place <= 3 GROUP BY doc_id, label),
+    blocks AS (SELECT d.doc_id, max(role) FILTER (label = 'ELABORADO') AS prepared_by, max(role) FILTER (label = 'REVISADO') AS reviewed_by, max(role) FILTER (label = 'APROBADO') AS approved_by FROM (SELECT DISTINCT doc_id FROM w) d LEFT JOIN o ON o.doc_id = d.doc_id GROUP BY d.doc_id)"""
+
+
+def inline(label: str) -> str:
+    found = rf"regexp_extract(text, '(?i){label}\s+por\s+(?:el|la|los|las)?\s*([^\n_]{{3,60}})', 1)"
+    cut = rf"string_split_regex(string_split_regex({found}, '(?i)\s+(?:Elaborado|Revisado|Aprobado)\s+por\b')[1], '{FOOTER}')[1]"
+    return rf"nullif(regexp_replace(regexp_replace({cut}, '^[ :.\t-]+|[ :.\t-]+$', '', 'g'), '^\s+|\s+$', '', 'g'), '')"
+
+
 ASSESSED = """WITH u AS (SELECT *, nullif(regexp_extract(trim(regexp_replace(filename, '\\.[^.]*$', '')), '^([A-Z]{2,4}-[A-Z]{2}-\\d{1,3})\\b', 1), '') AS name_code FROM {v_uploads}),
     c AS (SELECT * EXCLUDE (name_code), name_code, coalesce(header_code, name_code) AS code, CASE WHEN coalesce(header_code, name_code) IS NOT NULL THEN coalesce(header_version, 'v1') END AS version FROM u),
     j AS (SELECT c.*, r.code IS NOT NULL AS registered, r.version AS reg_version, r.effective_date AS reg_date FROM c LEFT JOIN {v_registry} r ON r.tenant_id = c.tenant_id AND r.code = c.code),
@@ -168,15 +179,19 @@ _SQL = {
     "V1_header": rf"""SELECT id, nullif(upper(regexp_extract(text, '(?i)C[OÓó]D(?:IGO)?\s*[:.]?\s*([A-Z]{{2,4}}-[A-Z]{{2}}-\d{{1,3}})', 1)), '') AS code, concat('v', CAST(CAST(nullif(regexp_extract(text, '(?i)VERSI[OÓó]N\s*[:.]?\s*(\d{{1,3}})', 1), '') AS INT) AS VARCHAR)) AS version,
         CAST(try_strptime(nullif(regexp_extract(text, '(?i)REVISI[OÓó]N\s*[:.]?\s*(\d{{2}}/\d{{2}}/\d{{4}})', 1), ''), '%d/%m/%Y') AS DATE) AS revision_date FROM ({HEADERS})""",
     "V2_filename_code": r"SELECT id, nullif(regexp_extract(trim(regexp_replace(filename, '\.[^.]*$', '')), '^([A-Z]{2,4}-[A-Z]{2}-\d{1,3})\b', 1), '') AS code FROM {v_files}",
+    "V3_approval_block": f"{BLOCKS} SELECT * FROM blocks",
+    "V4_approval_inline": rf"""{BLOCKS}, t AS (SELECT doc_id, {inline('Aprobado')} AS approved, {inline('Elaborado')} AS prepared FROM ({LAST_PAGES}))
+        SELECT t.doc_id, CASE WHEN b.approved_by IS NULL AND t.approved IS NOT NULL THEN coalesce(b.prepared_by, t.prepared) ELSE b.prepared_by END AS prepared_by, b.reviewed_by, coalesce(b.approved_by, t.approved) AS approved_by FROM t LEFT JOIN blocks b ON b.doc_id = t.doc_id""",
     "V5_assess": ASSESSED + " SELECT id, code, version, array_to_string(list, ';') AS advices, blocking, needs_review FROM assessed",
     "V6_version_number": "SELECT id, CAST(substr(version, 2) AS INT) AS n FROM {v_documents}",
     "V7_document_type": "SELECT id, upper(split_part(code, '-', 2)) AS kind FROM {v_documents}",
-    "V8_jobs": JOBS + " SELECT status, created_document, count(*) AS n FROM jobs GROUP BY ALL",
-    "V8_documents": JOBS + """, made AS (SELECT DISTINCT tenant_id, code, version FROM jobs WHERE created_document), stock AS (SELECT tenant_id, status, false AS is_new FROM {v_documents} UNION ALL SELECT tenant_id, 'vigente', true FROM made)
-        SELECT tenant_id, status, count(*) AS n, count(*) FILTER (is_new) AS created FROM stock GROUP BY ALL""",
+    "V8_jobs": JOBS + " SELECT id, tenant_id, code, version, status, created_document FROM jobs",
+    "V8_documents": JOBS + """, up AS (SELECT tenant_id, code, version, arg_max(area, id) AS area, arg_max(title, id) AS title FROM assessed WHERE NOT blocking GROUP BY ALL)
+        SELECT d.id, coalesce(d.tenant_id, u.tenant_id) AS tenant_id, coalesce(d.code, u.code) AS code, coalesce(d.version, u.version) AS version, coalesce(nullif(trim(d.title), ''), u.title) AS title, coalesce(u.area, d.area) AS area, coalesce(d.status, 'vigente') AS status
+        FROM {v_documents} d FULL JOIN up u ON u.tenant_id = d.tenant_id AND u.code = d.code AND u.version = d.version""",
     "V9_apply_advice": ASSESSED + """, gone AS (SELECT DISTINCT tenant_id, CAST(unnest(string_split(older, ',')) AS BIGINT) AS id FROM assessed WHERE older IS NOT NULL)
-        SELECT CASE WHEN g.id IS NULL THEN d.status ELSE 'obsoleto' END AS status, count(*) AS n FROM {v_documents} d LEFT JOIN gone g ON g.id = d.id AND g.tenant_id = d.tenant_id GROUP BY ALL""",
-    "V10_discard": JOBS + " SELECT status, count(*) AS n FROM jobs WHERE id % 5 <> 0 GROUP BY ALL",
+        SELECT d.id, CASE WHEN g.id IS NULL THEN d.status ELSE 'obsoleto' END AS status FROM {v_documents} d LEFT JOIN gone g ON g.id = d.id AND g.tenant_id = d.tenant_id""",
+    "V10_discard": JOBS + " SELECT id, status FROM jobs WHERE id % 5 <> 0",
     "V11_reconcile": """SELECT coalesce(f.tenant_id, r.tenant_id) AS tenant_id, coalesce(f.code, r.code) AS code, CASE WHEN f.code IS NULL THEN 'registered_without_file' WHEN r.code IS NULL THEN 'file_not_registered' ELSE 'both' END AS side
         FROM (SELECT DISTINCT tenant_id, upper(split_part(code, ' (', 1)) AS code FROM {v_documents}) f FULL JOIN {v_registry} r ON r.tenant_id = f.tenant_id AND r.code = f.code""",
     "V12_same_content": f"SELECT id, tenant_id, code, path FROM (SELECT *, row_number() OVER (PARTITION BY tenant_id, code, sha256(content) ORDER BY length(path), path) AS place FROM ({FILES})) WHERE place = 1",
@@ -203,11 +218,11 @@ _SQL = {
     "S6_checkpoint": "SELECT concat(code, '§', CAST(id % 3 AS VARCHAR)) AS clave, min(id) AS pos, concat('p', CAST(max(id) AS VARCHAR)) AS pregunta FROM {v_documents} WHERE id % 9 <> 0 GROUP BY 1",
     "S7_checkpoint_sink": "SELECT concat(code, '§', CAST(id % 3 AS VARCHAR)) AS clave, max(code) AS codigo, concat('p', CAST(max(id) AS VARCHAR)) AS pregunta FROM {v_documents} WHERE id % 9 <> 0 GROUP BY 1",
     "S8_resume": "SELECT DISTINCT concat(code, '§', CAST(id % 3 AS VARCHAR)) AS clave FROM {v_documents} EXCEPT SELECT concat(code, '§', CAST(id % 3 AS VARCHAR)) FROM {v_documents} WHERE id % 9 <> 0",
-    "S9_register_load": "SELECT tenant_id, count(*) AS n, min(code) AS first, max(code) AS last FROM {v_registry} WHERE tenant_id <> 'tenant-1' OR code LIKE 'CAL%' GROUP BY tenant_id",
+    "S9_register_load": "SELECT tenant_id, code, version, effective_date FROM {v_registry} WHERE tenant_id <> 'tenant-1' OR code LIKE 'CAL%'",
     "S10_register_seed": "SELECT tenant_id, code, version, area AS process, effective_date FROM {v_documents}",
-    "S11_metadata_sink": f"SELECT code, count(*) AS n, max(filename) AS last FROM ({METADATA}) GROUP BY code",
-    "S12_dataset_sink": "SELECT CASE WHEN id % 10 = 0 THEN 'valid' WHEN id % 10 = 1 THEN 'test' ELSE 'train' END AS particion, count(*) AS n, CAST(2 * count(*) AS BIGINT) AS messages FROM {v_examples} GROUP BY 1",
-    "S13_tagged": "SELECT CASE WHEN id % 10 = 0 THEN 'valid' WHEN id % 10 = 1 THEN 'test' ELSE 'train' END AS particion, CASE WHEN is_call THEN 'tool_call' ELSE 'texto' END AS tipo, count(*) AS n FROM {v_examples} GROUP BY ALL",
+    "S11_metadata_sink": f"SELECT filename, code, version, title, area FROM ({METADATA})",
+    "S12_dataset_sink": "SELECT id, CASE WHEN id % 10 = 0 THEN 'valid' WHEN id % 10 = 1 THEN 'test' ELSE 'train' END AS particion, concat('user:', question, '|assistant:', answer) AS messages FROM {v_examples}",
+    "S13_tagged": "SELECT id, CASE WHEN id % 10 = 0 THEN 'valid' WHEN id % 10 = 1 THEN 'test' ELSE 'train' END AS particion, CASE WHEN is_call THEN 'tool_call' ELSE 'texto' END AS tipo FROM {v_examples}",
     "S14_rejections": "WITH r AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'longitud' ELSE 'cifra_inventada' END AS reason, pregunta AS question FROM {v_faq}) SELECT * FROM (SELECT reason, count(*) OVER (PARTITION BY reason) AS total, row_number() OVER (PARTITION BY reason ORDER BY id) AS place, question FROM r) WHERE place <= 40",
     "S15_rejection_report": """SELECT code, CAST(id % 9 AS VARCHAR) AS section, 'ZZZ-PR-99,YYY-PO-01' AS phantoms, concat('que dice ', CAST(id AS VARCHAR), '?') AS question, 'lo dice ZZZ-PR-99' AS answer FROM {v_documents}
         UNION ALL SELECT code, '1', 'QQQ-PR-01', 'otra', 'nada' FROM {v_documents} WHERE id % 2 = 0""",

@@ -14,7 +14,7 @@ TURNS = """SELECT a.id, a.conversation_id, a.answer, a.id % 7 = 0 AS phantom, a.
 RESULTS = """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN '{"documentos":[]}' WHEN 1 THEN concat('{"documentos":[{"codigo":"', event_type, '"}]}') WHEN 2 THEN '{"error":"not_found"}' WHEN 3 THEN props WHEN 4 THEN '{"hallazgos":[],"k":1}' ELSE '{"acciones":[1],"error":null}' END AS result FROM {events}"""
 CLAIMS = """SELECT id, concat('La accion correctiva quedo con ID ', CAST(id % 40000 AS STRING), '. El hallazgo ID ', CAST(id % 30000 AS STRING), CASE WHEN id % 2 = 0 THEN ' y la no conformidad con ID 999999' ELSE '' END) AS answer FROM {v_answers}"""
 OFFERED = f"""SELECT id, CASE id % 5 WHEN 0 THEN concat(answer, ' ¿Confirmas que lo derive?') WHEN 1 THEN concat(answer, ' {g.OFFER}  ') WHEN 2 THEN '¿Lo derivo?' WHEN 3 THEN '' ELSE answer END AS answer FROM {{v_answers}}"""
-READS = "SELECT a.id, a.answer, d.code, d.version, array('1', '2', '9') AS sections FROM {v_answers} a JOIN {v_documents} d ON d.id = a.source_document_id WHERE a.id % 2 = 0"
+READS = "SELECT a.id, a.answer, d.code, d.version, array('1', '2', '9') AS sections FROM {v_answers} a JOIN {v_documents} d ON d.id = a.source_document_id"
 GAPS = "SELECT m.id, m.id % 3 <> 0 AS documental, m.id % 5 = 0 AS escalated, m.id % 7 = 0 AS offered, m.id % 2 AS accepted, CASE WHEN m.id % 4 = 0 THEN array('vacaciones', 'viajes') ELSE CAST(array() AS ARRAY<STRING>) END AS missing FROM {v_messages} m"
 ECHOES = "SELECT id, concat(CASE id % 8 WHEN 0 THEN 'NO INVENTES procedimientos. ' WHEN 1 THEN 'Responde unicamente con base en ellos ' ELSE '' END, answer) AS answer FROM {v_answers}"
 
@@ -83,7 +83,7 @@ _SQL = {
     "G7_citations": rf"""WITH r AS (SELECT *, list_contains(regexp_extract_all(answer, {CODES}), upper(split_part(code, ' (', 1))) AS of_code, list_contains(regexp_extract_all(answer, {SECTIONS}, 1), section) AS of_section, len(regexp_extract_all(answer, {CODES})) AS used FROM {{v_retrieved}}),
         f AS (SELECT *, bool_or(of_code AND of_section) OVER (PARTITION BY id) AS any_section, bool_or(of_code) OVER (PARTITION BY id) AS any_code FROM r)
         SELECT DISTINCT id, code, version, section FROM f WHERE used > 0 AND CASE WHEN any_section THEN of_code AND of_section WHEN any_code THEN of_code ELSE true END""",
-    "G8_read_citations": rf"""WITH r AS (SELECT a.id, a.answer, d.code, d.version, list_sort(list_intersect(list_distinct(regexp_extract_all(a.answer, {SECTIONS}, 1)), ['1', '2', '9'])) AS used FROM {{v_answers}} a JOIN {{v_documents}} d ON d.id = a.source_document_id WHERE a.id % 2 = 0)
+    "G8_read_citations": rf"""WITH r AS (SELECT a.id, a.answer, d.code, d.version, list_sort(list_intersect(list_distinct(regexp_extract_all(a.answer, {SECTIONS}, 1)), ['1', '2', '9'])) AS used FROM {{v_answers}} a JOIN {{v_documents}} d ON d.id = a.source_document_id)
         SELECT id, code, version, unnest(CASE WHEN len(used) > 0 THEN used ELSE [NULL] END) AS section FROM r""",
     "G9_catalogue_citations": rf"SELECT DISTINCT c.id, d.code, d.version FROM (SELECT id, tenant_id, unnest(regexp_extract_all(answer, {CODES})) AS base FROM {{v_answers}}) c JOIN {{v_documents}} d ON d.tenant_id = c.tenant_id AND d.status = 'vigente' AND starts_with(d.code, c.base)",
     "G10_invented_records": """WITH c AS (SELECT id, 'accion correctiva' AS kind, id % 40000 AS record FROM {v_answers} UNION ALL SELECT id, 'hallazgo', id % 30000 FROM {v_answers} UNION ALL SELECT id, 'hallazgo', 999999 FROM {v_answers} WHERE id % 2 = 0)

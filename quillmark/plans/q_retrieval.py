@@ -21,8 +21,8 @@ FOUND = f"""{NEAR}, moved AS (SELECT * EXCLUDE (distance, rank), round(distance
   again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM moved),
   top AS (SELECT *, min(CASE WHEN distance <= {CUT} THEN distance END) OVER (PARTITION BY query_id) AS best FROM again WHERE rank <= 4),
   found AS (SELECT *, CASE WHEN distance > {CUT} THEN 'beyond_threshold' WHEN distance > best + 0.08 THEN 'beyond_margin' ELSE 'accepted' END AS verdict FROM top)"""
-FAQS = """SELECT e.vec_id AS id, e.vec_id % 200 AS document_id, CASE WHEN e.vec_id % 3 = 0 THEN NULL ELSE e.vec_id END AS chunk_id, concat('¿Que dice ', CAST(e.vec_id AS STRING), '?') AS question,
-    concat('Dice ', CAST(e.label AS STRING)) AS answer, e.label % 2 = 0 AS reviewed, e.embedding FROM {embeddings} e"""
+FAQS = """SELECT id, document_id, CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS chunk_id, concat('¿Que dice ', CAST(id AS STRING), '?') AS question,
+    concat('Dice ', CAST(label AS STRING)) AS answer, label % 2 = 0 AS reviewed, embedding FROM {v_chunks}"""
 FAQ_FOUND = f"""WITH faqs AS ({FAQS}), pairs AS (SELECT q.query_id, f.id AS faq_id, f.chunk_id, f.question, f.answer, f.reviewed, d.code, d.version,
     round(list_cosine_distance(CAST(q.embedding AS DOUBLE[]), CAST(f.embedding AS DOUBLE[])), 6) AS distance
     FROM {{v_queries}} q JOIN {{v_documents}} d ON d.tenant_id = q.tenant_id AND d.status = 'vigente' JOIN faqs f ON f.document_id = d.id),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillmark.plans import q_cases, q_control, q_turns
 from quillmark.plans.views import frame, sql
@@ -24,14 +23,14 @@ def drained(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], D
 
 
 def upload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Uploads assessed as they arrive, one batch of files after the other; how many jobs end in which status."""
+    """The jobs of uploads assessed as they arrive, one batch of files after the other."""
     uploads, registry, stock = (frame(spark, sf_dir, n) for n in ("v_uploads", "v_registry", "v_documents"))
     source, out, state = (scratch(spark, n) for n in ("uploads-in", "jobs-out", "uploads-state"))
     uploads.repartition(4).write.parquet(source)
     stream = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 2).parquet(source)
     q = streams.process_uploads(stream, registry, lambda: stock, lambda jobs, _, number: jobs.write.mode("overwrite").parquet(f"{out}/batch={number}"), state)
     q.awaitTermination()
-    return spark.read.parquet(out).groupBy("status", "created_document").agg(F.count("*").alias("n"))
+    return spark.read.parquet(out).select("id", "tenant_id", "code", "version", "status", "created_document")
 
 
 def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +50,10 @@ QUERIES = {
     "S16_admission_stream": admission_stream,
     "L2_duplicate_findings_stream": lambda s, d: drained(s, sql(s, d, q_cases.REPORTS), streams.suppress_duplicates),
     "L17_sliding_window_stream": lambda s, d: drained(s, sql(s, d, q_cases.BURSTS), lambda e: streams.sliding_window(e, 2)),
-    "M6_consent_stream": lambda s, d: drained(s, sql(s, d, q_turns.OFFERED), streams.resolve_consent),
+    "M6_consent_stream": lambda s, d: drained(s, sql(s, d, f"SELECT *, TIMESTAMP '2024-01-01 00:00:00' + CAST(id AS INT) * INTERVAL '1' SECOND AS ts FROM ({q_turns.OFFERED})"), streams.resolve_consent),
 }
-#: Streams have the results of their batch forms, where these have SQL.
-ORACLES = {"V8_jobs_stream": q_control.ORACLES["V8_jobs"], "S16_admission_stream": q_control.ORACLES["S16_admission"]}
+#: Streams have the results of their batch forms.
+ORACLES = {
+    "V8_jobs_stream": q_control.ORACLES["V8_jobs"], "S16_admission_stream": q_control.ORACLES["S16_admission"], "L2_duplicate_findings_stream": q_cases.ORACLES["L2_duplicate_findings"],
+    "L17_sliding_window_stream": q_cases.ORACLES["L17_sliding_window"], "M6_consent_stream": q_turns.ORACLES.pop("M6_consent_stream"),
+}

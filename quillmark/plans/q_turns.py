@@ -90,6 +90,8 @@ _SQL = {
     "M6_resolve_consent": f"""WITH o AS ({OFFERED}), w AS (SELECT *, {NORMAL} AS n, last_value(CASE WHEN role = 'assistant' THEN content END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM o),
         a AS (SELECT id, conversation_id, {CONSENT} AS yes FROM w WHERE role = 'user' AND rtrim(last) LIKE '%{g.OFFER}'), p AS (SELECT conversation_id, max(id) AS escalation_id FROM ({PROPOSED}) WHERE status = 'propuesta' GROUP BY conversation_id)
         SELECT a.id, p.escalation_id, CASE WHEN yes THEN 'pendiente' ELSE 'descartada' END AS status FROM a JOIN p ON p.conversation_id = a.conversation_id WHERE yes IS NOT NULL""",
+    "M6_consent_stream": f"""WITH o AS ({OFFERED}), w AS (SELECT *, {NORMAL} AS n, last_value(CASE WHEN role = 'assistant' THEN content END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM o),
+        a AS (SELECT id, {CONSENT} AS accepted FROM w WHERE role = 'user' AND rtrim(last) LIKE '%{g.OFFER}') SELECT id, accepted FROM a WHERE accepted IS NOT NULL""",
     "M7_useful_question": f"""WITH u AS (SELECT id, conversation_id, trim(content) AS text, row_number() OVER (PARTITION BY conversation_id ORDER BY id) AS k, {CONSENT} AS yes FROM (SELECT *, {NORMAL} AS n FROM {{v_turns}} WHERE role = 'user')),
         b AS (SELECT u.id, arg_max(v.text, v.k) AS back FROM u JOIN u v ON v.conversation_id = u.conversation_id AND v.k < u.k AND v.k >= u.k - 6 AND v.yes IS NULL AND v.text <> '' AND v.text <> u.text GROUP BY u.id)
         SELECT u.id, CASE WHEN u.text <> '' AND u.yes IS NULL THEN u.text ELSE coalesce(b.back, nullif(u.text, ''), '(sin registrar)') END AS question FROM u LEFT JOIN b ON b.id = u.id""",
@@ -98,6 +100,8 @@ _SQL = {
     "M10_prompt": """WITH p AS (SELECT id, content, concat_ws(',', 'system', CASE WHEN id % 3 = 0 THEN 'system' END, 'system', CASE WHEN id % 7 = 0 THEN 'system' END, 'assistant', 'user') AS roles,
         concat_ws('|', CASE WHEN id % 2 = 0 THEN 'Eres el asistente.' ELSE 'Asistente por defecto.' END, CASE WHEN id % 3 = 0 THEN concat('Preguntas frecuentes parecidas:', chr(10), chr(10), 'P: ? R: .') END, concat(CASE WHEN id % 5 = 0 THEN 'No se recupero ningun fragmento. No inventes.' ELSE concat('Fragmentos VIGENTES recuperados:', chr(10), chr(10), 'Fragmento') END,
           chr(10), chr(10), 'Recuerda: no apruebas ni modificas documentos. HOY es 2026-01-01.'), CASE WHEN id % 7 = 0 THEN 'Se pide producir material visual.' END, 'antes', content) AS body FROM {v_messages}) SELECT id, len(string_split(roles, ',')) AS n, roles, md5(body) AS digest FROM p""",
+    "M11_merge_system": """SELECT id, 'system,assistant,user' AS roles, length(concat_ws(concat(chr(10), chr(10)), CASE WHEN id % 2 = 0 THEN 'Eres el asistente.' ELSE 'Asistente por defecto.' END, CASE WHEN id % 3 = 0 THEN concat('Preguntas frecuentes parecidas:', chr(10), chr(10), 'P: ? R: .') END,
+          CASE WHEN id % 5 = 0 THEN 'No se recupero ningun fragmento. No inventes.' ELSE concat('Fragmentos VIGENTES recuperados:', chr(10), chr(10), 'Fragmento') END, 'Recuerda: no apruebas ni modificas documentos. HOY es 2026-01-01.', CASE WHEN id % 7 = 0 THEN 'Se pide producir material visual.' END)) AS n FROM {v_messages}""",
     "M12_reasoning": f"SELECT id, trim(regexp_replace(text, '(?is)<think>.*?</think>', '', 'g')) AS text FROM ({LEAKS})",
     "M13_recovered_call": f"SELECT id, CASE id % 9 WHEN 0 THEN 'buscar_documentos' WHEN 2 THEN 'get_capa_status' WHEN 6 THEN 'leer_documento' END AS name FROM ({LEAKS})",
     "M14_tool_prefix": rf"SELECT id, trim(regexp_replace(text, '(?i)^\s*(?:<tool_call>|```json|```)?\s*(?:{t.NAMES})\s*[:\-–]\s*', '')) AS text FROM ({LEAKS})",
