@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillmark.plans import q_cases, q_control, q_turns
 from quillmark.plans.views import frame, sql
@@ -34,14 +35,13 @@ def upload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files admitted or rejected as they arrive."""
-    out = scratch(spark, "admitted")
+    """Files admitted or rejected as they arrive, in three lots by id; the query is taken up again after each."""
+    source, out, state = (scratch(spark, n) for n in ("files-in", "admitted", "files-state"))
     rows = sql(spark, sf_dir, q_control.UPLOAD_FILES)
-    source, state = scratch(spark, "files-in"), scratch(spark, "files-state")
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
-    each = lambda batch, number: streams.admitted_files(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    top = rows.agg(F.max("id")).first()[0] or 0
+    for lot in range(3):
+        rows.filter(F.least(F.floor(F.col("id") * 3 / (top + 1)), F.lit(2)) == lot).write.mode("append").parquet(source)
+        streams.admit_files(spark.readStream.schema(rows.schema).parquet(source), out, state).awaitTermination()
     return spark.read.parquet(out).select("id", "status", "reason", "stored_name")
 
 

@@ -114,12 +114,19 @@ def rejection_report(reports: DataFrame) -> DataFrame:
     return reports.select(F.explode(parts).alias("x")).select("x.code", F.trim("x.section").alias("section"), F.array_join(split, ",").alias("phantoms"), F.trim("x.question").alias("question"), F.trim("x.answer").alias("answer"))
 
 
-def admit_uploads(files: DataFrame, limit: int = MAX_UPLOAD) -> DataFrame:
-    """Adds status (queued or rejected), reason and stored_name to files (id, tenant_id, path, length)."""
+def admit_uploads(files: DataFrame, limit: int = MAX_UPLOAD, taken: DataFrame | None = None) -> DataFrame:
+    """Adds status (queued or rejected), reason, stem and stored_name to files (id, tenant_id, path, length).
+
+    A stem that occurs again in a tenant gets a number, in order of id. taken: (tenant_id, stem, n), how often stems are in use
+    already.
+    """
     name = F.element_at(F.split("path", "/"), -1)
     reason = F.when(~F.lower(name).endswith(".pdf"), "not_pdf").when(F.col("length") == 0, "empty").when(F.col("length") > limit, "too_large")
     stem = F.coalesce(F.nullif(F.substring(slug(F.regexp_replace(name, r"\.[^.]*$", "")), 1, 80), F.lit("")), F.lit("documento"))
     f = files.withColumns({"reason": reason, "stem": stem})
     k = F.row_number().over(Window.partitionBy("tenant_id", "stem", F.col("reason").isNull()).orderBy("id"))
+    f = f.withColumn("k", k)
+    if taken is not None:
+        f = f.join(taken, ["tenant_id", "stem"], "left").withColumn("k", F.col("k") + F.coalesce("n", F.lit(0))).drop("n")
     stored = F.concat("stem", F.when(F.col("k") > 1, F.concat(F.lit("_"), F.col("k").cast("string"))).otherwise(F.lit("")), F.lit(".pdf"))
-    return f.withColumn("k", k).withColumn("stored_name", F.when(F.col("reason").isNull(), stored)).withColumn("status", F.when(F.col("reason").isNull(), "queued").otherwise("rejected")).drop("k", "stem")
+    return f.withColumns({"status": F.when(F.col("reason").isNull(), "queued").otherwise("rejected"), "stored_name": F.when(F.col("reason").isNull(), stored)}).drop("k")

@@ -112,6 +112,17 @@ def process_uploads(uploads: DataFrame, registry: DataFrame, documents: Callable
     return uploads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def admitted_files(files: DataFrame) -> DataFrame:
-    """admit_uploads over one batch of arriving files; name clashes are resolved within the batch."""
-    return admit_uploads(files)
+def admit_files(files: DataFrame, out: str, checkpoint: str):
+    """Starts the query that admits arriving files, batch by batch, into the table at `out` (a folder for each batch).
+
+    A batch knows the names that earlier ones have given; one that is run again replaces its own folder.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        taken = None
+        if number > 0:
+            earlier = batch.sparkSession.read.schema(f"tenant_id {dict(batch.dtypes)['tenant_id']}, stem string, status string, batch long").parquet(out)
+            taken = earlier.filter((F.col("batch") < number) & (F.col("status") == "queued")).groupBy("tenant_id", "stem").agg(F.count("*").alias("n"))
+        admit_uploads(batch, taken=taken).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
