@@ -23,6 +23,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of packed sequences that the stages make of the table documents, each stage of all that its predecessor kept.
+
+    Null and empty texts fail the quality rules and go; rows without id, language or source go through all stages; of
+    repeated rows of an id one stays; an empty table gives no pieces. Columns beyond those of documents are carried
+    until the last stage.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
