@@ -170,7 +170,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, shard_bytes: i
 
     Of pages of equal payload of at least min_bytes the one with the smallest id is a response, the others revisit it;
     rows that share that smallest id are all responses. A null html is an empty payload. A row without id is
-    always a response and never referred to; a null url leaves its header out. An empty table gives an empty
+    always a response and never referred to, and lies in the last shards, by a hash; a null url leaves its header out. An empty table gives an empty
     manifest. Other columns are not read.
     """
     spark = pages.sparkSession
@@ -181,15 +181,19 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, shard_bytes: i
     revisits = several.join(first, "hex").filter("page_id > first.page_id")
     roles = revisits.select("page_id", F.col("first.url").alias("url"), F.lit(None).cast("binary").alias("html"), F.lit(0).alias("kind"), F.col("first.page_id").alias("refers_to"), _base32("hex").alias("digest")).distinct()
     rows = p.select("page_id", "url", "html", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("digest"))
-    total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes")).first()
+    without = F.sum(F.when(F.col("page_id").isNull(), F.col("n")))
+    total = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"), without.alias("without")).first()
     shards = int(min(MAX_SHARDS, max(1, -(-total["bytes"] // shard_bytes))))
     cuts = np.array(borders(known, shards, total["n"]), np.int64)
+    more = 0 if total["without"] is None else int(min(MAX_SHARDS, max(1, -(-total["without"] // shard_bytes))))  # rows without id, dealt by hash
 
     @F.pandas_udf("long")
     def shard(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, ids.fillna(-(2**63)).astype("int64"), side="right"))
 
-    dealt = rows.unionByName(roles).withColumn("shard", shard("page_id")).repartitionById(len(cuts) + 1, F.col("shard").cast("int"))
+    of_hash = F.pmod(F.xxhash64("url", "html"), F.lit(max(1, more))) + len(cuts) + 1
+    at = F.when(F.col("page_id").isNull(), of_hash).otherwise(shard("page_id"))
+    dealt = rows.unionByName(roles).withColumn("shard", at).repartitionById(len(cuts) + 1 + more, F.col("shard").cast("int"))
     dealt = dealt.sortWithinPartitions("shard", "page_id", "kind", "url", F.xxhash64("html"))
     fs, path = place(folder)
     fs.create_dir(path, recursive=True)
