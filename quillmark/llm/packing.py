@@ -36,10 +36,10 @@ LENGTH, END = 2048, 1
 #: A window holds this many quanta, or one of each source if these are more, but none of fewer than LEAST tokens.
 QUANTA, LEAST = 8, 64
 #: Words whose ids a worker remembers.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 300_000
 #: Up to so many rows of running sums, of some 40 bytes each, are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-ROWS = 2000
+ROWS = 1000
 #: Entries of a table of rounds by sources that a task makes at once.
 TABLE = 1 << 21
 #: Marks that may follow a word's letters; the apostrophe is none of them, as the tokenizer keeps some endings with it.
