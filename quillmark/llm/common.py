@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words of a text, in order; null counts as empty."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+", -1), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE}+", -1), "")
 
 
 def of_smallest_hash(rows: DataFrame, column: str, n: int) -> DataFrame:

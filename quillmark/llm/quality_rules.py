@@ -41,8 +41,10 @@ def counts(docs: DataFrame, *more: str) -> DataFrame:
     """
     d = docs.select("doc_id", "lang", "source", *more, F.coalesce("text", F.lit("")).alias("t"))
     d = d.withColumn("w", words_of(F.col("t"))).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(NOT_SPACE)))
-    window = lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
-    d = d.withColumn("tri", F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(0), F.size("w") - 3), window)))
+    d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    part = lambda k: F.slice("h", F.lit(k), F.size("h") - 2)
+    windows = F.zip_with(F.zip_with(part(1), part(2), lambda x, y: F.xxhash64(x, y)), part(3), lambda x, y: F.xxhash64(x, y))
+    d = d.withColumn("tri", F.when(F.size("h") >= 3, windows))
     pairs = F.array_sort(F.transform("tri", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     d = d.withColumn("s", F.when(F.size(F.array_distinct("tri")) < F.size("tri"), pairs))
     twice = lambda x, i: F.when((x["h"] == F.get("s", i - 1)["h"]) | (x["h"] == F.get("s", i + 1)["h"]), x["i"])
@@ -53,7 +55,7 @@ def counts(docs: DataFrame, *more: str) -> DataFrame:
         "doc_id", "lang", "source", *more,
         size("w").alias("n_words"),
         F.length(F.regexp_replace("t", f"{SPACE}+", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        (F.length("t") - F.length(F.regexp_replace("t", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (size("lines") - size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.coalesce(F.aggregate(covered, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long").alias("n_repeat_words"),
         size("lines").alias("n_lines"),
