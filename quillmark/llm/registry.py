@@ -1,6 +1,6 @@
 """Queries of this subpackage, for the entry module: QUERIES by name, and ORACLES where SQL can state the result."""
 
-from quillmark.llm import ann_search, html_extract, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, warc
+from quillmark.llm import ann_search, html_extract, importance_resampling, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_quality_classifier": quality_classifier.query,
     "op10_ann_search": ann_search.query,
+    "op13_importance_resampling": importance_resampling.query,
 }
 
 ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE}
