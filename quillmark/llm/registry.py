@@ -1,6 +1,6 @@
 """Queries of this subpackage, for the entry module: QUERIES by name, and ORACLES where SQL can state the result."""
 
-from quillmark.llm import ann_search, grouped_packing, html_extract, importance_resampling, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, warc
+from quillmark.llm import ann_search, grouped_packing, html_extract, importance_resampling, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, turn_repair, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_quality_classifier": quality_classifier.query,
     "op10_ann_search": ann_search.query,
     "op11_grouped_packing": grouped_packing.query,
+    "op12_turn_repair": turn_repair.query,
     "op13_importance_resampling": importance_resampling.query,
 }
 
