@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,9 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import fingerprint
+from quillmark.operators.admission import admissions
+from quillmark.sources.scratch import scratch
 
 SEVERITIES = ("observacion", "menor", "mayor")
-HOURS, RECENT, WINDOW_S = 24, 50, 60
+HOURS, RECENT = 24, 50
 ESCALATION_STATES = ("propuesta", "pendiente", "en_revision", "resuelta", "descartada")
 
 
@@ -20,36 +23,48 @@ def severity(c: Column) -> Column:
     return F.when(c.isin(*SEVERITIES), c).otherwise("menor")
 
 
-def _runs(rows: DataFrame, key: list[str], at: str, gap: str) -> DataFrame:
-    """Adds run: the number of the key's run; a new one begins after a gap, so that runs don't affect each other."""
-    w = Window.partitionBy(*key).orderBy(at, "id")
-    new = F.col(at) - F.lag(at).over(w) > F.expr(f"INTERVAL {gap}")
-    return rows.withColumn("run", F.sum(F.coalesce(new, F.lit(False)).cast("int")).over(w))
+def suppress_duplicates(reports: DataFrame, recent: int = RECENT) -> DataFrame:
+    """(id, kept, original_id) of reports (id, tenant_id, description, created_at), in order of created_at, then id.
 
+    A report is suppressed if one of the tenant's `recent` last kept reports has its text and is 24 hours old at most; its
+    original is the last such. A report without time is kept and suppresses none. No tenant is one too.
 
-def suppress_duplicates(reports: DataFrame) -> DataFrame:
-    """(id, kept, original_id) of reports (id, tenant_id, description, created_at): one of equal text within 24 hours of a kept one is suppressed.
-
-    A kept report suppresses the next 24 hours, suppressed ones don't. Gaps of more than 24 hours cut a text's reports into
-    runs that don't affect each other; runs stream through their task in order, and only the last kept report is held. The
-    batch form looks at all kept reports of the tenant, not only at the 50 latest.
+    By age alone, the reports of a text are admissions with a limit of one, which split a text of any size over tasks. Where no
+    tenant has kept more than `recent` in 24 hours, age alone decides; that too is an admission, of what is kept by tenant.
+    The reports of other, crowded tenants stream through a task a tenant, which holds the `recent` last kept.
     """
-    r = reports.select("id", "tenant_id", "created_at", fingerprint(F.col("description")).alias("print"))
-    r = _runs(r, ["tenant_id", "print"], "created_at", f"{HOURS} HOURS").select("id", F.xxhash64("tenant_id", "print").alias("text"), "run", "tenant_id", "print", "created_at")
-    order = ["text", "tenant_id", "print", "run"]
+    day = HOURS * 3_600_000_000
+    tenant = F.coalesce(F.concat(F.lit("="), F.col("tenant_id").cast("string")), F.lit(""))
+    r = reports.select("id", tenant.alias("tenant"), fingerprint(F.col("description")).alias("print"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"))
+    key = F.concat(F.length("tenant").cast("string"), F.lit(":"), "tenant", F.coalesce(F.concat(F.lit("="), "print"), F.lit("")))
+    path = scratch(reports.sparkSession, "reports")
+    admissions(r.select("id", key.alias("key"), "at"), 1, day).write.parquet(path)
+    by_age = reports.sparkSession.read.parquet(path)
+    first = by_age.filter("admitted").select("key", F.col("at").alias("since"), F.col("id").alias("original_id"))
+    of_age = by_age.join(first, ["key", "since"], "left").select("id", "key", "at", F.expr("admitted OR at IS NULL").alias("kept"), F.coalesce("original_id", "id").alias("original_id"))
+    of_key = F.expr("substring(key, instr(key, ':') + 1, int(substring_index(key, ':', 1)))")
+    by_tenant = admissions(by_age.filter("admitted").select("id", of_key.alias("key"), "at"), recent, day)
+    crowded = by_tenant.filter("NOT admitted").select(F.col("key").alias("tenant")).distinct()
+    if not crowded.head(1):
+        return of_age.select("id", "kept", "original_id")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, last, last_id, day = None, None, None, pd.Timedelta(hours=HOURS)
+        of, last = None, deque(maxlen=recent)
         for pdf in batches:
             kept, original = [], []
-            for key, at, i in zip(zip(*(pdf[c] for c in order)), pdf["created_at"], pdf["id"]):
-                if fresh := key != of or at - last > day:
-                    of, last, last_id = key, at, i
-                kept.append(fresh)
-                original.append(last_id)
+            for tenant, text, at, i in zip(pdf["tenant"], pdf["print"], pdf["at"], pdf["id"]):
+                if tenant != of:
+                    of, last = tenant, deque(maxlen=recent)
+                found = next((k for x, t, k in reversed(last) if x == text and t >= at - day), None)
+                if found is None:
+                    last.append((text, at, i))
+                kept.append(found is None)
+                original.append(i if found is None else found)
             yield pd.DataFrame({"id": pdf["id"], "kept": kept, "original_id": original})
 
-    return r.repartition("text", "run").sortWithinPartitions(*order, "created_at", "id").mapInPandas(each, "id long, kept boolean, original_id long")
+    timed = r.filter("at IS NOT NULL").join(crowded, "tenant").repartition("tenant").sortWithinPartitions("tenant", "at", "id")
+    apart = of_age.withColumn("tenant", of_key).join(crowded.withColumn("crowded", F.lit(True)), "tenant", "left").filter("crowded IS NULL OR at IS NULL")
+    return apart.select("id", "kept", "original_id").unionByName(timed.mapInPandas(each, "id long, kept boolean, original_id long"))
 
 
 def register_actions(requests: DataFrame, findings: DataFrame, existing: DataFrame, today: Column) -> tuple[DataFrame, DataFrame]:
@@ -112,36 +127,6 @@ def patch_escalations(escalations: DataFrame, patches: DataFrame, now: Column) -
     return e.select("id", F.coalesce("new", "status").alias("status"), F.when(closed, now).when(F.col("new").isNull() & F.col("status").isin("resuelta", "descartada"), F.col("created_at")).alias("resolved_at"))
 
 
-def admit(pdf: pd.DataFrame, limit: int, seconds: int, seen: list[pd.Timestamp] | None = None) -> tuple[pd.DataFrame, list[pd.Timestamp]]:
-    """Which events (id, ts) of one key are admitted, given the admitted times before them; an event exactly `seconds` old still counts."""
-    window, out = list(seen or []), []
-    for r in pdf.sort_values(["ts", "id"]).itertuples():
-        window = [t for t in window if t >= r.ts - pd.Timedelta(seconds=seconds)]
-        if ok := len(window) < limit:
-            window.append(r.ts)
-        out.append((r.id, ok))
-    return pd.DataFrame(out, columns=["id", "admitted"]), window
-
-
-def sliding_window(events: DataFrame, limit: int, seconds: int = WINDOW_S) -> DataFrame:
-    """(id, admitted) of events (id, key, ts): admitted while fewer than `limit` admitted ones lie in the last `seconds`.
-
-    Gaps of more than `seconds` cut a key's events into runs that don't affect each other; runs stream through their task in
-    order, and only the admitted times within the window are held.
-    """
-    runs = _runs(events.select("id", "key", "ts"), ["key"], "ts", f"{seconds} SECONDS")
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, seen = None, []
-        for pdf in batches:
-            for key, part in pdf.groupby(["key", "run"], sort=False, dropna=False):
-                out, seen = admit(part, limit, seconds, seen if key == at else [])
-                at = key
-                yield out
-
-    return runs.repartition("key", "run").sortWithinPartitions("key", "run", "ts", "id").mapInPandas(each, "id long, admitted boolean")
-
-
 def tenant(requested: Column, configured: str | None) -> tuple[Column, Column]:
     """The tenant that holds, and whether it overrides the requested one."""
     fixed = F.nullif(F.lit(configured or ""), F.lit(""))

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions import text as x
+from quillmark.operators import admission
 from quillmark.operators import faq as q
 from quillmark.operators import lifecycle as c
 from quillmark.operators import register as reg
 from quillmark.plans.views import frame, sql, with_views
 
 REPORTS = "SELECT event_id AS id, concat('tenant-', CAST(user_id % 4 AS STRING)) AS tenant_id, concat(CASE event_id % 2 WHEN 0 THEN 'Desviación ' ELSE 'desviacion, ' END, event_type) AS description, ts AS created_at FROM {events}"
+#: more texts a day than the latest reports that a new one is held against
+MANY_REPORTS = "SELECT event_id AS id, concat('tenant-', CAST(user_id % 4 AS STRING)) AS tenant_id, concat(CASE event_id % 2 WHEN 0 THEN 'Desviación ' ELSE 'desviacion, ' END, event_type, ' en el área ', CAST(user_id % 40 AS STRING)) AS description, ts AS created_at FROM {events}"
 REQUESTS = """SELECT l_orderkey * 10 + l_linenumber + CAST(l_partkey AS BIGINT) * 10000000 AS id, concat('tenant-', CAST(l_suppkey % 4 AS STRING)) AS tenant_id, l_orderkey AS finding_id, concat('accion ', CAST(l_partkey % 30 AS STRING)) AS description,
     CASE WHEN l_linenumber = 3 THEN ' ' ELSE 'Jefe' END AS responsible, CASE l_linenumber WHEN 1 THEN '1995-01-01' WHEN 2 THEN 'pronto' ELSE '1999-05-05' END AS due_date_raw FROM {lineitem}"""
 ASKED = "SELECT event_id AS ask_id, concat('tenant-', CAST(user_id % 4 AS STRING)) AS tenant_id, event_id % 20000 AS finding_id FROM {events}"
@@ -44,6 +47,7 @@ def _actions(s: SparkSession, d: str, k: int) -> DataFrame:
 QUERIES = {
     "L1_fingerprint": lambda s, d: sql(s, d, REPORTS).select("id", x.fingerprint(F.col("description")).alias("print"), c.severity(F.substring("description", 1, 5)).alias("severity")),
     "L2_duplicate_findings": lambda s, d: c.suppress_duplicates(sql(s, d, REPORTS)),
+    "L2_recent_reports": lambda s, d: c.suppress_duplicates(sql(s, d, MANY_REPORTS)),
     "L3_register_action": lambda s, d: _actions(s, d, 0).select("id", "finding_id", F.coalesce("error", F.lit("registrada")).alias("outcome")),
     "L3_findings_after": lambda s, d: _actions(s, d, 1).select("id", "status"),
     "L4_finding_status": lambda s, d: c.finding_status(sql(s, d, ASKED), frame(s, d, "v_findings"), frame(s, d, "v_capa")).select("ask_id", "status", "severity", F.coalesce(F.size("actions"), F.lit(-1)).alias("n_actions")),
@@ -54,7 +58,7 @@ QUERIES = {
     "L10_patch_escalation": lambda s, d: c.patch_escalations(frame(s, d, "v_escalations"), sql(s, d, PATCHES), F.lit("2026-01-01").cast("timestamp")),
     "L14_upload_jobs": lambda s, d: sql(s, d, JOBS).groupBy("tenant_id").agg(F.count_if(F.col("status") == "pendiente").alias("pending"), F.count_if(F.col("status") == "requiere_revision").alias("needs_review"), F.max("id").alias("last_id")),
     "A13_upload_queue": lambda s, d: sql(s, d, "SELECT id, status, n_advices FROM (" + JOBS + ") ORDER BY id DESC LIMIT 50"),
-    "L17_sliding_window": lambda s, d: c.sliding_window(sql(s, d, BURSTS), 2),
+    "L17_sliding_window": lambda s, d: admission.sliding_window(sql(s, d, BURSTS), 2),
     "L18_tenant": lambda s, d: frame(s, d, "v_messages").select("id", c.tenant(F.col("tenant_id"), "tenant-1")[0].alias("tenant"), c.tenant(F.col("tenant_id"), "tenant-1")[1].alias("overridden")),
     "Q1_numbers": lambda s, d: frame(s, d, "v_faq").select("id", F.array_join(F.array_sort(x.number_set(F.concat("clausula", F.lit(" 007 1,50")))), ",").alias("numbers")),
     "Q2_validate": lambda s, d: _validated(s, d).select("id", "reason", "detail"),
@@ -72,6 +76,12 @@ PRINT = "trim(regexp_replace(lower(strip_accents(description)), '[^a-z0-9]+', '
 ACTIONS = f"""WITH r AS (SELECT DISTINCT ON (id) * FROM ({REQUESTS})), v AS (SELECT r.*, CASE WHEN regexp_matches(due_date_raw, '^\\d{{4}}') THEN CAST(due_date_raw AS DATE) END AS due, f.id AS found, EXISTS (SELECT 1 FROM {{v_capa}} a WHERE a.finding_id = r.finding_id AND a.description = r.description) AS had
     FROM r LEFT JOIN {{v_findings}} f ON f.id = r.finding_id AND f.tenant_id = r.tenant_id), e AS (SELECT *, CASE WHEN due < DATE '1998-01-01' THEN 'fecha_en_el_pasado' WHEN trim(responsible) = '' OR due IS NULL THEN 'datos_incompletos' WHEN found IS NULL THEN 'not_found' WHEN had THEN 'duplicado' END AS early FROM v),
     o AS (SELECT *, coalesce(early, CASE WHEN row_number() OVER (PARTITION BY finding_id, description, early IS NULL ORDER BY id) > 1 THEN 'duplicado' END) AS error FROM e)"""
+#: a tenant's reports one after the other, with its 50 last kept ones, the latest first
+SUPPRESSED = """WITH RECURSIVE r AS (SELECT id, tenant_id, created_at, {print} AS print FROM ({reports})), e AS (SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at, id) AS k FROM r),
+        step AS (SELECT tenant_id, k, id, true AS kept, id AS original_id, [{{'id': id, 'print': print, 'at': created_at}}] AS recent FROM e WHERE k = 1 UNION ALL
+          SELECT tenant_id, k, id, len(same) = 0, CASE WHEN len(same) = 0 THEN id ELSE same[1].id END, CASE WHEN len(same) = 0 THEN list_prepend({{'id': id, 'print': print, 'at': created_at}}, recent)[1:50] ELSE recent END
+          FROM (SELECT e.tenant_id, e.k, e.id, e.print, e.created_at, s.recent, list_filter(s.recent, lambda q: q.print = e.print AND q.at >= e.created_at - INTERVAL 24 HOUR) AS same FROM step s JOIN e ON e.tenant_id = s.tenant_id AND e.k = s.k + 1))
+        SELECT id, kept, original_id FROM step"""
 NUMBERS = lambda t: f"list_distinct(list_transform(regexp_extract_all({t}, '\\d+(?:[.,]\\d+)*'), lambda n: regexp_replace(replace(n, ',', '.'), '^0+(\\d)', '\\1')))"
 CODES = lambda t: f"list_distinct(regexp_extract_all({t}, '\\b[A-Z]{{2,5}}-[A-Z]{{2,5}}-\\d{{1,3}}\\b'))"
 VALID = f"""WITH k AS (SELECT list(code) AS codes FROM (SELECT code FROM {{v_documents}} UNION SELECT code FROM {{v_registry}})), f AS (SELECT *, list_filter({NUMBERS('respuesta')}, lambda n: NOT list_contains({NUMBERS('clausula')}, n) AND n NOT IN ('9001', '9000', '14001', '45001', '2015', '2018')) AS figures,
@@ -82,10 +92,8 @@ KEY = "array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp
 
 _SQL = {
     "L1_fingerprint": f"SELECT id, {PRINT} AS print, CASE WHEN substr(description, 1, 5) IN ('observacion', 'menor', 'mayor') THEN substr(description, 1, 5) ELSE 'menor' END AS severity FROM ({REPORTS})",
-    "L2_duplicate_findings": f"""WITH RECURSIVE r AS (SELECT id, tenant_id, created_at, {PRINT} AS print FROM ({REPORTS})), e AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, print ORDER BY created_at, id) AS k FROM r),
-        step AS (SELECT id, tenant_id, print, k, true AS kept, id AS original_id, created_at AS last FROM e WHERE k = 1 UNION ALL
-          SELECT e.id, e.tenant_id, e.print, e.k, e.created_at - s.last > INTERVAL 24 HOUR, CASE WHEN e.created_at - s.last > INTERVAL 24 HOUR THEN e.id ELSE s.original_id END, CASE WHEN e.created_at - s.last > INTERVAL 24 HOUR THEN e.created_at ELSE s.last END
-          FROM step s JOIN e ON e.tenant_id = s.tenant_id AND e.print = s.print AND e.k = s.k + 1) SELECT id, kept, original_id FROM step""",
+    "L2_duplicate_findings": SUPPRESSED.format(reports=REPORTS, print=PRINT),
+    "L2_recent_reports": SUPPRESSED.format(reports=MANY_REPORTS, print=PRINT),
     "L17_sliding_window": f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, id) AS k FROM ({BURSTS})),
         step AS (SELECT id, key, k, true AS admitted, [ts] AS seen FROM e WHERE k = 1 UNION ALL
           SELECT id, key, k, len(own) < 2, CASE WHEN len(own) < 2 THEN list_append(own, ts) ELSE own END FROM (SELECT e.*, list_filter(s.seen, lambda t: t >= e.ts - INTERVAL 60 SECOND) AS own FROM step s JOIN e ON e.key = s.key AND e.k = s.k + 1))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmark.functions.text import fingerprint
 from quillmark.operators import identity
-from quillmark.operators.lifecycle import HOURS, WINDOW_S, admit
+from quillmark.operators.admission import WINDOW_S, replay
+from quillmark.operators.lifecycle import HOURS
 from quillmark.operators.routing import consent
 from quillmark.operators.guardrails import offers
 from quillmark.sources.tables import admit_uploads
@@ -64,11 +66,12 @@ def sliding_window(events: DataFrame, limit: int, seconds: int = WINDOW_S, late:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = [pd.Timestamp(t, unit="us") for t in state.get[0]] if state.exists else []
-        out, window = admit(pd.concat(batches), limit, seconds, seen)
-        state.update(([int(t.value // 1000) for t in window],))
-        _expire(state, max(window, default=pd.Timestamp(0)), seconds)
-        yield out
+        rows = pd.concat(batches).sort_values(["ts", "id"])
+        at = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+        admitted, window = replay(at, limit, seconds * 1_000_000, np.array(state.get[0] if state.exists else [], np.int64))
+        state.update((window.tolist(),))
+        _expire(state, pd.Timestamp(int(window.max(initial=0)), unit="us"), seconds)
+        yield pd.DataFrame({"id": rows["id"], "admitted": admitted})
 
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 

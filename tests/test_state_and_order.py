@@ -9,8 +9,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from quillmark.operators import evaluate, identity, lifecycle, retrieval, trainset
+from quillmark.operators import admission, evaluate, identity, lifecycle, retrieval, trainset
 from quillmark.plans import views
 from quillmark.sources.scratch import scratch
 from quillmark.streaming import streams
@@ -24,34 +25,49 @@ def reports(n=600, seed=1):
     return [(i, f"t{rng.randint(0, 1)}", rng.choice(["Fuga de aceite", "fuga, de ACEITE", "Etiqueta rota"]), START + dt.timedelta(hours=rng.randint(0, 24 * 30))) for i in range(n)]
 
 
-def plain_suppressed(rows):
-    last, out = {}, {}
+def plain_suppressed(rows, recent=50):
+    last, out = defaultdict(list), {}
     for i, tenant, text, at in sorted(rows, key=lambda r: (r[3], r[0])):
-        key = tenant, "etiqueta" in text.lower()
-        if key not in last or at - last[key][0] > dt.timedelta(hours=24):
-            last[key] = at, i
-        out[i] = last[key][1] == i, last[key][1]
+        text = text.lower().replace(",", "")
+        same = [k for t, x, k in last[tenant] if x == text and at - t <= dt.timedelta(hours=24)]
+        if not same:
+            last[tenant] = [*last[tenant], (at, text, i)][-recent:]
+        out[i] = not same, same[-1] if same else i
     return out
 
 
-def test_duplicates_within_a_day(spark):
+REPORT = "id long, tenant_id string, description string, created_at timestamp"
+
+
+@pytest.mark.parametrize("recent", [1, 2, 50])
+def test_duplicates_within_a_day(spark, recent):
     rows = reports()
-    d = spark.createDataFrame(rows, "id long, tenant_id string, description string, created_at timestamp").repartition(7)
-    got = {r["id"]: (r["kept"], r["original_id"]) for r in lifecycle.suppress_duplicates(d).collect()}
-    assert got == plain_suppressed(rows)
+    d = spark.createDataFrame(rows, REPORT).repartition(7).withColumn("key", F.lit("clash"))
+    got = {r["id"]: (r["kept"], r["original_id"]) for r in lifecycle.suppress_duplicates(d, recent).collect()}
+    assert got == plain_suppressed(rows, recent)
+    assert lifecycle.suppress_duplicates(d.limit(0)).count() == 0
+
+
+def test_duplicates_with_and_without_crowded_tenants(spark):
+    """Tenant c keeps more than 20 reports a day; a report without time, of either tenant, is kept and suppresses none."""
+    rng = random.Random(8)
+    rows = reports(200) + [(1000 + i, "c", f"caso {rng.randint(0, 60)}", START + dt.timedelta(minutes=7 * i)) for i in range(900)]
+    d = spark.createDataFrame([*rows, (5000, "c", "caso 1", None), (5001, "t0", "Etiqueta rota", None)], REPORT)
+    got = {r["id"]: (r["kept"], r["original_id"]) for r in lifecycle.suppress_duplicates(d, 20).collect()}
+    assert got == plain_suppressed(rows, 20) | {5000: (True, 5000), 5001: (True, 5001)}
+    assert plain_suppressed(rows, 20) != plain_suppressed(rows, 1000)
 
 
 def test_duplicates_in_small_batches(spark):
-    """The last kept report is carried from one Arrow batch to the next."""
+    """What a crowded tenant has kept is carried from one Arrow batch to the next."""
     rows = reports(400, 2)
-    d = spark.createDataFrame(rows, "id long, tenant_id string, description string, created_at timestamp")
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        got = {r["id"]: (r["kept"], r["original_id"]) for r in lifecycle.suppress_duplicates(d).collect()}
+        got = {r["id"]: (r["kept"], r["original_id"]) for r in lifecycle.suppress_duplicates(spark.createDataFrame(rows, REPORT), 1).collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-    assert got == plain_suppressed(rows)
+    assert got == plain_suppressed(rows, 1)
 
 
 def streamed(spark, files, schema, build):
@@ -82,7 +98,7 @@ def test_stream_of_admissions_over_batches(spark):
         want[i] = len(seen[key]) < 2
         seen[key] += [ts] * want[i]
     assert {r["id"]: r["admitted"] for r in out.collect()} == want
-    assert {r["id"]: r["admitted"] for r in lifecycle.sliding_window(spark.createDataFrame(rows, schema), 2).collect()} == want
+    assert {r["id"]: r["admitted"] for r in admission.sliding_window(spark.createDataFrame(rows, schema), 2).collect()} == want
 
 
 def test_nearest_is_exact_whatever_the_blocks(spark):
