@@ -10,24 +10,10 @@ def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
 
 
-def unit(a: Column) -> Column:
-    """The vector at length one; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
-
-
-def cosine_distance(a: Column, b: Column) -> Column:
-    return 1.0 - dot(a, b) / (norm(a) * norm(b))
-
-
 def contract(df: DataFrame, column: str, tolerance: float = 1e-3) -> DataFrame:
     """One row: rows, least and largest dimension, rows off unit length, and whether the column keeps to one dimension and unit length."""
     v = doubles(F.col(column))

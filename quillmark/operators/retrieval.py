@@ -1,10 +1,8 @@
 """Vector retrieval joined to the documents in force, with both distance cuts, and what is built from its result.
 
-Chunks, documents and queries are DataFrames; a query sees the chunks of its tenant. Candidates are exact: a stated set of
-queries is compared with all chunks of its tenant, which are dealt into blocks by hash so that no tenant is one task; the
-queries go to every block. Only ids and vectors take part in that; a window keeps the nearest, which Spark limits before
-its shuffle, and texts are joined to these. For approximate search over large sets see the graphs of the training-data
-operators.
+Chunks, documents and queries are DataFrames; a query sees the chunks of its tenant. Candidates are exact: the index of pivots
+spares a query the blocks of clauses that can't hold one of its nearest. Only ids and vectors take part in that; texts are
+joined to what is found. For approximate search over large sets see the graphs of the training-data operators.
 """
 
 from __future__ import annotations
@@ -13,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import base_code, fold
-from quillmark.functions.vectors import cosine_distance, doubles, unit
+from quillmark.operators.pivots import nearest
 
 MAX_DISTANCE, MARGIN, PENALTY, TOP = 0.527, 0.08, 0.06, 4
 FAQ_TOP, FAQ_MAX, SUPPORT_MAX = 3, 0.35, 0.37
@@ -31,16 +29,6 @@ def is_formal(content: Column) -> Column:
     return out
 
 
-def nearest(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
-    """(query_id, key, distance, rank): the k nearest items (key, tenant_id, embedding) of each query's tenant; rank from 1, ties to the smaller key."""
-    blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.select("query_id", "tenant_id", unit(doubles(F.col("embedding"))).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    i = items.select(key, "tenant_id", unit(doubles(F.col("embedding"))).alias("_v"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_block"))
-    pairs = i.join(q, ["tenant_id", "_block"]).select("query_id", key, F.round(cosine_distance(F.col("_q"), F.col("_v")), 6).alias("distance"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def candidates(queries: DataFrame, chunks: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """The k nearest chunks of documents in force, for each query (query_id, tenant_id, embedding); rank from 1, ties to the smaller chunk."""
     d = documents.filter(F.col("status") == "vigente").select(F.col("id").alias("document_id"), "tenant_id", "code", "version", "title", "effective_date")

@@ -7,11 +7,10 @@ import sys
 from collections import defaultdict
 from pathlib import Path
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillmark.operators import admission, evaluate, identity, lifecycle, retrieval, trainset
+from quillmark.operators import admission, evaluate, identity, lifecycle, trainset
 from quillmark.plans import views
 from quillmark.sources.scratch import scratch
 from quillmark.streaming import streams
@@ -101,23 +100,6 @@ def test_stream_of_admissions_over_batches(spark):
     assert {r["id"]: r["admitted"] for r in admission.sliding_window(spark.createDataFrame(rows, schema), 2).collect()} == want
 
 
-def test_nearest_is_exact_whatever_the_blocks(spark):
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(300, 8)).astype(np.float32)
-    x[200:210] = x[100]  # ties
-    rows = [(i, f"t{i % 3}", [float(v) for v in r]) for i, r in enumerate(x)]
-    items = spark.createDataFrame(rows, "chunk_id long, tenant_id string, embedding array<float>")
-    queries = items.filter("chunk_id % 30 = 0").withColumnRenamed("chunk_id", "query_id")
-    got = defaultdict(list)
-    for r in retrieval.nearest(queries, items, "chunk_id", 7).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append(r["chunk_id"])
-    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
-    for q, ids in got.items():
-        d = np.round(1 - unit @ unit[q], 6)
-        assert ids == sorted((i for i in range(300) if i % 3 == q % 3), key=lambda i: (d[i], i))[:7]
-    assert len(got) == 10
-
-
 def words(doc, *rows):
     return [(doc, 600.0, t, float(x0), float(x0 + 40), float(top)) for t, x0, top in rows]
 
