@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import CODE_CITED, base_code, fold, strings
 from quillmark.operators.clauses import index_title, starts_formal
+from quillmark.operators.grams import containing
 from quillmark.operators.retrieval import FORMAL_TITLES, label
 
 MAX_FOUND, MAX_OPTIONS, READ_CHARS, BEST_CLAUSES, BEST_CHARS, MAX_SUGGESTIONS, LABEL_CHARS, MAX_CITABLE = 25, 10, 24_000, 4, 9_000, 7, 38, 400
@@ -44,26 +45,41 @@ def terms(c: Column) -> Column:
 def search(queries: DataFrame, documents: DataFrame, most: int = MAX_FOUND) -> DataFrame:
     """(query_id, place, code, version, total) for (query_id, tenant_id, topic): documents in force by code, at most `most` of each query.
 
-    Kinds and topics must both hold, one of each; free words count only where there is neither. Equal topics of a tenant are
-    searched once. They meet the documents of their tenant, which are dealt into blocks by hash.
+    Kinds and topics must both hold, one of each; free words count only where there is neither, and without any word all
+    documents are found. Equal topics of a tenant are searched once: the index of character runs gives the documents that hold
+    one of the words that would do, and these are tested. What is found without any word is the same for a tenant's topics.
     """
     prefix = F.create_map(*(F.lit(x) for k, (p, _) in TOPICS.items() if p for x in (k, p)))
     words = F.create_map(*(x for k, (_, w) in TOPICS.items() for x in (F.lit(k), strings(w))))
-    blocks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    d = documents.filter("status = 'vigente'").select("tenant_id", "id", "code", "version", fold(F.col("title")).alias("t"), fold(F.col("area")).alias("a"), block)
+    d = documents.filter("status = 'vigente'").select("tenant_id", "id", "code", "version", fold(F.col("title")).alias("t"), fold(F.col("area")).alias("a"))
     asked = queries.filter("trim(topic) <> ''").select("query_id", "tenant_id", "topic")
-    q = asked.select("tenant_id", "topic").distinct().withColumn("x", terms(F.col("topic"))).select("tenant_id", "topic", "x.*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    q = asked.select("tenant_id", "topic").distinct().withColumn("x", terms(F.col("topic"))).select("tenant_id", "topic", "x.*")
     of_kind = F.exists("kinds", lambda k: F.col("code").contains(k))
     has = lambda c, w: F.col(c).contains(w)
     of_topic = F.exists("topics", lambda k: F.coalesce(F.col("code").startswith(F.concat(prefix[k], F.lit("-"))), F.lit(False)) | F.exists(words[k], lambda w: has("t", w) | prefix[k].isNotNull() & has("a", w)))
     of_free = F.exists("free", lambda w: has("t", fold(w)) | has("a", fold(w)) | F.lower("code").contains(w))
-    test = F.when((F.size("kinds") > 0) | (F.size("topics") > 0), ((F.size("kinds") == 0) | of_kind) & ((F.size("topics") == 0) | of_topic)).otherwise((F.size("free") == 0) | of_free)
-    found = q.join(d, ["tenant_id", "block"]).filter(test)
-    place = F.row_number().over(Window.partitionBy("tenant_id", "topic").orderBy("code", "version", "id"))
-    first = found.withColumn("place", place).filter(F.col("place") <= most)  # limited before the shuffle
-    total = found.groupBy("tenant_id", "topic").agg(F.count("*").alias("total"))
-    return asked.join(first.join(total, ["tenant_id", "topic"]), ["tenant_id", "topic"]).select("query_id", "place", "code", "version", "total", "t", "a", "free")
+    test = F.when((F.size("kinds") > 0) | (F.size("topics") > 0), ((F.size("kinds") == 0) | of_kind) & ((F.size("topics") == 0) | of_topic)).otherwise(of_free)
+
+    # words of which a document must hold one, in whichever field; the test tells the fields
+    of_words = F.concat(F.flatten(F.transform("topics", lambda k: words[k])), F.filter(F.transform("topics", lambda k: F.lower(F.concat(prefix[k], F.lit("-")))), lambda w: w.isNotNull()))
+    needed = F.when(F.size("topics") > 0, of_words).when(F.size("kinds") > 0, F.transform("kinds", F.lower)).otherwise(F.concat("free", F.transform("free", fold)))
+    wanted = q.select("tenant_id", "topic", F.explode(F.array_distinct(needed)).alias("word"))
+    hits = containing(wanted, d.select("tenant_id", "id", F.concat_ws("\n", F.lower("code"), "t", "a").alias("text")))
+    listed = wanted.join(hits, ["tenant_id", "word"]).select("tenant_id", "topic", "id").distinct()
+    found = listed.join(q, ["tenant_id", "topic"]).join(d, ["tenant_id", "id"]).filter(test)
+    first, total = _first(found, ["tenant_id", "topic"], most)
+    all_first, all_total = _first(d, ["tenant_id"], most)
+    open_ = q.filter((F.size("kinds") == 0) & (F.size("topics") == 0) & (F.size("free") == 0))
+    whole = open_.join(all_first.join(all_total, "tenant_id"), "tenant_id")
+    names = ["tenant_id", "topic", "place", "code", "version", "total", "t", "a", "free"]
+    answers = first.join(total, ["tenant_id", "topic"]).select(*names).unionByName(whole.select(*names))
+    return asked.join(answers, ["tenant_id", "topic"]).select("query_id", "place", "code", "version", "total", "t", "a", "free")
+
+
+def _first(found: DataFrame, by: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The first of a group by code, version and id, and how many it has."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("code", "version", "id"))
+    return found.withColumn("place", place).filter(F.col("place") <= most), found.groupBy(*by).agg(F.count("*").alias("total"))  # limited before the shuffle
 
 
 def unmatched(found: DataFrame) -> DataFrame:
@@ -74,14 +90,28 @@ def unmatched(found: DataFrame) -> DataFrame:
 
 
 def resolve(references: DataFrame, documents: DataFrame) -> DataFrame:
-    """(ref_id, outcome, document_id, options) of (ref_id, tenant_id, reference): by the beginning of the code, else by the title."""
+    """(ref_id, outcome, document_id, options) of (ref_id, tenant_id, reference): by the beginning of the code, else by the title.
+
+    Equal references of a tenant are resolved once, both times through the index of character runs; a code is marked at its
+    beginning, so that what begins it is contained with the mark.
+    """
+    mark = F.lit("\x02")
     d = documents.filter("status = 'vigente'").select("tenant_id", "id", "code", "title")
     r = references.select("ref_id", "tenant_id", F.trim("reference").alias("reference")).filter("reference <> ''")
-    by_code = r.join(d, "tenant_id").filter(F.lower("code").startswith(F.lower("reference")))
-    rest = r.join(by_code.select("ref_id").distinct(), "ref_id", "left_anti")
-    both = by_code.unionByName(rest.join(d, "tenant_id").filter(fold(F.col("title")).contains(fold(F.col("reference")))))
-    g = both.groupBy("ref_id").agg(F.count("*").alias("n"), F.min("id").alias("document_id"), F.slice(F.sort_array(F.collect_list("code")), 1, MAX_OPTIONS).alias("options"))
-    out = r.join(g, "ref_id", "left")
+    asked = r.select("tenant_id", "reference").distinct().withColumn("begins", F.concat(mark, F.lower("reference"))).withColumn("within", fold(F.col("reference")))
+
+    def found(rest: DataFrame, word: str, text: Column) -> DataFrame:
+        hits = containing(rest.select("tenant_id", F.col(word).alias("word")), d.select("tenant_id", "id", text.alias("text")))
+        return rest.join(hits.withColumnRenamed("word", word), ["tenant_id", word]).join(d.select("tenant_id", "id", "code"), ["tenant_id", "id"]).select("tenant_id", "reference", "id", "code")
+
+    by_code = found(asked, "begins", F.concat(mark, F.lower("code")))
+    rest = asked.join(by_code.select("tenant_id", "reference").distinct(), ["tenant_id", "reference"], "left_anti")
+    both = by_code.unionByName(found(rest, "within", fold(F.col("title"))))
+    counts = both.groupBy("tenant_id", "reference").agg(F.count("*").alias("n"), F.min("id").alias("document_id"))
+    place = F.row_number().over(Window.partitionBy("tenant_id", "reference").orderBy("code", "id"))
+    few = both.withColumn("place", place).filter(F.col("place") <= MAX_OPTIONS)  # limited before the shuffle
+    options = few.groupBy("tenant_id", "reference").agg(F.array_sort(F.collect_list("code")).alias("options"))
+    out = r.join(counts.join(options, ["tenant_id", "reference"]), ["tenant_id", "reference"], "left")
     return out.select("ref_id", F.when(F.col("n").isNull(), "not_found").when(F.col("n") > 1, "ambiguous").otherwise("found").alias("outcome"), F.when(F.col("n") == 1, F.col("document_id")).alias("document_id"), F.when(F.col("n") > 1, F.array_join("options", ",")).alias("options"))
 
 
