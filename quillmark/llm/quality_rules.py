@@ -2,9 +2,10 @@
 
 Every document gets counts (words, symbols, repeated lines, repeated three-word windows). Transformed rates
 form a vector; a regularised minimum-covariance-determinant estimate per language and source gives its
-Mahalanobis distance, and documents beyond a cut-off are rejected. A language and source of few rows takes the
-estimate of its language, or of all rows; that is made of every row of the language or table, also of those whose
-language and source has an estimate of its own.
+Mahalanobis distance, and documents beyond a cut-off are rejected. The estimate of n rows of a language and source is drawn
+towards its language's as if that stood for PRIOR more rows, and so is a language's towards that of all rows; so
+few rows don't judge themselves, many do, and nothing changes at any particular number. A language's estimate is made of all
+its rows, whatever their source.
 
 The estimate starts from coordinate medians and quartiles and makes concentration steps: distances under
 the present estimate, then mean and covariance of the h nearest rows. Each step is one aggregation of
@@ -30,7 +31,8 @@ FLOORS = (15.0, 40.0, 55.0, 60.0, 25.0)
 SHARE, CONSISTENT = 0.75, 1.41
 #: The chi-square quantile of 5 degrees of freedom at 1 - 1e-5.
 CUT = 30.86
-MIN_GROUP, STEPS = 400, 4
+#: Rows that the estimate above counts for, and concentration steps.
+PRIOR, STEPS = 100.0, 4
 
 
 def counts(docs: DataFrame, *more: str) -> DataFrame:
@@ -103,35 +105,49 @@ def with_distance(rows: DataFrame, model: DataFrame, on: tuple[str, ...] = ("lk"
     return r.withColumn("d2", reduce(lambda a, i: a + F.col(f"z{i}") ** 2, range(1, P), F.col("z0") ** 2))
 
 
-def fit(rows: DataFrame, min_group: int = MIN_GROUP, steps: int = STEPS) -> DataFrame:
-    """The estimate for every (lk, sk): of that pair if it has min_group rows, else of its language if that has, else of all rows.
+MOMENTS = ["n", *(f"m{i}" for i in range(P)), *(f"c{i}{j}" for i, j in PAIRS)]
 
-    A row counts in each of its pair, its language and all rows, as far as some pair takes that estimate.
-    """
-    n = rows.groupBy("lk", "sk").count()
-    of_lang = F.sum("count").over(Window.partitionBy("lk"))
-    pair = F.concat("lk", F.lit("\x01"), "sk")
-    g = F.when(F.col("count") >= min_group, pair).when(of_lang >= min_group, F.col("lk")).otherwise("")
-    keys = written(n.select("lk", "sk", g.alias("g")), "mcd-keys")
-    every = keys.select("lk", "sk", F.explode(F.array(pair, "lk", F.lit(""))).alias("g"))
-    rows = rows.join(written(every.join(keys.select("g").distinct(), "g", "left_semi"), "mcd-members"), ["lk", "sk"])
-    quarts = rows.groupBy("g").agg(*(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(x) for x in X))
+
+def drawn(own: DataFrame, above: DataFrame, prior: float) -> DataFrame:
+    """The moments of groups (g, up), each drawn towards those of the group above it."""
+    a = above.select(F.col("g").alias("up"), *(F.col(c).alias(f"up_{c}") for c in MOMENTS))
+    share = F.col("n") / (F.col("n") + F.lit(float(prior)))
+    both = own.join(a, "up")
+    return both.select("g", "n", *((share * F.col(c) + (1 - share) * F.col(f"up_{c}")).alias(c) for c in MOMENTS[1:]))
+
+
+def fit(rows: DataFrame, prior: float = PRIOR, steps: int = STEPS) -> DataFrame:
+    """The estimate for every (lk, sk): each step takes the half-sample of every pair, language and of all rows, and draws the former towards the latter."""
+    pair, lang = F.concat(F.lit("p"), "lk", F.lit("\x01"), "sk"), F.concat(F.lit("l"), "lk")
+    keys = written(rows.groupBy("lk", "sk").agg(F.lit(1)).select("lk", "sk", pair.alias("g"), lang.alias("up")), "mcd-keys")
+    rows = rows.select(F.explode(F.array(pair, lang, F.lit(""))).alias("g"), *X)
+
+    def model_of(moments: DataFrame) -> DataFrame:
+        m = written(moments, "mcd-moments")
+        whole = m.filter("g = ''").select("g", *MOMENTS)
+        langs = drawn(m.join(keys.select(F.col("up").alias("g"), F.lit("").alias("up")).distinct(), "g"), whole, prior)
+        pairs = drawn(m.join(keys.select("g", "up"), "g"), langs, prior)
+        every = whole.unionByName(langs).unionByName(pairs)
+        return written(factored(every, {i: F.col(f"m{i}") for i in range(P)}, {(i, j): F.col(f"c{i}{j}") for i, j in PAIRS}), "mcd-step")
+
+    quarts = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), *(F.percentile(x, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(x) for x in X))
     spread = {(i, j): ((F.col(X[i])[2] - F.col(X[i])[0]) / 1.349) ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
-    model = factored(quarts, {i: F.col(X[i])[1] for i in range(P)}, spread)
+    model = model_of(quarts.select("g", "n", *(F.col(X[i])[1].alias(f"m{i}") for i in range(P)), *(spread[i, j].alias(f"c{i}{j}") for i, j in PAIRS)))
     for _ in range(steps):
-        near = with_distance(rows, written(model, "mcd-step"), ("g",)).withColumn("bin", F.floor(50 * F.log1p("d2")))
+        near = with_distance(rows, model, ("g",)).withColumn("bin", F.floor(50 * F.log1p("d2")))
         bins = near.groupBy("g", "bin").agg(
             F.count("*").alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(X)), *(F.sum(F.col(X[i]) * F.col(X[j])).alias(f"q{i}{j}") for i, j in PAIRS)
         )
         seen = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         low = bins.withColumns({"seen": seen, "all": F.sum("n").over(Window.partitionBy("g"))}).filter(F.col("seen") < F.ceil(SHARE * F.col("all")))
-        sums = low.groupBy("g").agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(P)), *(F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS))
-        mean = {i: F.col(f"s{i}") / F.col("n") for i in range(P)}
-        model = factored(sums, mean, {(i, j): F.lit(CONSISTENT) * (F.col(f"q{i}{j}") / F.col("n") - mean[i] * mean[j]) for i, j in PAIRS})
-    return written(keys.join(model, "g").drop("g"), "mcd-model")
+        sums = low.groupBy("g").agg(F.sum("n").alias("h"), F.first("all").cast("double").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(P)), *(F.sum(f"q{i}{j}").alias(f"q{i}{j}") for i, j in PAIRS))
+        mean = {i: F.col(f"s{i}") / F.col("h") for i in range(P)}
+        cov = {(i, j): F.lit(CONSISTENT) * (F.col(f"q{i}{j}") / F.col("h") - mean[i] * mean[j]) for i, j in PAIRS}
+        model = model_of(sums.select("g", "n", *(mean[i].alias(f"m{i}") for i in range(P)), *(cov[i, j].alias(f"c{i}{j}") for i, j in PAIRS)))
+    return keys.drop("up").join(model, "g").drop("g")
 
 
-def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT) -> DataFrame:
+def quality_rules(docs: DataFrame, prior: float = PRIOR, cut: float = CUT) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, d2 (null if base_failed) and kept.
 
     Null text, language, source or id: the text counts as empty, a null language or source is a group of
@@ -139,7 +155,7 @@ def quality_rules(docs: DataFrame, min_group: int = MIN_GROUP, cut: float = CUT)
     table gives an empty result. Columns other than doc_id, text, lang and source are not read.
     """
     rows = written(vectors(counts(docs)), "quality-vectors")
-    model = fit(rows.filter(~F.col("base_failed")), min_group)
+    model = fit(rows.filter(~F.col("base_failed")), prior)
     scored = with_distance(rows, model)
     d2 = F.when(~F.col("base_failed"), F.col("d2"))
     kept = ~F.col("base_failed") & (F.coalesce(d2, F.lit(0.0)) <= cut)
