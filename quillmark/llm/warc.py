@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -187,9 +186,9 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, shard_bytes: i
     cuts = np.array(borders(known, shards, total["n"]), np.int64)
     more = 0 if total["without"] is None else int(min(MAX_SHARDS, max(1, -(-total["without"] // shard_bytes))))  # rows without id, dealt by hash
 
-    @F.pandas_udf("long")
-    def shard(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.fillna(-(2**63)).astype("int64"), side="right"))
+    @F.arrow_udf("long")
+    def shard(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, ids.fill_null(-(2**63)).to_numpy(), side="right"), pa.int64())
 
     of_hash = F.pmod(F.xxhash64("url", "html"), F.lit(max(1, more))) + len(cuts) + 1
     at = F.when(F.col("page_id").isNull(), of_hash).otherwise(shard("page_id"))
@@ -219,7 +218,7 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, block
 
 
-def _read(payloads: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _read(payloads: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = [x.split()[0] for x in RECORDS.split(", ")] + ["payload"] * payloads
 
     def row(head: dict[str, str], block: bytes) -> tuple:
@@ -230,12 +229,13 @@ def _read(payloads: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         number = lambda k: int(head[k]) if k in head else None
         return (number("x-page-id"), head.get("warc-target-uri"), head["warc-type"], number("x-refers-to-page-id"), n, digest) + ((payload,) if payloads else ())
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            for uri in pdf["path"]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri in b.column(0).to_pylist():
                 fs, path = place(uri)
                 rows, size = [], 0
                 with fs.open_input_stream(path, compression=None) as raw, gzip.GzipFile(fileobj=raw) as stream:
@@ -243,10 +243,10 @@ def _read(payloads: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
                         rows.append(row(head, block))
                         size += len(block)
                         if len(rows) >= 2000 or size > 8 << 20:
-                            yield frame(rows)
+                            yield batch(rows)
                             rows, size = [], 0
                 if rows:
-                    yield frame(rows)
+                    yield batch(rows)
 
     return run
 
@@ -255,7 +255,7 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = False) -> DataF
     """The records of an archive that write_warc has committed; checks every digest. A revisit's payload is empty."""
     files = spark.read.schema(MANIFEST).json(f"{folder}/_manifest").select("path")
     dealt = files.repartition(max(1, files.count()))
-    return dealt.mapInPandas(_read(payloads), RECORDS + ", payload binary" * payloads)
+    return dealt.mapInArrow(_read(payloads), RECORDS + ", payload binary" * payloads)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
