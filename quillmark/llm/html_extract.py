@@ -9,8 +9,8 @@ with counts of 0 taken as 1 where they divide (e - 1 keeps the base's logarithm
 density sum of an element is the sum of its children's densities, where text of its own counts as one more child, of the
 element's density; the element of the largest sum is the core of the article, and the smallest density on its path from the
 body is the threshold. If the core lies in an article or
-main element, that element is the content, with its siblings of that kind whose density reaches the threshold; if it holds
-such elements, they are. Otherwise the content is the core and, along its path, every sibling subtree
+main element, that element is the content, with the page's other elements of that kind whose density reaches the threshold; if
+it holds such elements, they are. Otherwise the content is the core and, along its path, every sibling subtree
 whose density reaches the threshold.
 
 Elements that cannot be the article (scripts, forms, navigation, and those whose class, id or role says so) are left
@@ -26,7 +26,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.common import table
@@ -273,8 +273,8 @@ def content(root: Node) -> list[Node]:
     threshold = min(n.density for n in path)
     for kind in ("article", "main"):
         if inside := [n for n in path if n.tag == kind]:
-            wide = inside[-1]  # an article may be split over siblings
-            return [k for k in wide.parent.kids if k is wide or isinstance(k, Node) and k.tag == kind and k.density >= threshold > 0]
+            wide = inside[-1]  # an article may be split over several elements, wherever they lie
+            return [k for k in topmost(root, kind) if k is wide or k.density >= threshold > 0]
     for kind in ("article", "main"):  # articles within the core, also short ones beside longer text
         if within := topmost(core, kind):
             return within
@@ -319,10 +319,11 @@ def main_text(page: str | None) -> str:
     return "\n".join(b for n in content(root) for b in blocks(n))
 
 
-def _extract(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        texts = [main_text(h) for h in pdf["html"]]
-        yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": list(map(len, texts))})
+def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = [main_text(h) for h in b.column(2).to_pylist()]
+        columns = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([*map(len, texts)], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -331,7 +332,7 @@ def extract(pages: DataFrame) -> DataFrame:
     A null or empty html gives an empty text, and so does a page without text. Null ids and urls stay null; repeated rows
     are extracted each; an empty table gives an empty result. Other columns are not read.
     """
-    return pages.select("page_id", "url", "html").mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    return pages.select("page_id", "url", "html").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,21 +64,40 @@ def _plain(i, source, lang="en"):
 def test_a_rare_source_is_judged_by_the_rows_of_large_ones(spark, source, lang):
     junk = " ".join(f"#$%&|<>*#$%&{k}" for k in range(60))
     rows = [_plain(i, "big") for i in range(60)] + [_plain(100, source, lang), _plain(101, source, lang), (102, junk, lang, source, 1)]
-    r = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, COLUMNS), min_group=30))
+    r = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, COLUMNS)))
     assert not r[102]["base_failed"] and not r[102]["kept"]
     assert r[100]["kept"] and r[101]["kept"] and all(r[i]["kept"] for i in range(60))
 
 
-def test_fallback_estimates_are_of_every_row(spark):
-    """A small pair gets the estimate that a table without sources, or without languages too, gives."""
-    rows = [_plain(i, "ab"[i % 2]) for i in range(80)] + [_plain(100, "rare"), _plain(101, "big", "de")]
+NAMES = [f"m{i}" for i in range(5)] + [f"l{i}{j}" for i in range(5) for j in range(i + 1)]
+
+
+def _fitted(spark, rows, **of):
     d = quality_rules.vectors(quality_rules.counts(spark.createDataFrame(rows, COLUMNS)))
-    model = {(r["lk"], r["sk"]): r for r in quality_rules.fit(d, min_group=30).collect()}
-    of_lang = quality_rules.fit(d.filter("lk = '=en'").withColumn("sk", F.lit("=")), min_group=30).collect()[0]
-    of_all = quality_rules.fit(d.withColumns({"lk": F.lit("="), "sk": F.lit("=")}), min_group=30).collect()[0]
-    names = [f"m{i}" for i in range(5)] + [f"l{i}{j}" for i in range(5) for j in range(i + 1)]
-    assert [model["=en", "=rare"][c] for c in names] == pytest.approx([of_lang[c] for c in names])
-    assert [model["=de", "=big"][c] for c in names] == pytest.approx([of_all[c] for c in names])
+    return {(r["lk"][1:], r["sk"][1:]): [r[c] for c in NAMES] for r in quality_rules.fit(d, **of).collect()}
+
+
+def test_estimates_are_drawn_towards_those_of_every_row(spark):
+    """With a prior beyond all counts, a pair has the estimate of the table without sources and languages; without one, its own."""
+    rows = [_plain(i, "ab"[i % 2]) for i in range(80)] + [_plain(100, "rare"), _plain(101, "big", "de")]
+    whole = _fitted(spark, [(*r[:2], "x", "y", 1) for r in rows])["x", "y"]
+    drawn = _fitted(spark, rows, prior=1e12)
+    assert set(drawn) == {("en", "a"), ("en", "b"), ("en", "rare"), ("de", "big")}
+    assert all(d == pytest.approx(whole, rel=1e-6, abs=1e-6) for d in drawn.values())
+    own = _fitted(spark, [r for r in rows if r[3] == "a"])["en", "a"]
+    assert _fitted(spark, rows, prior=0.0)["en", "a"] == pytest.approx(own)
+
+
+def test_a_pair_of_30_rows_has_its_own_centre_and_no_count_makes_a_jump(spark):
+    def odd(i):
+        return (i, " ".join(f"W{i * 7 + k}LONGWORD{k}" for k in range(70)), "en", "odd", 1)
+
+    centres = []
+    for n in (29, 30, 31, 60):
+        model = _fitted(spark, [_plain(i, "big") for i in range(120)] + [odd(1000 + i) for i in range(n)])
+        centres.append([x - y for x, y in zip(model["en", "odd"][:5], model["en", "big"][:5])])
+    assert abs(centres[1][0]) > 5 and abs(centres[3][0]) > abs(centres[1][0])
+    assert all(abs(a - b) < 0.08 * abs(centres[1][0]) for a, b in zip((centres[0][0], centres[1][0]), (centres[1][0], centres[2][0])))
 
 
 def test_near_duplicates(docs):
@@ -244,6 +263,46 @@ def test_a_wrapper_is_no_furniture(wrap, inner):
     assert got.count("A long sentence") == 9 and "other" not in got
 
 
+def test_every_dense_article_is_kept_wherever_it_lies():
+    got = html_extract.main_text(f"<body><main><div><article>{LONG}</article></div><div><article>{LONG}{LONG}</article></div></main></body>")
+    assert got.count("A long sentence") == 27
+    links = "<article><ul>" + "<li><a href=x>more to read about this</a></li>" * 9 + "</ul></article>"
+    got = html_extract.main_text(f"<body><div><article>{LONG}</article></div><div>{links}</div></body>")
+    assert got.count("A long sentence") == 9 and "more to read" not in got
+
+
+def test_densities_decide(monkeypatch):
+    """The same page with densities turned round gives the list of links."""
+    page = f"<body><div class=a>{LONG}</div><div class=b><ul>" + "<li><a href=x>more to read</a></li>" * 9 + "</ul></div></body>"
+    assert "more" not in html_extract.main_text(page)
+    measure = html_extract.measure
+
+    def turned(root):
+        measure(root)
+        pending = [root]
+        while pending:
+            n = pending.pop()
+            n.density = 1 / (1 + n.density)
+            pending += [k for k in n.kids if isinstance(k, html_extract.Node)]
+
+    monkeypatch.setattr(html_extract, "measure", turned)
+    assert "more" in html_extract.main_text(page)
+
+
+@pytest.mark.parametrize("shard_bytes", [400, 1 << 20])
+def test_ids_beyond_doubles(spark, shard_bytes):
+    """Ids that doubles can't tell apart, with rows without id among them."""
+    rows = [(None if i % 97 == 5 else 2**60 + 1 + i, f"u{i}", f"page {i % 50}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    folder = shared_dir(spark, "warc")
+    warc.write_warc(pages, folder, shard_bytes=shard_bytes)
+    got = sorted((tuple(r)[:4] for r in warc.read_warc(spark, folder).collect()), key=str)
+    first = {h: min(i for i, _, x in rows if x == h and i) for h in {r[2] for r in rows}}
+    assert got == sorted(((i, u, *(("response", None) if i in (None, first[h]) else ("revisit", first[h]))) for i, u, h in rows), key=str)
+    out = html_extract.extract(pages).collect()
+    assert sorted((tuple(r)[:2] for r in out), key=str) == sorted((r[:2] for r in rows), key=str)
+
+
 def test_extract_keeps_rows(spark):
     p = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = html_extract.extract(p).collect()
