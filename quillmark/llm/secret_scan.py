@@ -14,6 +14,7 @@ adding up the lengths, so scanning moves no row between tasks.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,20 +42,35 @@ DIGESTS = 2048
 SEPARATORS = "/-_"
 DATES = ("yyyy-MM-dd_HH-mm-ss", "yyyy/MM/dd", "yyyyMMdd-HHmmss")
 MARK = "[SECRET]"
-BLOCK = 64
+#: Elements of a block of running values; characters of a block of a text that is cut at many places.
+BLOCK, PIECE = 64, 512
+#: Beyond the end of any text.
+FAR = 2**31 - 1
 
 
-def _prefix_sums(lengths: Column) -> Column:
-    """The sum of the elements before each element, in two levels, so that many matches in a text stay cheap."""
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f and its lambdas name it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _before(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """What fold makes of the whole numbers before each element, from 0 on, in two levels, so that many elements stay cheap."""
+    total = lambda a, start: F.aggregate(a, start, fold)
 
     def both(x: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(x, b * BLOCK + 1, F.lit(BLOCK))))
-        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s)))
-        inner = lambda st: F.transform(x, lambda _, i: F.get(st, F.floor(i / BLOCK).cast("int")) + total(F.slice(x, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))
-        return F.element_at(F.transform(F.array(starts), inner), 1)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda b: total(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0)))
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, s: F.concat(acc, F.array(fold(F.element_at(acc, -1), s))))
+        return _let(starts, lambda st: F.transform(x, lambda _, i: total(F.slice(x, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.get(st, F.floor(i / BLOCK).cast("int")))))
 
-    return F.element_at(F.transform(F.array(lengths), both), 1)
+    return F.when(F.size(values) > 0, _let(values, both)).otherwise(F.array().cast("array<int>"))
+
+
+def _prefix_sums(lengths: Column) -> Column:
+    return _before(lengths, lambda s, x: s + x)
+
+
+def _prefix_max(values: Column) -> Column:
+    return _before(values, lambda s, x: F.greatest(s, x))
 
 
 def _matches(text: Column, kind: int, pattern: str, group: int, least: int, first: str) -> Column:
@@ -80,9 +96,19 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_matches(text, k, *KINDS[name]) for k, name in enumerate(KINDS))))
 
 
-def _code(s: Column, i: Column) -> Column:
-    """The code of character i (from 1) of an ASCII string; START before its first."""
-    return F.when(i == 0, F.lit(START)).otherwise(F.least(F.greatest(F.ascii(F.substring(s, i, F.lit(1))) - 32, F.lit(0)), F.lit(START - 1)))
+def _chars(s: Column) -> Column:
+    return F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
+
+
+def _code(char: Column) -> Column:
+    """The code of a character of an ASCII string."""
+    return F.least(F.greatest(F.ascii(char) - 32, F.lit(0)), F.lit(START - 1))
+
+
+def _pairs(s: Column) -> Column:
+    """The bigrams of a string, START before its first character."""
+    shifted = lambda c: F.concat(F.array(F.lit(START)), F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))))
+    return _let(F.transform(_chars(s), _code), lambda c: F.zip_with(shifted(c), c, lambda a, b: a * V + b))
 
 
 def training_samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -114,7 +140,7 @@ def fit(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
     day = F.timestamp_seconds(F.col("id") * 1_000_003)
     dates = samples.sparkSession.range(DIGESTS).select(F.explode(F.array(*(F.date_format(day, d) for d in DATES))).alias("text"), F.lit(0).alias("label"), F.lit(0).alias("own"))
     every = samples.select("text", "label", F.lit(1).alias("own")).unionByName(more).unionByName(dates)
-    pairs = every.select("label", "own", F.explode(F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: _code(F.col("text"), i - 1) * V + _code(F.col("text"), i))).alias("pair"))
+    pairs = every.select("label", "own", F.explode(_pairs(F.col("text"))).alias("pair"))
     n = pairs.groupBy("pair").agg(F.sum(F.col("label").cast("double")).alias("r"), F.sum(1.0 - F.col("label")).alias("o"), F.sum(F.col("own") * (1 - F.col("label"))).alias("own")).toPandas()
     import numpy as np
 
@@ -133,10 +159,15 @@ def fit(samples: DataFrame, smooth: float = SMOOTH) -> list[float]:
 
 
 def ratio(s: Column, model: list[float]) -> Column:
-    """The log-likelihood ratio of a string."""
+    """The log-likelihood ratio of a string, in one pass over its characters."""
     ratios = F.from_json(F.lit(json.dumps(model)), "array<double>")
-    step = lambda i: F.element_at(ratios, _code(s, i - 1) * V + _code(s, i) + 1)
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(s)), step), F.lit(0.0), lambda a, x: a + x)
+    start = F.struct(F.lit(START).alias("at"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, char: Column) -> Column:
+        code = _code(char)
+        return F.struct(code.alias("at"), (acc["sum"] + F.element_at(ratios, acc["at"] * V + code + 1)).alias("sum"))
+
+    return F.aggregate(_chars(s), start, step, lambda acc: acc["sum"])
 
 
 def secret_spans(text: Column, model: list[float], threshold: float = THRESHOLD) -> tuple[Column, Column]:
@@ -147,7 +178,17 @@ def secret_spans(text: Column, model: list[float], threshold: float = THRESHOLD)
 
 
 def _apart(base: Column, more: Column) -> Column:
-    return F.filter(more, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    """The added spans that overlap no base span: among all by start, none before ends within one, and none behind begins within it."""
+    own = lambda x: x["kind"] < len(KINDS)
+
+    def apart(spans: Column) -> Column:
+        ends = _prefix_max(F.transform(spans, lambda x: F.when(own(x), x["end"]).otherwise(0)))
+        # from the end, the least start is the greatest distance from beyond the last
+        starts = F.reverse(_prefix_max(F.reverse(F.transform(spans, lambda x: F.when(own(x), FAR - x["start"]).otherwise(0)))))
+        kept = lambda e, s: F.filter(spans, lambda x, i: ~own(x) & (F.get(e, i) <= x["start"]) & (FAR - F.get(s, i) >= x["end"]))
+        return _let(ends, lambda e: _let(starts, lambda s: kept(e, s)))
+
+    return F.when((F.size(base) > 0) & (F.size(more) > 0), _let(F.array_sort(F.concat(base, more)), apart)).otherwise(more)
 
 
 def _joined(spans: Column) -> Column:
@@ -166,15 +207,22 @@ def scan(docs: DataFrame, model: list[float]) -> DataFrame:
     return d.withColumn("_spans", F.array_sort(F.concat("_base", _apart(F.col("_base"), F.col("_more"))))).drop("_more")
 
 
+def _cut(blocks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end of a text given in blocks of PIECE."""
+    of = lambda i: F.floor(i / PIECE).cast("int")
+    near = F.array_join(F.slice(blocks, of(start) + 1, of(end - 1) - of(start) + 1), "")
+    return F.when(end > start, F.substring(near, start - of(start) * PIECE + 1, end - start)).otherwise(F.lit(""))
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span, or run of overlapping spans, replaced by MARK."""
 
-    def pieces(s: Column) -> Column:
-        ends = lambda i: F.coalesce(F.array_max(F.transform(F.slice(s, F.lit(1), i), lambda x: x["end"])), F.lit(0))
-        each = F.transform(s, lambda x, i: F.when(x["start"] >= ends(i), F.concat(F.substring(text, ends(i) + 1, x["start"] - ends(i)), F.lit(MARK))).otherwise(F.lit("")))
-        return F.concat(F.array_join(each, ""), F.substring(text, ends(F.size(s)) + 1, F.length(text)))
+    def pieces(s: Column, e: Column, b: Column) -> Column:
+        each = F.transform(s, lambda x, i: F.when(x["start"] >= F.get(e, i), F.concat(_cut(b, F.get(e, i), x["start"]), F.lit(MARK))).otherwise(F.lit("")))
+        return F.concat(F.array_join(each, ""), F.substring(text, F.array_max(F.transform(s, lambda x: x["end"])) + 1, F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.element_at(F.transform(F.array(spans), pieces), 1)).otherwise(text)
+    blocks, ends = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda s: _prefix_max(F.transform(s, lambda x: x["end"]))
+    return F.when(F.size(spans) > 0, _let(spans, lambda s: _let(ends(s), lambda e: _let(blocks, lambda b: pieces(s, e, b))))).otherwise(text)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import random
+import time
 import zlib
 
 import numpy as np
@@ -174,6 +176,52 @@ def test_random_strings_are_found_without_any_fixed_pattern(spark):
     assert [(x["start"], x["end"]) for x in r[2]["_spans"]] == [(4, 44)] and not r[1]["_spans"] and not r[3]["_spans"]
 
 
+@pytest.mark.parametrize("text", ["x=" + "aB3dE5fG" * 125_000, "password=abcdefghijkl01 " * 50_000, "password: abcdefgh/ijklmnopqrst12 0123456789abcdef0 " * 20_000])
+def test_long_tokens_and_many_spans_take_time_in_proportion(spark, text):
+    """A token of a million characters, and tens of thousands of spans: each within seconds, scan and redaction."""
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = [0.5] * secret_scan.V**2
+    began = time.monotonic()
+    r = secret_scan.scan(d, model).withColumn("new", secret_scan.redacted(F.col("text"), F.col("_spans"))).select("new", F.size("_base").alias("n"), F.size("_spans").alias("all")).collect()[0]
+    assert time.monotonic() - began < 40
+    if text[0] == "x":
+        assert (r["n"], r["all"], r["new"]) == (0, 0, text)
+    elif "0123" not in text:
+        assert r["n"] == 50_000 and r["new"] == "[SECRET] " * 50_000
+    else:
+        assert r["n"] == 40_000 and r["new"] == "[SECRET] [SECRET] " * 20_000
+
+
+def _span(start, end, kind):
+    return (start, end, kind, "")
+
+
+def test_added_spans_apart_from_base_spans_and_redaction_of_overlaps(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        text = "".join(rng.choice("abé\n") for _ in range(rng.choice([0, 5, 700, 1500])))
+        spans = lambda n, kinds: [_span(*sorted(rng.sample(range(len(text) + 1), 2)), rng.choice(kinds)) for _ in range(n if len(text) > 1 else 0)]
+        base, at, more = sorted(spans(rng.choice([0, 1, 9, 150]), [0, 1, 2])), 0, []
+        while len(text) > at + 6 and rng.random() < 0.97:
+            a = rng.randrange(at, min(len(text) - 1, at + 12))
+            more.append(_span(a, min(len(text), a + rng.randrange(1, 6)), 3))
+            at = more[-1][1] + 1
+        rows.append((i, text, base, more))
+    kind = "array<struct<start:int,end:int,kind:int,value:string>>"
+    d = spark.createDataFrame(rows, f"i int, text string, base {kind}, more {kind}")
+    both = F.array_sort(F.concat("base", "more"))
+    out = {r["i"]: r for r in d.select("i", secret_scan._apart(F.col("base"), F.col("more")).alias("apart"), secret_scan.redacted(F.col("text"), both).alias("new")).collect()}
+    for i, text, base, more in rows:
+        assert [tuple(x) for x in out[i]["apart"]] == [m for m in more if not any(b[0] < m[1] and m[0] < b[1] for b in base)]
+        new, at = "", 0
+        for a, z, *_ in sorted(base + more):
+            if a >= at:
+                new += text[at:a] + secret_scan.MARK
+            at = max(at, z)
+        assert out[i]["new"] == (new + text[at:] if base + more else text)
+
+
 def test_packing(docs):
     out = packing.pack(docs).toPandas()
     from tokenizers import Tokenizer
