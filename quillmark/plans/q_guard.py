@@ -12,8 +12,8 @@ from quillmark.plans.views import frame, sql, with_views
 TURNS = """SELECT a.id, a.conversation_id, a.answer, a.id % 7 = 0 AS phantom, a.id % 11 = 0 AS echoed, a.id % 3 <> 0 AS documental, a.id % 4 <> 0 AS has_context, a.id % 5 = 0 AS has_data, a.id % 6 = 0 AS escalated, a.id % 13 = 0 AS empty,
     a.id % 2 = 0 AS cites, a.id % 8 = 0 AS not_retrieved, CASE WHEN a.id % 9 = 0 THEN 'produccion' ELSE 'documental' END AS kind, CASE WHEN a.id % 18 = 0 THEN 'solicitud' END AS request FROM {v_answers} a"""
 RESULTS = """SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN '{"documentos":[]}' WHEN 1 THEN concat('{"documentos":[{"codigo":"', event_type, '"}]}') WHEN 2 THEN '{"error":"not_found"}' WHEN 3 THEN props WHEN 4 THEN '{"hallazgos":[],"k":1}' ELSE '{"acciones":[1],"error":null}' END AS result FROM {events}"""
-CLAIMS = """SELECT id, concat('La accion correctiva quedo con ID ', CAST(id % 40000 AS STRING), '. El hallazgo ID ', CAST(id % 30000 AS STRING), CASE WHEN id % 2 = 0 THEN ' y la no conformidad con ID 999999' ELSE '' END) AS answer FROM {v_answers}"""
-OFFERED = f"""SELECT id, CASE id % 5 WHEN 0 THEN concat(answer, ' ¿Confirmas que lo derive?') WHEN 1 THEN concat(answer, ' {g.OFFER}  ') WHEN 2 THEN '¿Lo derivo?' WHEN 3 THEN '' ELSE answer END AS answer FROM {{v_answers}}"""
+CLAIMS = """SELECT id, concat(answer, ' La accion correctiva quedo con ID ', CAST(id % 40000 AS STRING), '. El hallazgo ID ', CAST(id % 30000 AS STRING), CASE WHEN id % 2 = 0 THEN ' y la no conformidad con ID 999999' ELSE '' END) AS answer FROM {v_answers}"""
+OFFERED = f"""SELECT id, CASE id % 5 WHEN 0 THEN concat(answer, ' ¿Confirmas que lo derive?') WHEN 1 THEN concat(answer, ' {g.OFFER}  ') WHEN 2 THEN concat(answer, ' ¿Lo derivo?') WHEN 3 THEN '' ELSE answer END AS answer FROM {{v_answers}}"""
 READS = "SELECT a.id, a.answer, d.code, d.version, array('1', '2', '9') AS sections FROM {v_answers} a JOIN {v_documents} d ON d.id = a.source_document_id"
 GAPS = "SELECT m.id, m.id % 3 <> 0 AS documental, m.id % 5 = 0 AS escalated, m.id % 7 = 0 AS offered, m.id % 2 AS accepted, CASE WHEN m.id % 4 = 0 THEN array('vacaciones', 'viajes') ELSE CAST(array() AS ARRAY<STRING>) END AS missing FROM {v_messages} m"
 ECHOES = "SELECT id, concat(CASE id % 8 WHEN 0 THEN 'NO INVENTES procedimientos. ' WHEN 1 THEN 'Responde unicamente con base en ellos ' ELSE '' END, answer) AS answer FROM {v_answers}"
@@ -94,7 +94,7 @@ _SQL = {
         SELECT id, CASE WHEN phantom THEN 'phantom_citation' WHEN documental AND NOT has_context AND NOT has_data THEN 'no_context' WHEN (empty OR echoed) AND escalated THEN 'escalated' WHEN (empty OR echoed) AND documental THEN 'no_context' WHEN empty OR echoed THEN 'no_answer' ELSE 'answered' END AS verdict,
         id % 10 = 0 OR has_data OR (has_context AND cites AND NOT not_retrieved) OR NOT cites AS grounded FROM t""",
     "G14_gaps": "SELECT id, 'El SGC no cubre: vacaciones, viajes. Se respondio desde el catalogo.' AS reason, 'sin_contexto' AS cause, 'propuesta' AS status FROM {v_messages} WHERE id % 3 <> 0 AND id % 5 <> 0 AND id % 7 <> 0 AND id % 2 = 0 AND id % 4 = 0",
-    "G15_offer": f"""SELECT id, rtrim(answer) LIKE '%{g.OFFER}' AS offers, CASE WHEN rtrim(answer) LIKE '%{g.OFFER}' THEN rtrim(answer) WHEN id % 5 IN (2, 3) THEN '{g.OFFER}' WHEN id % 5 = 0 THEN concat(replace(answer, ' ¿Confirmas que lo derive?', ''), chr(10), chr(10), '{g.OFFER}') ELSE concat(answer, chr(10), chr(10), '{g.OFFER}') END AS text FROM ({OFFERED})""",
+    "G15_offer": f"""SELECT id, rtrim(answer) LIKE '%{g.OFFER}' AS offers, CASE WHEN rtrim(answer) LIKE '%{g.OFFER}' THEN rtrim(answer) WHEN id % 5 = 3 THEN '{g.OFFER}' WHEN id % 5 IN (0, 2) THEN concat(replace(replace(answer, ' ¿Confirmas que lo derive?', ''), ' ¿Lo derivo?', ''), chr(10), chr(10), '{g.OFFER}') ELSE concat(answer, chr(10), chr(10), '{g.OFFER}') END AS text FROM ({OFFERED})""",
     "G16_pending_action": "SELECT DISTINCT conversation_id FROM {v_findings} f WHERE status <> 'cerrado' AND NOT EXISTS (SELECT 1 FROM {v_capa} a WHERE a.finding_id = f.id)",
     "G17_production": f"SELECT id, CASE WHEN kind = 'produccion' AND request IS NULL THEN 'Falta la clausula.' ELSE answer END AS answer FROM ({TURNS})",
     "G18_trace_sink": CLASSED + """ SELECT r.id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY distance, chunk_id) AS chunk_ids, CASE WHEN r.id IN (SELECT id FROM classed WHERE class = 'phantom') THEN 'false' ELSE 'true' END AS grounded, arg_min(r.code, (distance, chunk_id)) AS first_code FROM {v_retrieved} r GROUP BY r.id""",
