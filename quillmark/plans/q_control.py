@@ -171,6 +171,22 @@ ASSESSED = """WITH u AS (SELECT *, nullif(regexp_extract(trim(regexp_replace(fil
     assessed AS (SELECT *, list_contains(list, 'no_code=') AS blocking, len(list_filter(list, lambda v: v <> 'new_document=')) > 0 AS needs_review FROM a)"""
 JOBS = ASSESSED + """, jobs AS (SELECT s.id, s.tenant_id, s.code, s.version, CASE WHEN blocking OR needs_review THEN 'requiere_revision' ELSE 'listo' END AS status, NOT blocking AND d.id IS NULL AS created_document, d.id AS document_id, blocking
     FROM assessed s LEFT JOIN {v_documents} d ON d.tenant_id = s.tenant_id AND d.code = s.code AND d.version = s.version)"""
+UPDATED = """, up AS (SELECT tenant_id, code, version, arg_max(area, id) AS area, arg_max(title, id) AS title FROM assessed WHERE NOT blocking GROUP BY ALL)
+        SELECT {id}, coalesce(d.tenant_id, u.tenant_id) AS tenant_id, coalesce(d.code, u.code) AS code, coalesce(d.version, u.version) AS version, coalesce(nullif(trim(d.title), ''), u.title) AS title, coalesce(u.area, d.area) AS area, coalesce(d.status, 'vigente') AS status
+        FROM {{v_documents}} d FULL JOIN up u ON u.tenant_id = d.tenant_id AND u.code = d.code AND u.version = d.version"""
+
+
+def jobs_of_lots(n: int) -> str:
+    """The jobs of uploads in n lots by id, each lot against the stock that those before it have made; a document made on the way has the number -1."""
+
+    def of(k: int, text: str) -> str:
+        return text.replace("{v_uploads}", f"(SELECT * FROM {{v_uploads}} WHERE id % {n} = {k})").replace("{v_documents}", f"stock{k - 1}" if k else "{v_documents}")
+
+    updated = UPDATED.format(id="coalesce(d.id, -1) AS id")
+    lots = ", ".join(f"jobs{k} AS ({of(k, JOBS)} SELECT id, tenant_id, code, version, status, created_document FROM jobs), stock{k} AS ({of(k, JOBS + updated)})" for k in range(n))
+    return f"WITH {lots} " + " UNION ALL ".join(f"SELECT * FROM jobs{k}" for k in range(n))
+
+
 BEST = "row_number() OVER (PARTITION BY filename ORDER BY version DESC)"
 STATUS = "lower(coalesce(nullif(trim(status), ''), 'vigente'))"
 BAD_DAY = "trim(effective_date) <> '' AND try_cast(trim(effective_date) AS DATE) IS NULL"
@@ -186,9 +202,7 @@ _SQL = {
     "V6_version_number": "SELECT id, CAST(substr(version, 2) AS INT) AS n FROM {v_documents}",
     "V7_document_type": "SELECT id, upper(split_part(code, '-', 2)) AS kind FROM {v_documents}",
     "V8_jobs": JOBS + " SELECT id, tenant_id, code, version, status, created_document FROM jobs",
-    "V8_documents": JOBS + """, up AS (SELECT tenant_id, code, version, arg_max(area, id) AS area, arg_max(title, id) AS title FROM assessed WHERE NOT blocking GROUP BY ALL)
-        SELECT d.id, coalesce(d.tenant_id, u.tenant_id) AS tenant_id, coalesce(d.code, u.code) AS code, coalesce(d.version, u.version) AS version, coalesce(nullif(trim(d.title), ''), u.title) AS title, coalesce(u.area, d.area) AS area, coalesce(d.status, 'vigente') AS status
-        FROM {v_documents} d FULL JOIN up u ON u.tenant_id = d.tenant_id AND u.code = d.code AND u.version = d.version""",
+    "V8_documents": JOBS + UPDATED.format(id="d.id"),
     "V9_apply_advice": ASSESSED + """, gone AS (SELECT DISTINCT tenant_id, CAST(unnest(string_split(older, ',')) AS BIGINT) AS id FROM assessed WHERE older IS NOT NULL)
         SELECT d.id, CASE WHEN g.id IS NULL THEN d.status ELSE 'obsoleto' END AS status FROM {v_documents} d LEFT JOIN gone g ON g.id = d.id AND g.tenant_id = d.tenant_id""",
     "V10_discard": JOBS + " SELECT id, status FROM jobs WHERE id % 5 <> 0",

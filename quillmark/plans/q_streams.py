@@ -8,29 +8,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.plans import q_cases, q_control, q_turns
-from quillmark.plans.views import frame, sql
+from quillmark.plans.views import frame, sql, with_views
 from quillmark.sources.scratch import scratch
 from quillmark.streaming import streams
 
 
-def drained(spark: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """What a streaming operator makes of rows: they are written, read as a stream, and the query runs until all are done."""
+#: Files of a stream, each a micro-batch.
+SLICES = 10
+
+
+def drained(spark: SparkSession, rows: DataFrame, ts: str, build: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """What a streaming operator makes of rows that come in SLICES batches, one file each, out of order, and of a last row that lets the watermark pass all.
+
+    A row is in the slice of its time or, by a hash of it, in the next one or the one after that; rows may be late by as much.
+    """
     source, out, state = (scratch(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
-    q = build(stream).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append").trigger(availableNow=True).start()
+    rows = rows.withColumn(ts, F.col(ts).cast("timestamp"))
+    low, high = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    if low is not None:
+        width = (high - low) // SLICES + 1
+        slice_ = F.floor((F.unix_micros(ts) - low) / width) + F.pmod(F.xxhash64("id"), F.lit(3))
+        dealt, late = rows.withColumn("_slice", F.least(slice_, F.lit(SLICES - 1))), f"{3 * width // 1_000_000 + 1} seconds"
+        for k in range(SLICES):
+            dealt.filter(F.col("_slice") == k).drop("_slice").coalesce(1).write.mode("append").parquet(source)
+        end = spark.range(1).select(*(F.timestamp_micros(F.lit(high + 10 * width + 86_400_000_000)).alias(c) if c == ts else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes))
+        end.write.mode("append").parquet(source)
+    else:
+        late = streams.LATE
+        rows.write.parquet(source)
+    stream = build(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), late)
+    q = stream.writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(build(stream).schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(out).filter("NOT late").drop("late")
+
+
+#: Uploads come in so many lots.
+LOTS = 3
 
 
 def upload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The jobs of uploads assessed as they arrive, one batch of files after the other."""
+    """The jobs of uploads assessed as they arrive, lot by lot, each against the stock that the lots before it have made."""
     uploads, registry, stock = (frame(spark, sf_dir, n) for n in ("v_uploads", "v_registry", "v_documents"))
-    source, out, state = (scratch(spark, n) for n in ("uploads-in", "jobs-out", "uploads-state"))
-    uploads.repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    q = streams.process_uploads(stream, registry, lambda: stock, lambda jobs, _, number: jobs.write.mode("overwrite").parquet(f"{out}/batch={number}"), state)
-    q.awaitTermination()
+    source, out, state, made = (scratch(spark, n) for n in ("uploads-in", "jobs-out", "uploads-state", "stock"))
+    for k in range(LOTS):
+        uploads.filter(F.pmod("id", F.lit(LOTS)) == k).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def sink(jobs: DataFrame, new: DataFrame, number: int) -> None:
+        new.withColumn("id", F.coalesce("id", F.lit(-1))).write.mode("overwrite").parquet(f"{made}/v={number}")  # -1 for a document made on the way
+        jobs.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    streams.process_uploads(stream, registry, lambda number: spark.read.parquet(f"{made}/v={number - 1}") if number else stock, sink, state).awaitTermination()
     return spark.read.parquet(out).select("id", "tenant_id", "code", "version", "status", "created_document")
 
 
@@ -48,12 +76,13 @@ def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "V8_jobs_stream": upload_stream,
     "S16_admission_stream": admission_stream,
-    "L2_duplicate_findings_stream": lambda s, d: drained(s, sql(s, d, q_cases.REPORTS), streams.suppress_duplicates),
-    "L17_sliding_window_stream": lambda s, d: drained(s, sql(s, d, q_cases.BURSTS), lambda e: streams.sliding_window(e, 2)),
-    "M6_consent_stream": lambda s, d: drained(s, sql(s, d, f"SELECT *, TIMESTAMP '2024-01-01 00:00:00' + CAST(id AS INT) * INTERVAL '1' SECOND AS ts FROM ({q_turns.OFFERED})"), streams.resolve_consent),
+    "L2_duplicate_findings_stream": lambda s, d: drained(s, sql(s, d, q_cases.REPORTS), "created_at", streams.suppress_duplicates),
+    "L2_recent_reports_stream": lambda s, d: drained(s, sql(s, d, q_cases.MANY_REPORTS), "created_at", streams.suppress_duplicates),
+    "L17_sliding_window_stream": lambda s, d: drained(s, sql(s, d, q_cases.BURSTS), "ts", lambda e, late: streams.sliding_window(e, 2, late=late)),
+    "M6_consent_stream": lambda s, d: drained(s, sql(s, d, f"SELECT *, TIMESTAMP '2024-01-01 00:00:00' + CAST(id AS INT) * INTERVAL '1' SECOND AS ts FROM ({q_turns.OFFERED})"), "ts", streams.resolve_consent),
 }
 #: Streams have the results of their batch forms.
 ORACLES = {
-    "V8_jobs_stream": q_control.ORACLES["V8_jobs"], "S16_admission_stream": q_control.ORACLES["S16_admission"], "L2_duplicate_findings_stream": q_cases.ORACLES["L2_duplicate_findings"],
+    "V8_jobs_stream": with_views(q_control.jobs_of_lots(LOTS)), "L2_recent_reports_stream": q_cases.ORACLES["L2_recent_reports"], "S16_admission_stream": q_control.ORACLES["S16_admission"], "L2_duplicate_findings_stream": q_cases.ORACLES["L2_duplicate_findings"],
     "L17_sliding_window_stream": q_cases.ORACLES["L17_sliding_window"], "M6_consent_stream": q_turns.ORACLES.pop("M6_consent_stream"),
 }

@@ -1,114 +1,162 @@
 """Streams: the stateful operators over events that keep arriving, with the results of their batch forms.
 
-Every function takes and returns streaming DataFrames. State is kept per key with the limits that its window needs, and
-expires: a day or so after what a kept report or an admitted event bears on, as the watermark passes; a conversation after DAYS
-without a message. Rows later than the watermark's delay are dropped, as their state may be gone.
+Every function takes and returns streaming DataFrames. Rows of a key wait, as state, until the watermark has passed them, and are
+then taken in the order of their time, in whatever order and in however many batches they came. A row that comes when the
+watermark has passed its time can't be put in its place: it is given out at once, with `late` set and no verdict, for a table of
+its own. What is kept of a key goes once the watermark has passed it by as long as it can bear on later rows.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from quillmark.functions.text import fingerprint
 from quillmark.operators import identity
 from quillmark.operators.admission import WINDOW_S, replay
-from quillmark.operators.lifecycle import HOURS
-from quillmark.operators.routing import consent
 from quillmark.operators.guardrails import offers
+from quillmark.operators.lifecycle import HOURS, RECENT
+from quillmark.operators.routing import consent
 from quillmark.sources.tables import admit_uploads
 
-
 #: How late events may come, and days after which a silent conversation is forgotten.
 LATE, DAYS = "1 hour", 30
+DAY_MS = 86_400_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _expire(state: GroupState, at: pd.Timestamp, seconds: int) -> None:
-    """The state goes once the watermark has passed `seconds` after `at`, and a day more, as `at` is in the session's time zone."""
-    state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + (seconds + 86_400) * 1000, state.getCurrentWatermarkMs()) + 1)
+class InOrder(StatefulProcessor):
+    """Applies a rule to the rows of a key in the order of (at, id).
 
+    columns: of a row, at (microseconds) and id first. rule(state, rows) gives the new state and the results of rows in order;
+    state is None or a tuple of the state's fields. results: names of what it gives, after which late follows.
+    """
 
-def suppress_duplicates(reports: DataFrame, late: str = LATE) -> DataFrame:
-    """(id, kept, original_id) of a stream of reports (id, tenant_id, description, created_at), in order of arrival within a text.
-
-    The state of a (tenant, text) is the last kept report; suppressed ones don't extend its day.
+    def __init__(self, columns: str, fields: str, results: list[str], rule: Callable, keep_ms: int):
+        self.columns, self.fields, self.results, self.rule, self.keep_ms = columns, fields, results, rule, keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.columns)
+        self.state = handle.getValueState("state", f"{self.fields}, last long")
+
+    def _given(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[*self.results, "late"]).astype(object)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed, late, waiting = timerValues.getCurrentWatermarkInMs(), [], []
+        names = [c.split()[0] for c in self.columns.split(", ")]
+        for pdf in rows:
+            for r in zip(*(pdf[n].astype(object).where(pdf[n].notna(), None) for n in names)):
+                if r[0] // 1000 < passed:
+                    late.append((r[1], *(None for _ in self.results[1:]), True))
+                else:
+                    waiting.append(r)
+        if waiting:
+            self.waiting.appendList(waiting)
+            self.handle.registerTimer(min(r[0] for r in waiting) // 1000 + 1)
+        yield self._given(late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        ready = [r for r in waiting if r[0] // 1000 < passed]
+        if ready:
+            kept = self.state.get() if self.state.exists() else None
+            state, out = self.rule(kept and tuple(kept)[:-1], ready)
+            last = ready[-1][0] // 1000
+            self.state.update((*state, last))
+            self.waiting.clear()
+            if rest := waiting[len(ready) :]:
+                self.waiting.put(rest)
+                self.handle.registerTimer(rest[0][0] // 1000 + 1)
+            self.handle.registerTimer(max(last + self.keep_ms, passed) + 1)
+            yield self._given([(*r, False) for r in out])
+        elif self.state.exists() and tuple(self.state.get())[-1] + self.keep_ms < passed:
+            self.state.clear()
+
+
+def _in_order(rows: DataFrame, key: str, processor: InOrder, result: str) -> DataFrame:
+    spark = rows.sparkSession
+    if not str(spark.conf.get(PROVIDER, "")).endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKS)  # the one that keeps lists and timers
+    return rows.groupBy(key).transformWithStateInPandas(processor, f"{result}, late boolean", "append", "EventTime")
+
+
+def _timed(rows: DataFrame, ts: str, late: str) -> DataFrame:
+    """Adds at, microseconds, beside the watermark; at alone goes on, so that late rows get to the processor."""
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).withColumn("at", F.unix_micros(ts))
+
+
+def suppress_duplicates(reports: DataFrame, late: str = LATE, recent: int = RECENT) -> DataFrame:
+    """(id, kept, original_id, late) of a stream of reports (id, tenant_id, description, created_at).
+
+    The state of a tenant is its last kept reports, `recent` of them at most.
     """
-    r = reports.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", late).select("id", "tenant_id", "created_at", fingerprint(F.col("description")).alias("print"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, original = state.get if state.exists else (None, None)
-        rows = pd.concat(batches).sort_values(["created_at", "id"])
-        out = []
-        for r in rows.itertuples():
-            kept = at is None or r.created_at - at > pd.Timedelta(hours=HOURS)
-            if kept:
-                at, original = r.created_at, r.id
-            out.append((r.id, kept, original))
-        state.update((at.to_pydatetime() if hasattr(at, "to_pydatetime") else at, original))
-        _expire(state, pd.Timestamp(at), HOURS * 3600)
-        yield pd.DataFrame(out, columns=["id", "kept", "original_id"])
-
-    return r.groupBy("tenant_id", "print").applyInPandasWithState(step, "id long, kept boolean, original_id long", "at timestamp, original long", "append", GroupStateTimeout.EventTimeTimeout)
+    day = HOURS * 3_600_000_000
+
+    def rule(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        last, out = deque(zip(*state) if state else (), maxlen=recent), []
+        for at, i, text in rows:
+            found = next((k for x, t, k in reversed(last) if x == text and t >= at - day), None)
+            if found is None:
+                last.append((text, at, i))
+            out.append((i, found is None, i if found is None else found))
+        return tuple(list(c) for c in zip(*last)), out
+
+    r = _timed(reports, "created_at", late).select("tenant_id", "at", "id", F.coalesce(fingerprint(F.col("description")), F.lit("")).alias("print"))
+    columns, fields = "at long, id long, print string", "prints array<string>, times array<long>, ids array<long>"
+    return _in_order(r, "tenant_id", InOrder(columns, fields, ["id", "kept", "original_id"], rule, DAY_MS), "id long, kept boolean, original_id long")
 
 
 def sliding_window(events: DataFrame, limit: int, seconds: int = WINDOW_S, late: str = LATE) -> DataFrame:
-    """(id, admitted) of a stream of events (id, key, ts); the state of a key is its admitted times within the window."""
+    """(id, admitted, late) of a stream of events (id, key, ts); the state of a key is its last admitted times, `limit` of them at most."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(batches).sort_values(["ts", "id"])
-        at = rows["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
-        admitted, window = replay(at, limit, seconds * 1_000_000, np.array(state.get[0] if state.exists else [], np.int64))
-        state.update((window.tolist(),))
-        _expire(state, pd.Timestamp(int(window.max(initial=0)), unit="us"), seconds)
-        yield pd.DataFrame({"id": rows["id"], "admitted": admitted})
+    def rule(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        seen = np.array(state[0] if state else [], np.int64)
+        admitted, seen = replay(np.array([at for at, _ in rows], np.int64), limit, seconds * 1_000_000, seen)
+        return (seen.tolist(),), [(i, bool(ok)) for (_, i), ok in zip(rows, admitted)]
 
-    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    e = _timed(events, "ts", late).select("key", "at", "id")
+    return _in_order(e, "key", InOrder("at long, id long", "times array<long>", ["id", "admitted"], rule, seconds * 1000), "id long, admitted boolean")
 
 
 def resolve_consent(messages: DataFrame, late: str = LATE) -> DataFrame:
-    """(id, accepted) of a stream of messages (id, conversation_id, role, content, ts): user messages that answer an offer.
+    """(id, accepted, late) of a stream of messages (id, conversation_id, role, content, ts): user messages that answer an offer.
 
     The state of a conversation is whether its last assistant message ended in the offer.
     """
-    m = messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).select("id", "conversation_id", "ts", "role", offers(F.col("content")).alias("offer"), consent(F.col("content")).alias("answer"))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        offered = bool(state.get[0]) if state.exists else False
-        rows, out = pd.concat(batches).sort_values("id"), []
-        for r in rows.itertuples():
-            if r.role == "assistant":
-                offered = bool(r.offer)
-            elif r.role == "user" and offered and r.answer is not None and not pd.isna(r.answer):
-                out.append((r.id, bool(r.answer)))
-        state.update((offered,))
-        _expire(state, rows["ts"].max(), DAYS * 24 * 3600)
-        yield pd.DataFrame(out, columns=["id", "accepted"]).astype({"id": "int64", "accepted": "bool"})
-
-    return m.groupBy("conversation_id").applyInPandasWithState(step, "id long, accepted boolean", "offered boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def process_uploads(uploads: DataFrame, registry: DataFrame, documents: Callable[[], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
+
+    def rule(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        offered, out = bool(state[0]) if state else False, []
+        for _, i, role, offer, answer in rows:
+            if role == "assistant":
+                offered = bool(offer)
+            elif role == "user" and offered and answer is not None:
+                out.append((i, bool(answer)))
+        return (offered,), out
+
+    m = _timed(messages, "ts", late).select("conversation_id", "at", "id", "role", offers(F.col("content")).alias("offer"), consent(F.col("content")).alias("answer"))
+    columns = "at long, id long, role string, offer boolean, answer boolean"
+    return _in_order(m, "conversation_id", InOrder(columns, "offered boolean", ["id", "accepted"], rule, DAYS * DAY_MS), "id long, accepted boolean")
+
+
+def process_uploads(uploads: DataFrame, registry: DataFrame, documents: Callable[[int], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
     """Starts the query that assesses arriving uploads, batch by batch, and hands jobs and the new stock to the sink.
 
-    documents() gives the stock as of now, so that a batch sees what earlier ones have made.
+    documents(number) gives the stock that the batches before this one have made, so that a batch that is run again sees the
+    same, and not what it has made itself.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        stock = documents()
+        stock = documents(number)
         assessed = identity.assess(batch, registry, stock)
         sink(*identity.resolve_jobs(assessed, stock, F.current_date()), number)
 

@@ -70,33 +70,41 @@ def test_duplicates_in_small_batches(spark):
 
 
 def streamed(spark, files, schema, build):
-    """What a stream makes of files that arrive one by one."""
+    """What a stream makes of files that arrive one by one; a last row lets the watermark pass all others."""
     source, out, state = (scratch(spark, n) for n in ("in", "out", "state"))
-    for k, rows in enumerate(files):
+    names = [c.split()[0] for c in schema.split(", ")]
+    end = tuple(START + dt.timedelta(days=4000) if n in ("ts", "created_at") else None for n in names)
+    for rows in [*files, [end]]:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-        build(stream).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    build(stream).writeStream.format("parquet").option("checkpointLocation", state).option("path", out).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).collect()
 
 
-def test_stream_of_duplicates_over_batches_and_expiry(spark):
-    rows = sorted(reports(90, 3), key=lambda r: (r[3], r[0]))
-    files = [rows[:30], rows[30:60], rows[60:]]
-    out = streamed(spark, files, "id long, tenant_id string, description string, created_at timestamp", streams.suppress_duplicates)
-    assert {r["id"]: (r["kept"], r["original_id"]) for r in out.collect()} == plain_suppressed(rows)
+@pytest.mark.parametrize("recent", [2, 50])
+def test_stream_of_duplicates_in_shuffled_batches(spark, recent):
+    """Batches in any order within the delay give what the batch form gives."""
+    rows = reports(120, 3)
+    random.Random(1).shuffle(rows)
+    out = streamed(spark, [rows[k::5] for k in range(5)], REPORT, lambda r: streams.suppress_duplicates(r, "40 days", recent))
+    assert not any(r["late"] for r in out)
+    assert {r["id"]: (r["kept"], r["original_id"]) for r in out} == plain_suppressed(rows, recent)
 
 
-def test_stream_of_admissions_over_batches(spark):
+def test_stream_of_admissions_with_late_rows(spark):
+    """Rows behind the watermark come out as late, without a verdict, and change no other; silent keys are forgotten."""
     rng = random.Random(4)
     rows = sorted(((i, rng.choice("ab"), START + dt.timedelta(seconds=rng.randint(0, 900))) for i in range(80)), key=lambda r: (r[2], r[0]))
+    late = [(500, "a", START), (501, "c", START + dt.timedelta(seconds=1))]
     schema = "id long, key string, ts timestamp"
-    out = streamed(spark, [rows[:40], rows[40:]], schema, lambda e: streams.sliding_window(e, 2))
+    out = streamed(spark, [rows[:40], rows[40:60], rows[60:] + late], schema, lambda e: streams.sliding_window(e, 2, late="10 seconds"))
+    assert {r["id"] for r in out if r["late"]} == {500, 501} and all(r["admitted"] is None for r in out if r["late"])
     seen, want = defaultdict(list), {}
     for i, key, ts in rows:
         seen[key] = [t for t in seen[key] if t >= ts - dt.timedelta(seconds=60)]
         want[i] = len(seen[key]) < 2
         seen[key] += [ts] * want[i]
-    assert {r["id"]: r["admitted"] for r in out.collect()} == want
+    assert {r["id"]: r["admitted"] for r in out if not r["late"]} == want
     assert {r["id"]: r["admitted"] for r in admission.sliding_window(spark.createDataFrame(rows, schema), 2).collect()} == want
 
 
