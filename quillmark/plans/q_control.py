@@ -11,6 +11,7 @@ from quillmark.operators import register as g
 from quillmark.plans.views import frame, sql, with_views
 from quillmark.sources import tables as t
 from quillmark.sources.scratch import scratch
+from quillmark.sources.snapshots import Snapshots
 
 HEADERS = "SELECT id, concat('CODIGO : ', lower(code), ' VERSION : 0', substr(version, 2), CASE WHEN id % 4 = 0 THEN ' REVISION : 31/02/2024' WHEN id % 4 = 1 THEN ' Revisión: 08/04/2025' ELSE '' END) AS text FROM {v_documents}"
 #: The words of an approval block, with places: labels in three columns, roles below in one or two lines, a footer.
@@ -59,10 +60,30 @@ def _metadata(s, d, k: int) -> DataFrame:
 
 
 def _register_replaced(s, d) -> DataFrame:
-    path = scratch(s, "register")
-    t.load_register(registry(s, d), path)
-    t.load_register(registry(s, d).filter("tenant_id = 'tenant-1' AND code LIKE 'CAL%'"), path)
-    return s.read.parquet(path).select("tenant_id", "code", "version", "effective_date")
+    table = Snapshots(s, scratch(s, "register"), ["tenant_id", "code"])
+    t.load_register(registry(s, d), table)
+    t.load_register(registry(s, d).filter("tenant_id = 'tenant-1' AND code LIKE 'CAL%'"), table)
+    return table.read().select("tenant_id", "code", "version", "effective_date")
+
+
+def _table(s, rows: DataFrame, name: str) -> Snapshots:
+    table = Snapshots(s, scratch(s, name), ["id"])
+    table.create(rows)
+    return table
+
+
+def _patched(s, d) -> DataFrame:
+    table, patches = _table(s, docs(s, d), "documents"), sql(s, d, PATCHES)
+    table.change(put=g.patched(table.read().join(patches, "id", "left_semi"), patches, ["status", "area"]))
+    return table.read()
+
+
+def _deleted(s, d) -> DataFrame:
+    """The clauses that are left once documents are deleted: the clauses go first, so that none is without its document."""
+    documents, clauses, gone = _table(s, docs(s, d), "documents"), _table(s, chunks(s, d), "clauses"), sql(s, d, GONE)
+    clauses.change(out=clauses.read().join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_semi"))
+    documents.change(out=gone)
+    return clauses.read().join(documents.read().select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
 
 def _faq_file(s, d) -> DataFrame:
@@ -121,8 +142,8 @@ QUERIES = {
     "V16_known_codes": lambda s, d: g.known_codes(docs(s, d), registry(s, d)),
     "V17_version_map": lambda s, d: g.version_map(docs(s, d)).select("tenant_id", "code", F.array_join("versions", ",").alias("versions"), "in_force"),
     "V18_conflicts": lambda s, d: g.conflicts(docs(s, d)).select("tenant_id", "code", F.array_join("versions", ",").alias("versions")),
-    "V19_patch": lambda s, d: g.patched(docs(s, d), sql(s, d, PATCHES), ["status", "area"]).select("id", "status", "area"),
-    "V20_delete": lambda s, d: g.deleted(docs(s, d), chunks(s, d), sql(s, d, GONE))[1].select("id", "document_id"),
+    "V19_patch": lambda s, d: _patched(s, d).select("id", "status", "area"),
+    "V20_delete": lambda s, d: _deleted(s, d).select("id", "document_id"),
     "S1_metadata": lambda s, d: _metadata(s, d, 0),
     "S1_metadata_errors": lambda s, d: _metadata(s, d, 1),
     "S2_iso_date": lambda s, d: sql(s, d, METADATA).select("filename", "version", t.iso_date(F.col("effective_date"))[0].alias("day"), t.iso_date(F.col("effective_date"))[1].alias("wrong")),

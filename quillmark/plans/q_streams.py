@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillmark.plans import q_cases, q_control, q_turns
 from quillmark.plans.views import frame, sql, with_views
 from quillmark.sources.scratch import scratch
+from quillmark.sources.snapshots import Snapshots
 from quillmark.streaming import streams
 
 
@@ -49,16 +50,22 @@ LOTS = 3
 def upload_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The jobs of uploads assessed as they arrive, lot by lot, each against the stock that the lots before it have made."""
     uploads, registry, stock = (frame(spark, sf_dir, n) for n in ("v_uploads", "v_registry", "v_documents"))
-    source, out, state, made = (scratch(spark, n) for n in ("uploads-in", "jobs-out", "uploads-state", "stock"))
+    source, out, state = (scratch(spark, n) for n in ("uploads-in", "jobs-out", "uploads-state"))
+    made = Snapshots(spark, scratch(spark, "stock"), ["tenant_id", "code", "version"])
     for k in range(LOTS):
         uploads.filter(F.pmod("id", F.lit(LOTS)) == k).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(uploads.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
+    columns = ["id", "tenant_id", "code", "version", "title", "area", "effective_date", "status"]
+    made.create(stock.select(*columns))  # version n + 1 is the stock that batch n finds
+
     def sink(jobs: DataFrame, new: DataFrame, number: int) -> None:
-        new.withColumn("id", F.coalesce("id", F.lit(-1))).write.mode("overwrite").parquet(f"{made}/v={number}")  # -1 for a document made on the way
         jobs.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if made.version() == number + 1:  # else the batch is run again
+            new = new.withColumn("id", F.coalesce("id", F.lit(-1))).select(*columns)  # -1 for a document made on the way
+            made.change(put=new.subtract(made.read(number + 1)), parent=number + 1)
 
-    streams.process_uploads(stream, registry, lambda number: spark.read.parquet(f"{made}/v={number - 1}") if number else stock, sink, state).awaitTermination()
+    streams.process_uploads(stream, registry, lambda number: made.read(number + 1), sink, state).awaitTermination()
     return spark.read.parquet(out).select("id", "tenant_id", "code", "version", "status", "created_document")
 
 

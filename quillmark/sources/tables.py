@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import slug
+from quillmark.sources.snapshots import Snapshots
 
 METADATA = "filename string, code string, version string, title string, area string, effective_date string, status string"
 FAQ_FILE = "total long, entradas array<struct<pregunta:string,respuesta:string,codigo:string,version:string,titulo_documento:string,area:string,seccion:string>>"
@@ -80,9 +81,16 @@ def unfinished(work: DataFrame, done: DataFrame) -> DataFrame:
     return work.join(done.select("clave"), "clave", "left_anti")
 
 
-def load_register(rows: DataFrame, path: str) -> None:
-    """Replaces the register of every tenant in rows, and leaves others as they are."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tenant_id").parquet(path)
+def load_register(rows: DataFrame, register: Snapshots) -> int:
+    """Replaces the register of every tenant in rows (tenant_id, code, ...), and leaves others as they are, in one version of the table, whose number it gives.
+
+    A load that another one overtakes raises Conflict and changes nothing.
+    """
+    parent = register.version()
+    if not parent:
+        return register.create(rows)
+    gone = register.read(parent).join(rows.select("tenant_id").distinct(), "tenant_id", "left_semi")
+    return register.change(put=rows, out=gone, parent=parent)
 
 
 def register_of_metadata(metadata: DataFrame, tenant: Column) -> DataFrame:
