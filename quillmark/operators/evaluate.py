@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmark.functions.text import cited_codes, fold
 from quillmark.operators.guardrails import COMMON_TITLE_WORDS
 from quillmark.operators.retrieval import title_words
+from quillmark.operators.selection import with_median
 
 #: How an answer names a kind of document, and how it begins where it doesn't begin with the answer.
 CONNECTOR = r"\b(el|la|los|las)\s+(procedimiento|politica|manual|instructivo|formato|plan|organigrama|documento|ficha|registro)\b"
@@ -38,7 +39,8 @@ def percent(c: Column) -> Column:
 
 
 def metrics(flagged: DataFrame) -> DataFrame:
-    return flagged.groupBy("model").agg(*(percent(F.col(m)).alias(m) for m in METRICS), percent(F.col("hit")).alias("hit"), F.median("latency").alias("median_latency"), F.max("latency").alias("max_latency"))
+    g = flagged.groupBy("model").agg(*(percent(F.col(m)).alias(m) for m in METRICS), percent(F.col("hit")).alias("hit"), F.max("latency").alias("max_latency"))
+    return with_median(g, flagged, "model", F.col("latency"), "median_latency")
 
 
 def failures(flagged: DataFrame) -> DataFrame:
@@ -65,7 +67,8 @@ def attribution(answers: DataFrame, titles: DataFrame) -> DataFrame:
 def obedience(flagged: DataFrame) -> DataFrame:
     """Per model: answers without code, answers that begin with the answer, median length; blank and error rows are left out of these."""
     good = (F.col("answer") != "") & ~F.col("answer").startswith("(error")
-    return flagged.groupBy("model").agg(percent(F.col("hit")).alias("hit"), percent(F.when(good, F.size("codes") == 0)).alias("without_code"), percent(F.when(good, ~F.col("answer").rlike(PREAMBLE))).alias("answer_first"), F.median(F.when(good, F.length("answer"))).alias("median_chars"))
+    g = flagged.groupBy("model").agg(percent(F.col("hit")).alias("hit"), percent(F.when(good, F.size("codes") == 0)).alias("without_code"), percent(F.when(good, ~F.col("answer").rlike(PREAMBLE))).alias("answer_first"))
+    return with_median(g, flagged, "model", F.when(good, F.length("answer")), "median_chars")
 
 
 def compare(flagged: DataFrame, a: str, b: str) -> DataFrame:

@@ -70,11 +70,6 @@ def patched(documents: DataFrame, patches: DataFrame, columns: list[str]) -> Dat
     return documents.join(p, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
-def deleted(documents: DataFrame, chunks: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents, chunks) without the documents of gone (id)."""
-    return documents.join(gone, "id", "left_anti"), chunks.join(gone.withColumnRenamed("id", "document_id"), "document_id", "left_anti")
-
-
 def register_rows(lines: DataFrame) -> DataFrame:
     """(tenant_id, code, version, effective_date) of a register's text lines (tenant_id, pos, line); the last line of a code holds.
 

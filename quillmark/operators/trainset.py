@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import base_code, cited_codes, document_type, fold
 from quillmark.operators.guardrails import cites_source
+from quillmark.operators.selection import with_median
 
 #: Sentences that attribute an answer, and what types of documents are called.
 TEMPLATES = (" Lo define ", " Esta en ", " Lo indica ", " Lo establece ")
@@ -127,11 +128,13 @@ def report(examples: DataFrame) -> DataFrame:
 def profile(examples: DataFrame) -> DataFrame:
     """Per partition: examples by type, and length of the answers."""
     n = F.length("answer")
-    return examples.groupBy("particion").agg(F.count_if(F.col("is_call")).alias("tool_call"), F.count_if(~F.col("is_call")).alias("texto"), F.median(n).alias("median_chars"), F.max(n).alias("max_chars"), F.count_if(n < 20).alias("below_20"), F.count_if(n.between(20, 24)).alias("from_20"), F.count_if(n > 24).alias("above_24"))
+    g = examples.groupBy("particion").agg(F.count_if(F.col("is_call")).alias("tool_call"), F.count_if(~F.col("is_call")).alias("texto"), F.max(n).alias("max_chars"), F.count_if(n < 20).alias("below_20"), F.count_if(n.between(20, 24)).alias("from_20"), F.count_if(n > 24).alias("above_24"))
+    return with_median(g, examples, "particion", n, "median_chars")
 
 
 def prompt_lengths(examples: DataFrame) -> DataFrame:
-    return examples.groupBy("family").agg(F.avg(F.length("question")).alias("mean_chars"), F.median(F.length("question")).alias("median_chars"))
+    g = examples.groupBy("family").agg(F.avg(F.length("question")).alias("mean_chars"))
+    return with_median(g, examples, "family", F.length("question"), "median_chars")
 
 
 def gold_messages(examples: DataFrame, mode: Column) -> DataFrame:
