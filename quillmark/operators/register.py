@@ -70,14 +70,11 @@ def patched(documents: DataFrame, patches: DataFrame, columns: list[str]) -> Dat
     return documents.join(p, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
-def register_rows(lines: DataFrame) -> DataFrame:
-    """(tenant_id, code, version, effective_date) of a register's text lines (tenant_id, pos, line); the last line of a code holds.
+def register_rows(rows: DataFrame) -> DataFrame:
+    """(tenant_id, code, version, effective_date) of a register's rows as they stand in its text (tenant_id, pos, code, version, effective_date); the last row of a code holds.
 
-    Lines without a version are left out; a date that is missing or wrong is null.
+    Rows without a version are left out; a date that is missing or wrong is null.
     """
-    from quillmark.functions.text import REGISTER_ROW
-
-    part: list[Column] = [F.regexp_extract(F.rtrim("line"), REGISTER_ROW, i) for i in (1, 2, 3)]
-    rows = lines.select("tenant_id", "pos", part[0].alias("code"), part[1].alias("v"), part[2].alias("d")).filter("code <> '' AND v <> 'N/A'")
-    rows = rows.withColumn("version", F.concat(F.lit("v"), F.col("v").cast("int").cast("string"))).withColumn("effective_date", F.try_to_date(F.when(F.col("d") != "N/A", F.col("d")), "dd/MM/yyyy"))
+    day = F.try_to_date(F.when(F.col("effective_date") != "N/A", F.col("effective_date")), "dd/MM/yyyy")
+    rows = rows.filter("version <> 'N/A'").select("tenant_id", "pos", "code", F.concat(F.lit("v"), F.col("version").cast("int").cast("string")).alias("version"), day.alias("effective_date"))
     return rows.groupBy("tenant_id", "code").agg(F.max_by(F.struct("version", "effective_date"), "pos").alias("x")).select("tenant_id", "code", "x.version", "x.effective_date")

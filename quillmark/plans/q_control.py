@@ -9,6 +9,7 @@ from quillmark.functions import text as x
 from quillmark.operators import identity as i
 from quillmark.operators import register as g
 from quillmark.plans.views import frame, sql, with_views
+from quillmark.sources import records
 from quillmark.sources import tables as t
 from quillmark.sources.scratch import scratch
 from quillmark.sources.snapshots import Snapshots
@@ -59,6 +60,15 @@ def _metadata(s, d, k: int) -> DataFrame:
     return _with(s, d, METADATA, "metadata", lambda df, p: df.repartitionByRange("filename").sortWithinPartitions("filename", "version").write.csv(p, header=True, escape='"'), lambda p: t.read_metadata(s, p)[k])
 
 
+def _text(s, rows: DataFrame, order: list[str], kind: str) -> DataFrame:
+    """What a data source makes of text files of rows, which are written in order, a folder for each tenant if there is one."""
+    path = scratch(s, kind)
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    (sorted_.drop("pos").write.partitionBy("tenant_id") if "tenant_id" in rows.columns else sorted_.write).text(path)
+    records.register(s)
+    return s.read.format(kind).load(path)
+
+
 def _register_replaced(s, d) -> DataFrame:
     table = Snapshots(s, scratch(s, "register"), ["tenant_id", "code"])
     t.load_register(registry(s, d), table)
@@ -147,7 +157,7 @@ QUERIES = {
     "S1_metadata": lambda s, d: _metadata(s, d, 0),
     "S1_metadata_errors": lambda s, d: _metadata(s, d, 1),
     "S2_iso_date": lambda s, d: sql(s, d, METADATA).select("filename", "version", t.iso_date(F.col("effective_date"))[0].alias("day"), t.iso_date(F.col("effective_date"))[1].alias("wrong")),
-    "S3_register_text": lambda s, d: g.register_rows(sql(s, d, REGISTER_TEXT)),
+    "S3_register_text": lambda s, d: g.register_rows(_text(s, sql(s, d, REGISTER_TEXT).select("tenant_id", "pos", "line"), ["tenant_id", "pos"], "register_text")),
     "S4_coded_files": lambda s, d: t.coded_files(sql(s, d, FILES).select("path")).select("path", "code", "title", "area"),
     "S5_faq_file": _faq_file,
     "S6_checkpoint": lambda s, d: t.read_checkpoint(sql(s, d, CHECKPOINTS)).select("clave", "pos", F.col("generadas")[0]["pregunta"].alias("pregunta")),
@@ -159,7 +169,7 @@ QUERIES = {
     "S12_dataset_sink": _sink,
     "S13_tagged": lambda s, d: t.tagged(sql(s, d, EXAMPLES)).select("id", "particion", "tipo"),
     "S14_rejections": lambda s, d: t.rejection_summary(sql(s, d, "SELECT id, CASE WHEN id % 3 = 0 THEN 'longitud' ELSE 'cifra_inventada' END AS reason, pregunta AS question FROM {v_faq}")).select("reason", "total", "place", "question"),
-    "S15_rejection_report": lambda s, d: t.rejection_report(sql(s, d, REPORTS)),
+    "S15_rejection_report": lambda s, d: _text(s, sql(s, d, REPORTS), ["value"], "rejection_text").drop("tenant_id", "pos"),
     "S16_admission": lambda s, d: t.admit_uploads(sql(s, d, UPLOAD_FILES)).select("id", "status", "reason", "stored_name"),
 }
 

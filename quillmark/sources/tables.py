@@ -13,8 +13,6 @@ FAQ_FILE = "total long, entradas array<struct<pregunta:string,respuesta:string,c
 CHECKPOINT = "clave string, codigo string, version string, titulo string, area string, seccion string, generadas array<struct<pregunta:string,respuesta:string>>"
 #: A coded file's name.
 CODED = r"^([A-Z]{3}-[A-Z]{2}-\d{2})\s+(.+)$"
-#: An entry of a rejection report.
-REJECTION = r"(?m)^- \*\*([^ ]+) §([^*]+)\*\* — ([A-Z0-9, -]+?)\s*\n\s*- P: (.+?)\n\s*- R: (.+?)$"
 MAX_UPLOAD = 25 << 20
 SHOWN = 40
 
@@ -115,13 +113,6 @@ def rejection_summary(rejected: DataFrame, shown: int = SHOWN) -> DataFrame:
     return first.join(rejected.groupBy("reason").agg(F.count("*").alias("total")), "reason")
 
 
-def rejection_report(reports: DataFrame) -> DataFrame:
-    """(code, section, phantoms, question, answer) of whole report texts (value)."""
-    parts = F.arrays_zip(*(F.regexp_extract_all("value", F.lit(REJECTION), F.lit(i)).alias(n) for i, n in enumerate(("code", "section", "phantoms", "question", "answer"), 1)))
-    split = F.transform(F.split("x.phantoms", ","), lambda p: F.trim(p))
-    return reports.select(F.explode(parts).alias("x")).select("x.code", F.trim("x.section").alias("section"), F.array_join(split, ",").alias("phantoms"), F.trim("x.question").alias("question"), F.trim("x.answer").alias("answer"))
-
-
 def admit_uploads(files: DataFrame, limit: int = MAX_UPLOAD, taken: DataFrame | None = None) -> DataFrame:
     """Adds status (queued or rejected), reason, stem and stored_name to files (id, tenant_id, path, length).
 
