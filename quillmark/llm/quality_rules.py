@@ -125,7 +125,7 @@ def fit(rows: DataFrame, prior: float = PRIOR, steps: int = STEPS) -> DataFrame:
     def model_of(moments: DataFrame) -> DataFrame:
         m = written(moments, "mcd-moments")
         whole = m.filter("g = ''").select("g", *MOMENTS)
-        langs = drawn(m.join(keys.select(F.col("up").alias("g"), F.lit("").alias("up")).distinct(), "g"), whole, prior)
+        langs = drawn(m.join(keys.select(F.col("up").alias("g"), F.substring("up", 1, 0).alias("up")).distinct(), "g"), whole, prior)
         pairs = drawn(m.join(keys.select("g", "up"), "g"), langs, prior)
         every = whole.unionByName(langs).unionByName(pairs)
         return written(factored(every, {i: F.col(f"m{i}") for i in range(P)}, {(i, j): F.col(f"c{i}{j}") for i, j in PAIRS}), "mcd-step")
