@@ -80,7 +80,26 @@ def admission_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out).select("id", "status", "reason", "stored_name")
 
 
+#: Documents as they come in, and what later becomes of some.
+STATUS_CHANGES = f"""SELECT id, TIMESTAMP '2024-01-01 00:00:00' AS ts, area, status FROM {{v_documents}}
+    UNION ALL SELECT d.id, TIMESTAMP '2026-01-01 00:00:00', coalesce(p.area, d.area), p.status FROM {{v_documents}} d JOIN ({q_control.PATCHES}) p ON p.id = d.id"""
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by area and status, kept up to date while changes come in five batches, later ones before earlier ones too."""
+    changes = sql(spark, sf_dir, STATUS_CHANGES).withColumn("ts", F.col("ts").cast("timestamp"))
+    source, state = scratch(spark, "changes-in"), scratch(spark, "changes-state")
+    for k in range(5):
+        changes.filter(F.pmod(F.xxhash64("id", "ts"), F.lit(5)) == k).coalesce(1).write.mode("append").parquet(source)
+    table = Snapshots(spark, scratch(spark, "counts"), ["area", "status"])
+    table.create(spark.createDataFrame([], "area string, status string, n long"))
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.count_latest(stream, ["area", "status"], table, state).awaitTermination()
+    return table.read()
+
+
 QUERIES = {
+    "A2_status_counts_stream": status_counts,
     "V8_jobs_stream": upload_stream,
     "S16_admission_stream": admission_stream,
     "L2_duplicate_findings_stream": lambda s, d: drained(s, sql(s, d, q_cases.REPORTS), "created_at", streams.suppress_duplicates),
@@ -90,6 +109,7 @@ QUERIES = {
 }
 #: Streams have the results of their batch forms.
 ORACLES = {
+    "A2_status_counts_stream": with_views(f"SELECT area, status, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC) AS place FROM ({STATUS_CHANGES})) WHERE place = 1 GROUP BY area, status"),
     "V8_jobs_stream": with_views(q_control.jobs_of_lots(LOTS)), "L2_recent_reports_stream": q_cases.ORACLES["L2_recent_reports"], "S16_admission_stream": q_control.ORACLES["S16_admission"], "L2_duplicate_findings_stream": q_cases.ORACLES["L2_duplicate_findings"],
     "L17_sliding_window_stream": q_cases.ORACLES["L17_sliding_window"], "M6_consent_stream": q_turns.ORACLES.pop("M6_consent_stream"),
 }

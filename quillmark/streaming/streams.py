@@ -23,6 +23,7 @@ from quillmark.operators.admission import WINDOW_S, replay
 from quillmark.operators.guardrails import offers
 from quillmark.operators.lifecycle import HOURS, RECENT
 from quillmark.operators.routing import consent
+from quillmark.sources.snapshots import Snapshots
 from quillmark.sources.tables import admit_uploads
 
 #: How late events may come, and days after which a silent conversation is forgotten.
@@ -148,6 +149,52 @@ def resolve_consent(messages: DataFrame, late: str = LATE) -> DataFrame:
     return _in_order(m, "conversation_id", InOrder(columns, "offered boolean", ["id", "accepted"], rule, DAYS * DAY_MS), "id long, accepted boolean")
 
 
+class Latest(StatefulProcessor):
+    """Of each id the latest group: when it changes, the old one is taken back and the new one counted. A row older than what is known changes nothing."""
+
+    def init(self, handle) -> None:
+        self.known = handle.getValueState("known", "at long, grp string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at, grp = max(r for pdf in rows for r in zip(pdf["at"].tolist(), pdf["grp"].tolist()))
+        old, out = tuple(self.known.get()) if self.known.exists() else None, []
+        if old is None or (at, grp) > old:
+            out = ([(old[1], -1)] if old else []) + [(grp, 1)]
+            self.known.update((at, grp))
+        yield pd.DataFrame(out, columns=["grp", "n"]).astype({"grp": object, "n": "int64"})
+
+
+def count_latest(changes: DataFrame, by: list[str], table: Snapshots, checkpoint: str, after: Callable[[int], None] | None = None):
+    """Starts the query that keeps, in a table (by, n), how many ids are in each group by the latest of their rows (id, ts, by).
+
+    A batch moves only the groups that it changes: old counts and signed changes are added up, and groups that come to 0 go.
+    Version n + 2 of the table is the state after batch n, so a batch that is run again changes nothing; after(n) is called then.
+    Of rows of one id and time the one whose group is last as JSON holds. Null ids are one id, null values groups of their own.
+    """
+    spark = changes.sparkSession
+    if not str(spark.conf.get(PROVIDER, "")).endswith("RocksDBStateStoreProvider"):
+        spark.conf.set(PROVIDER, ROCKS)
+    group = F.struct(*by)
+    shape = changes.select(group.alias("g")).schema["g"].dataType.simpleString()
+    rows = changes.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.to_json(group, {"ignoreNullFields": "false"}).alias("grp"))
+    moves = rows.groupBy("id").transformWithStateInPandas(Latest(), "grp string, n long", "update", "None")
+
+    def each(batch: DataFrame, number: int) -> None:
+        if table.version() == number + 1:
+            known = table.read(number + 1).select(F.to_json(group, {"ignoreNullFields": "false"}).alias("grp"), "n", F.lit(False).alias("moved"))
+            moved = batch.withColumn("moved", F.lit(True))
+            sums = known.unionByName(moved).groupBy("grp").agg(F.sum("n").alias("n"), F.max("moved").alias("moved")).filter("moved")
+            sums = sums.withColumn("g", F.from_json("grp", shape)).select("g.*", "n")
+            path = f"{checkpoint}-moves/{number}"
+            sums.write.mode("overwrite").parquet(path)
+            sums = changes.sparkSession.read.schema(sums.schema).parquet(path)
+            table.change(put=sums.filter("n <> 0"), out=sums.filter("n = 0"), parent=number + 1)
+        if after:
+            after(number)
+
+    return moves.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def process_uploads(uploads: DataFrame, registry: DataFrame, documents: Callable[[int], DataFrame], sink: Callable[[DataFrame, DataFrame, int], None], checkpoint: str):
     """Starts the query that assesses arriving uploads, batch by batch, and hands jobs and the new stock to the sink.
 

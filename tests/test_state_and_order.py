@@ -4,7 +4,7 @@ import datetime as dt
 import random
 import subprocess
 import sys
-from collections import defaultdict
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillmark.operators import admission, evaluate, identity, lifecycle, trainset
 from quillmark.plans import views
 from quillmark.sources.scratch import scratch
+from quillmark.sources.snapshots import Snapshots
 from quillmark.streaming import streams
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -108,6 +109,28 @@ def test_stream_of_admissions_with_late_rows(spark):
     assert {r["id"]: r["admitted"] for r in admission.sliding_window(spark.createDataFrame(rows, schema), 2).collect()} == want
 
 
+def test_counts_equal_the_batch_query_after_every_batch(spark):
+    rng = random.Random(5)
+    rows = [(rng.randint(0, 30), START + dt.timedelta(minutes=i), rng.choice(["a", "b", None]), rng.choice(["x", "y"])) for i in range(200)]
+    rng.shuffle(rows)
+    schema, source, seen = "id long, ts timestamp, area string, status string", scratch(spark, "in"), []
+    for k in range(4):
+        spark.createDataFrame(rows[k * 50 : k * 50 + 50], schema).coalesce(1).write.mode("append").parquet(source)
+    table = Snapshots(spark, scratch(spark, "counts"), ["area", "status"])
+    table.create(spark.createDataFrame([], "area string, status string, n long"))
+
+    def after(number):
+        latest = {}
+        for i, ts, area, status in rows[: number * 50 + 50]:
+            latest[i] = max(latest.get(i, (START, None, None)), (ts, area, status), key=lambda r: r[0])
+        want = Counter(r[1:] for r in latest.values())
+        seen.append({(r["area"], r["status"]): r["n"] for r in table.read().collect()} == want)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    streams.count_latest(stream, ["area", "status"], table, scratch(spark, "state"), after).awaitTermination()
+    assert len(seen) == 4 and all(seen)
+
+
 def words(doc, *rows):
     return [(doc, 600.0, t, float(x0), float(x0 + 40), float(top)) for t, x0, top in rows]
 
