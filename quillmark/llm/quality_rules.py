@@ -144,7 +144,7 @@ def fit(rows: DataFrame, prior: float = PRIOR, steps: int = STEPS) -> DataFrame:
         mean = {i: F.col(f"s{i}") / F.col("h") for i in range(P)}
         cov = {(i, j): F.lit(CONSISTENT) * (F.col(f"q{i}{j}") / F.col("h") - mean[i] * mean[j]) for i, j in PAIRS}
         model = model_of(sums.select("g", "n", *(mean[i].alias(f"m{i}") for i in range(P)), *(cov[i, j].alias(f"c{i}{j}") for i, j in PAIRS)))
-    return keys.drop("up").join(model, "g").drop("g")
+    return written(keys.drop("up").join(model, "g").drop("g"), "mcd-model")  # so that its size is known where it meets the rows
 
 
 def quality_rules(docs: DataFrame, prior: float = PRIOR, cut: float = CUT) -> DataFrame:
