@@ -18,4 +18,4 @@ QUERIES = {
     "op13_importance_resampling": importance_resampling.query,
 }
 
-ORACLES: dict[str, str] = {"op3_sharding": sharding.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_sharding": sharding.ORACLE, "op13_importance_resampling": importance_resampling.ORACLE}

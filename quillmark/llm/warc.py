@@ -262,3 +262,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+#: The digest's base 32 in DuckDB: five bits at a time out of two hexadecimal digits.
+ORACLE = """WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, list_transform(range(1, 41), lambda i: instr('0123456789abcdef', sha1(coalesce(html, ''))[i]) - 1) AS digits FROM pages),
+  r AS (SELECT *, CASE WHEN page_id IS NOT NULL THEN min(page_id) OVER (PARTITION BY html) END AS first FROM p)
+  SELECT page_id, url, strlen(html) AS payload_bytes, list_aggregate(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((digits[5 * i // 4 + 1] * 16 + digits[5 * i // 4 + 2]) >> (3 - 5 * i % 4)) & 31) + 1]), 'string_agg', '') AS payload_digest,
+    CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to FROM r"""
