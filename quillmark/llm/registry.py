@@ -1,6 +1,6 @@
 """Queries of this subpackage, for the entry module: QUERIES by name, and ORACLES where SQL can state the result."""
 
-from quillmark.llm import ann_search, grouped_packing, html_extract, importance_resampling, mixing, near_dedup, packing, quality_classifier, quality_rules, secret_scan, sharding, turn_repair, warc
+from quillmark.llm import ann_search, grouped_packing, html_extract, importance_resampling, mixing, near_dedup, oracles, packing, quality_classifier, quality_rules, secret_scan, sharding, turn_repair, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -18,4 +18,4 @@ QUERIES = {
     "op13_importance_resampling": importance_resampling.query,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_sharding": sharding.ORACLE, "op13_importance_resampling": importance_resampling.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op3_sharding": sharding.ORACLE, "op4_near_dedup": oracles.NEAR_DEDUP, "op13_importance_resampling": importance_resampling.ORACLE}
