@@ -112,7 +112,7 @@ def drawn(own: DataFrame, above: DataFrame, prior: float) -> DataFrame:
     """The moments of groups (g, up), each drawn towards those of the group above it."""
     a = above.select(F.col("g").alias("up"), *(F.col(c).alias(f"up_{c}") for c in MOMENTS))
     share = F.col("n") / (F.col("n") + F.lit(float(prior)))
-    both = own.join(a, "up")
+    both = own.join(a.hint("merge"), "up")  # small tables, of which many would fill the driver as broadcasts
     return both.select("g", "n", *((share * F.col(c) + (1 - share) * F.col(f"up_{c}")).alias(c) for c in MOMENTS[1:]))
 
 
@@ -125,8 +125,8 @@ def fit(rows: DataFrame, prior: float = PRIOR, steps: int = STEPS) -> DataFrame:
     def model_of(moments: DataFrame) -> DataFrame:
         m = written(moments, "mcd-moments")
         whole = m.filter("g = ''").select("g", *MOMENTS)
-        langs = drawn(m.join(keys.select(F.col("up").alias("g"), F.substring("up", 1, 0).alias("up")).distinct(), "g"), whole, prior)
-        pairs = drawn(m.join(keys.select("g", "up"), "g"), langs, prior)
+        langs = drawn(m.join(keys.select(F.col("up").alias("g"), F.substring("up", 1, 0).alias("up")).distinct().hint("merge"), "g"), whole, prior)
+        pairs = drawn(m.join(keys.select("g", "up").hint("merge"), "g"), langs, prior)
         every = whole.unionByName(langs).unionByName(pairs)
         return written(factored(every, {i: F.col(f"m{i}") for i in range(P)}, {(i, j): F.col(f"c{i}{j}") for i, j in PAIRS}), "mcd-step")
 
