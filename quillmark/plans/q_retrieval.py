@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.vectors import contract
 from quillmark.operators import retrieval as r
-from quillmark.plans.views import frame, sql, with_views
+from quillmark.plans.views import frame, sql, texts, with_views
 
 #: Vectors of the driver's table are far apart, so its queries use a wider cut than the default.
 CUT = 0.78
@@ -50,7 +50,7 @@ QUERIES = {
     "R2_penalty": lambda s, d: r.retrieve(*_three(s, d), max_distance=2.0, margin=0.0).select("query_id", "rank", "chunk_id", "distance", r.is_formal(F.col("content")).alias("formal")),
     "R3_retrieve": lambda s, d: retrieved(s, d).select("query_id", "rank", "chunk_id", "code", "version", "section", "distance", "verdict"),
     "R4_faqs": lambda s, d: faqs(s, d).select("query_id", "rank", "faq_id", "question", "answer", "code", "version", "section", "distance", "reviewed", F.coalesce("source_content", F.lit("")).alias("source_content")),
-    "R5_direct_section": lambda s, d: r.direct_sections(sql(s, d, TURNS), frame(s, d, "v_chunks"), frame(s, d, "v_documents")),
+    "R5_direct_section": lambda s, d: r.direct_sections(sql(s, d, TURNS), texts(s, d), frame(s, d, "v_documents")),
     "R6_context_block": lambda s, d: r.context_blocks(retrieved(s, d).filter("verdict = 'accepted'")),
     "R7_faq_block": lambda s, d: r.faq_blocks(faqs(s, d)),
     "R8_citation_label": lambda s, d: retrieved(s, d).select("query_id", "rank", r.label(F.col("code"), F.col("version"), F.col("section")).alias("label")),
