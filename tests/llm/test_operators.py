@@ -5,8 +5,10 @@ import hashlib
 import random
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +240,30 @@ def test_packing(docs):
     assert packing.pack(empty(docs)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["J\u030ca", "H\u0331 x", "<|ENDOFTEXT|> a", "x<|EndOfText|>y<|endoftext|>", "\u0958,", "X\u0130, \u0130STANBUL.", "\u00c9T\u00c9, Stra\u00dfe; \u00e9", "don't! it's,", "a\u00a0b,", "\U0002ebf0,"])
+def test_ids_of_odd_words_are_the_tokenizers(text):
+    """Letters that are composed before they are lowered, special tokens in other case, letters that fall into parts before marks."""
+    words = packing.WordIds(packing.default_tokenizer())
+    ids, ends = words.ids(pa.array([text, None, f"{text} {text}"]))
+    want = [[*words.model.encode(t, add_special_tokens=False).ids, packing.END] for t in (text, "", f"{text} {text}")]
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == want
+
+
+def test_words_that_recur_are_learned_once():
+    """A worker that forgets keeps what came in many batches, and ids stay the tokenizer's."""
+    letters = [a + b + c for a in "bdfgklmnpr" for b in "aeiou" for c in "stvwz"]
+    common, fresh = [f"{a}a" for a in letters], iter([f"{a}{b}" for a in letters for b in letters])
+    words, learned = packing.WordIds(packing.default_tokenizer(), kept=1000), Counter()
+    learn = words._learn
+    words._learn = lambda new: (learned.update(new), learn(new))[1]
+    for _ in range(20):
+        text = " ".join([*common, *(f"{next(fresh)}," for _ in range(250))])
+        ids, _ = words.ids(pa.array([text]))
+        assert ids.tolist() == [*words.model.encode(text, add_special_tokens=False).ids, packing.END]
+        assert len(words.parts) <= 1000
+    assert max(learned.values()) == 1 and sum(learned.values()) > 5000
+
+
 def test_rounds_keep_the_mixture():
     plan = packing.Rounds({"a": 300_000, "b": 100_000, "c": 700})
     sent = plan.sent(np.arange(plan.n_rounds + 1))
